@@ -80,8 +80,8 @@ def fold_merges(word: Column, byte_ids: Column, ranks: Column) -> Column:
         best = F.get(r, at - 1)
         ends = F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1)))
         return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.lit(NONE))).alias("ids"),
-            F.concat(F.slice(r, F.lit(1), at - 2), ends, F.slice(r, at + 2, F.lit(NONE))).alias("r"),
+            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
+            F.concat(F.slice(r, F.lit(1), at - 2), ends, F.slice(r, at + 2, F.size(r))).alias("r"),
         )
 
     def step(s: Column, _: Column) -> Column:
@@ -99,7 +99,7 @@ def fold_merges(word: Column, byte_ids: Column, ranks: Column) -> Column:
     return _let(
         F.transform(word, lambda b: F.get(byte_ids, b)),
         lambda ids: F.aggregate(
-            F.slice(ids, F.lit(2), F.lit(NONE)),
+            F.slice(ids, F.lit(2), F.size(ids)),
             start(ids),
             step,
             lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2),

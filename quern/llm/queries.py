@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, packing, wavelet
+from quern.llm import bpe, neardup, packing, wavelet
 from quern.llm.common import table
 
 
@@ -23,6 +23,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents: five-word shingles, similarity 0.75 and more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in wavelet-matrix shards, read back."""
     docs = table(spark, sf_dir, "documents")
@@ -37,5 +42,5 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_wavelet": op3_wavelet, "op4_bpe": op4_bpe}
+QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_wavelet": op3_wavelet, "op4_bpe": op4_bpe}
 ORACLE: dict[str, str] = {}
