@@ -1,8 +1,61 @@
-"""The corpus pipeline: language ID, quality, near-duplicates, packing. Placeholder until its stages land."""
+"""The corpus pipeline: language ID, quality, near-duplicates, packing.
 
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns
+of documents; the last returns the packing. ``run`` writes each result and reads it for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm import langid, neardup, packing, quality
+from quern.llm.common import materialize, table
+from quern.llm.queries import tokenizer_file
+
+#: SQL can express neither the classifiers nor the packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is in ``kept`` (doc_id); a null doc_id matches itself."""
+    kept = materialize(kept.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: null texts, texts without letters, or undecided ones."""
+    found = langid.identify(docs)
+    return keep_ids(docs, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.3)))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that the classifier calls low quality."""
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return keep_ids(docs, found.where("predicted = 1"))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near duplicates."""
+    return keep_ids(docs, neardup.near_duplicates(docs).where("kept"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), 2048, 0, with_ids=False)
+
+
+STAGES = [
+    ("language ID", language_stage),
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", dedup_stage),
+    ("best-fit packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import bpe, neardup, packing, wavelet
+from quern.llm import ann, bpe, langid, lm, media, neardup, packing, quality, urlfilter, wavelet
 from quern.llm.common import table
 
 
@@ -42,5 +42,58 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ids=False)
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_minhash": op2_minhash, "op3_wavelet": op3_wavelet, "op4_bpe": op4_bpe}
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every whole text."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest neighbours of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all pages' urls."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an image in tar shards, its metadata and digests read back."""
+    rows = media.digests(media.metadata(media.store(table(spark, sf_dir, "documents"))))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "width",
+        "height",
+    )
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
+    "op3_wavelet": op3_wavelet,
+    "op4_bpe": op4_bpe,
+    "op5_lm": op5_lm,
+    "op6_langid": op6_langid,
+    "op7_ann": op7_ann,
+    "op8_quality": op8_quality,
+    "op9_urlfilter": op9_urlfilter,
+    "op10_media": op10_media,
+}
 ORACLE: dict[str, str] = {}
