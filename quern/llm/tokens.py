@@ -17,9 +17,15 @@ _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 
 
 class ChunkEncoder:
-    """Encodes texts; ``spaces`` tells whether a chunk keeps the space before it."""
+    """Encodes texts; ``spaces`` tells whether a chunk keeps the space before it.
 
-    def __init__(self, path: str, spaces: bool, keep: int = 300_000):
+    New chunks are encoded many at a time, as one text, and told apart by their first ids: a chunk's
+    first id is the only one of a piece that starts with a space, or a mark stands between chunks.
+    """
+
+    MARK = "\0"
+
+    def __init__(self, path: str, spaces: bool, keep: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -27,32 +33,55 @@ class ChunkEncoder:
         self.spaces = spaces
         self.keep = keep
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # a full memory stays for a while: frequent chunks move on
+        vocab = self.tokenizer.get_vocab()
+        self.first = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        if spaces:
+            self.first[[i for piece, i in vocab.items() if piece.startswith("Ġ")]] = True
+        else:
+            self.first[self.tokenizer.encode(self.MARK, add_special_tokens=False).ids] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
-    def _chunks(self, text: str) -> list[str] | None:
-        if not self.spaces:
-            return text.split(" ")
-        if _ODD_SPACE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+    def _encode_chunks(self, chunks: list[str], together: int = 400) -> list[bytes]:
+        """Ids of chunks (with a space before each, if they keep it)."""
+        groups = [chunks[i : i + together] for i in range(0, len(chunks), together)]
+        sep = " " if self.spaces else f" {self.MARK} "
+        joined = [sep + sep.join(g) for g in groups]
+        out: list[bytes] = []
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            ids = np.array(encoded.ids, dtype="<u4")
+            cuts = np.flatnonzero(self.first[ids])
+            if len(cuts) != len(group):  # a chunk holds the mark itself
+                out += self._encode([" " + c for c in group] if self.spaces else group)
+                continue
+            raw, skip = ids.tobytes(), 0 if self.spaces else 1
+            ends = [*cuts[1:].tolist(), len(ids)]
+            out += [raw[4 * (a + skip) : 4 * b] for a, b in zip(cuts.tolist(), ends, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self._chunks(t) for t in texts]
+        whole = [self.spaces and bool(_ODD_SPACE.search(t)) for t in texts]
+        cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
+        heads: list[str] = []
+        if self.spaces:  # the first chunk has no space before it
+            heads = [c.pop(0) for c in cut if c is not None]
         wanted = set().union(*(c for c in cut if c is not None)) if cut else set()
-        new = [c for c in wanted if c not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known = {}
-            new = list(wanted)
-        if new:
-            self.known.update(zip(new, self._encode(new), strict=True))
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
+        if len(self.known) > self.keep:
+            self.older, self.known = self.known, {}
+        missing = wanted.difference(self.known)
+        self.known.update((c, self.older[c]) for c in missing.intersection(self.older))
+        if new := list(missing.difference(self.older)):
+            self.known.update(zip(new, self._encode_chunks(new), strict=True))
+        head = iter(self._encode(heads))
+        odd = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
         get = self.known.__getitem__
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+        return [
+            next(odd) if c is None else (next(head) if self.spaces else b"") + b"".join(map(get, c)) for c in cut
+        ]
 
 
 _encoders: dict[tuple[str, bool], ChunkEncoder] = {}
