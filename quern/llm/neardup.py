@@ -2,9 +2,10 @@
 
 Texts with the same shingle set form one class first, however many copies there are. Each class is
 sketched by one permutation (the hash range cut into bins, the least value of each bin), empty bins
-borrow by optimal densification, and bands of bins name buckets. Within a bucket one centre is
-compared with all members of other components, round after round, so candidates stay linear in the
-bucket's size per round. Every candidate is confirmed on the full shingle sets.
+borrow by optimal densification, and bands of bins name buckets. Within a bucket a centre is compared
+with all members, so candidates are stars. Buckets whose members then lie in several components get
+more centres, eight times as many each round, each compared with members of other components only,
+until nothing is left to compare. Every candidate is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -213,7 +214,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, words: int = WORDS, rounds: int = 64
+    docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS, words: int = WORDS
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
 
@@ -228,60 +229,71 @@ def near_duplicates(
     )
     # one row per class and band, of the class's first document
     heads = real.join(classes.select("d1", "d2", "cls"), ["d1", "d2"]).where(F.col("doc_id") == F.col("cls"))
-    rows_ = materialize(
-        heads.select("cls", F.explode("bands").alias("bucket")),
-        "bands",
-    )
+    banded = materialize(heads.select("cls", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")), "bands")
     shared = materialize(
-        rows_.groupBy("bucket")
+        banded.groupBy("bucket")
         .agg(F.min("cls").alias("centre"), F.max("cls").alias("last"))
         .where("centre < last")
         .select("bucket", "centre"),
         "buckets",
     )
-    members = materialize(
-        rows_.join(shared, "bucket").select("bucket", "cls", "centre", F.lit(False).alias("settled")), "members"
-    )
-    wanted = materialize(members.groupBy(F.col("cls").alias("doc_id")).agg(F.count("*").alias("n")), "candidates")
+    members = materialize(banded.join(shared, "bucket").select("bucket", "cls", "n", "centre"), "members")
+    wanted = materialize(members.groupBy(F.col("cls").alias("doc_id")).agg(F.count("*").alias("k")), "candidates")
     once = docs.join(wanted.select("doc_id"), "doc_id", "left_semi")
     sets = materialize(full_sets(once, words).dropDuplicates(["cls"]), "sets")
 
-    links = components_ = None
-    for k in range(rounds):
-        pairs = members.where("cls != centre and not settled").select(F.col("centre").alias("a"), F.col("cls").alias("b"))
-        pairs = pairs.distinct()
-        found = materialize(confirm(pairs, sets, percent), f"links-{k}")
-        links = found if links is None else links.union(found)
-        components_ = materialize(components(links, f"round-{k}"), f"labels-{k}")
+    first = members.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
+    tried = materialize(first, "pairs-0")
+    links = materialize(confirm(tried, sets, percent), "links-0")
+    labels = components(links, "round-0")
+    waiting = members.where("cls != centre").select("bucket", "cls", "n")
+    centres = 1
+    while True:
         # what is left to compare: buckets whose members, without the centres so far, lie in several components
-        label = components_.select(F.col("id").alias("cls"), "comp")
+        centres *= 8
+        name = f"round-{centres}"
         left = materialize(
-            members.where("cls != centre")
-            .select("bucket", "cls")
-            .join(label, "cls", "left")
-            .select("bucket", "cls", F.coalesce("comp", "cls").alias("comp")),
-            f"left-{k}",
+            waiting.join(labels.select(F.col("id").alias("cls"), "comp"), "cls", "left").select(
+                "bucket", "cls", "n", F.coalesce("comp", "cls").alias("comp")
+            ),
+            f"{name}-left",
         )
-        several = materialize(
+        mixed = materialize(
             left.groupBy("bucket")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct("cls", "comp")).alias("c"))
+            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
             .where("lo < hi")
-            .select("bucket", F.col("c.cls").alias("centre"), F.col("c.comp").alias("centre_comp")),
-            f"several-{k}",
+            .select("bucket", "m"),
+            f"{name}-mixed",
         )
-        if several.isEmpty():
+        if mixed.isEmpty():
             break
-        members = materialize(
-            left.join(several, "bucket").select(
-                "bucket", "cls", "centre", (F.col("comp") == F.col("centre_comp")).alias("settled")
+        # about `centres` of a bucket's members, in the end all of them
+        chosen = F.pmod(F.xxhash64("cls", "bucket"), F.greatest(F.lit(1), F.floor(F.col("m") / centres))) == 0
+        left = materialize(left.join(mixed, "bucket").withColumn("is_centre", chosen).drop("m"), f"{name}-members")
+        hubs = materialize(
+            left.where("is_centre").select(
+                "bucket", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")
             ),
-            f"members-{k + 1}",
+            f"{name}-hubs",
+        )
+        close = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        pairs = (
+            left.join(hubs, "bucket")
+            .where((F.col("comp") != F.col("hub_comp")) & close)
+            .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
+            .distinct()
+            .join(tried, ["a", "b"], "left_anti")
         )
-    else:
-        raise RuntimeError(f"buckets left after {rounds} rounds")
+        pairs = materialize(pairs, f"{name}-pairs")
+        found = materialize(confirm(pairs, sets, percent), f"{name}-links")
+        tried = tried.union(pairs)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links, name)
+        waiting = left.where("not is_centre").select("bucket", "cls", "n")
 
     named = materialize(
-        classes.join(components_.select(F.col("id").alias("cls"), "comp"), "cls", "left").select(
+        classes.join(labels.select(F.col("id").alias("cls"), "comp"), "cls", "left").select(
             "d1", "d2", F.coalesce("comp", "cls").alias("component")
         ),
         "named",
