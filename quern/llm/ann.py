@@ -29,45 +29,61 @@ def augment(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, extra[:, None]], axis=1).astype(np.float32)
 
 
-def _nearest(a: np.ndarray, k: int) -> np.ndarray:
-    """The k most similar others of each row, most similar first."""
+def _nearest(a: np.ndarray, lo: int, hi: int, k: int) -> np.ndarray:
+    """The k most similar others among the first ``hi`` of rows lo to hi, most similar first."""
     out = []
-    for lo in range(0, len(a), 256):
-        sims = a[lo : lo + 256] @ a.T
-        sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -np.inf
-        best = np.argpartition(-sims, min(k, len(a) - 1) - 1, axis=1)[:, :k]
+    for at in range(lo, hi, 256):
+        stop = min(at + 256, hi)
+        sims = a[at:stop] @ a[:hi].T
+        sims[np.arange(stop - at), np.arange(at, stop)] = -np.inf
+        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
         order = np.argsort(-np.take_along_axis(sims, best, axis=1), axis=1, kind="stable")
         out.append(np.take_along_axis(best, order, axis=1))
     return np.concatenate(out)
 
 
-def _links(a: np.ndarray, links: int, most: int) -> np.ndarray:
-    """Neighbours [n, most] of a layer (-1: none): diverse candidates first, then links back."""
-    n = len(a)
-    if n < 2:
-        return np.full((n, most), -1, dtype=np.int32)
-    near = _nearest(a, min(CANDIDATES, n - 1))
+def _own_links(a: np.ndarray, lo: int, hi: int, links: int) -> np.ndarray:
+    """Up to ``links`` diverse neighbours of rows lo to hi among the first ``hi``: one counts if it is
+    nearer than any that was taken before it; places that stay free go to the nearest."""
+    near = _nearest(a, lo, hi, min(CANDIDATES, hi - 1))
+    x, n = a[lo:hi], hi - lo
     kept = np.full((n, links), -1, dtype=np.int64)
     count = np.zeros(n, dtype=np.int64)
     rows = np.arange(n)
     for r in range(near.shape[1]):
         c = near[:, r]
-        mine = np.einsum("nd,nd->n", a, a[c])
+        mine = np.einsum("nd,nd->n", x, a[c])
         worst = np.full(n, -np.inf, dtype=np.float32)
         for k in range(links):
             has = kept[:, k] >= 0
             if not has.any():
                 break
-            s = np.einsum("nd,nd->n", a[c[has]], a[kept[has, k]])
-            worst[has] = np.maximum(worst[has], s)
+            worst[has] = np.maximum(worst[has], np.einsum("nd,nd->n", a[c[has]], a[kept[has, k]]))
         take = (mine > worst) & (count < links)
         kept[rows[take], count[take]] = c[take]
         count[take] += 1
-    # places that stay free go to the nearest candidates
     for r in range(near.shape[1]):
         free = (count < links) & ~(kept == near[:, r : r + 1]).any(axis=1)
         kept[rows[free], count[free]] = near[free, r]
         count[free] += 1
+    return kept
+
+
+def _links(a: np.ndarray, links: int, most: int) -> np.ndarray:
+    """Neighbours [n, most] of a layer (-1: none): own links first, then links back.
+
+    Nodes enter in batches that double, and choose among those that have entered: the early ones
+    link far apart, as in insertion one by one, so that no cluster is cut off.
+    """
+    n = len(a)
+    if n < 2:
+        return np.full((n, most), -1, dtype=np.int32)
+    rows = np.arange(n)
+    own, lo, hi = [], 0, min(32, n)
+    while lo < n:
+        own.append(_own_links(a, lo, hi, links))
+        lo, hi = hi, min(2 * hi, n)
+    kept = np.concatenate(own)
     src = np.repeat(rows, links)
     dst = kept.ravel()
     src, dst = src[dst >= 0], dst[dst >= 0]

@@ -114,7 +114,7 @@ def train(col, value, bounds, y, epochs: int = 30, batch: int = 64, rate: float
     rng = np.random.default_rng(seed)
     size = BUCKETS + STRUCTURE
     p = float(np.clip(y.mean() if len(y) else 0.5, 0.01, 0.99))
-    w0, w, v = np.log(p / (1 - p)), np.zeros(size), rng.normal(0, 0.02, (size, RANK))
+    w0, w, v = np.log(p / (1 - p)), np.zeros(size), rng.normal(0, 0.02, (size, RANK)) * bool(len(y))
     g0, gw, gv = 1.0, np.full(size, 1e-2), np.full((size, RANK), 1e-2)
     for _ in range(epochs if len(y) else 0):
         order = rng.permutation(len(y))
