@@ -3,9 +3,9 @@
 Texts with the same shingle set form one class first, however many copies there are. Each class is
 sketched by one permutation (the hash range cut into bins, the least value of each bin), empty bins
 borrow by optimal densification, and bands of bins name buckets. Within a bucket a centre is compared
-with all members, so candidates are stars. Buckets whose members then lie in several components get
-more centres, eight times as many each round, each compared with members of other components only,
-until nothing is left to compare. Every candidate is confirmed on the full shingle sets.
+with all members, so candidates are stars, confirmed on the full shingle sets. Where a bucket's
+members then lie in several components, those that share enough shingles with others are compared in
+blocks, also on the full sets: links that no star's centre reaches are found.
 """
 
 from __future__ import annotations
@@ -181,6 +181,89 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def shared_counts(sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls and s: how many of its shingles stand in another of the wanted classes too."""
+    mine = materialize(sets.join(wanted, "cls", "left_semi"), "wanted-sets")
+
+    def run(batches):
+        for batch in batches:
+            blobs = [np.frombuffer(x.as_buffer(), dtype="<i8") for x in batch.column(1)]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(b) for b in blobs])
+            flat = np.concatenate(blobs) if blobs else np.empty(0, dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(flat)], names=["cls", "h"])
+
+    each = mine.select("cls", "shingles").mapInArrow(run, "cls long, h long")
+    common = materialize(each.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "shared-shingles")
+    return materialize(each.join(common, "h").groupBy("cls").agg(F.count("*").alias("s")), "shared-counts")
+
+
+def _mixed(members: DataFrame, name: str) -> DataFrame:
+    """Buckets that hold several components."""
+    return materialize(
+        members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket"),
+        f"{name}-mixed",
+    )
+
+
+def compare_groups(open_: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
+    """Links (a, b) between different components of classes that buckets (bucket, cls, comp) tie together.
+
+    Classes tied by buckets, over any number of steps, are dealt to blocks; two blocks at a time are
+    compared on the full sets by one product of incidence matrices. Only links come out, no pairs.
+    """
+    stars = open_.groupBy("bucket").agg(F.min("cls").alias("a"))
+    ties = open_.join(materialize(stars, "ties"), "bucket").where("cls != a").select("a", F.col("cls").alias("b"))
+    groups = components(materialize(ties.distinct(), "tied"), "groups").select(F.col("id").alias("cls"), F.col("comp").alias("grp"))
+    sizes = materialize(groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "group-sizes")
+    comps = open_.groupBy("cls").agg(F.min("comp").alias("comp"))
+    dealt = (
+        groups.join(sizes, "grp")
+        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+        .join(materialize(comps, "open-comps"), "cls")
+        .join(sets, "cls")
+    )
+    packed = dealt.groupBy("grp", "block").agg(
+        F.first("blocks").alias("blocks"), F.collect_list(F.struct("cls", "comp", "shingles")).alias("members")
+    )
+    packed = materialize(packed, "blocks")
+    other = packed.select("grp", F.col("block").alias("with"), F.col("members").alias("others"))
+    both = packed.select("grp", "members", "block", F.explode(F.sequence("block", F.col("blocks") - 1)).alias("with"))
+    both = both.join(other, ["grp", "with"]).select("members", "others", (F.col("block") == F.col("with")).alias("same"))
+
+    def read(cell) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        rows = cell.values
+        ids, comp = (rows.field(n).to_numpy() for n in ("cls", "comp"))
+        return ids, comp, [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in rows.field("shingles")]
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, comp, left = read(batch.column(0)[r])
+                ids2, comp2, right = read(batch.column(1)[r])
+                n, m = len(left), len(right)
+                sizes = np.array([len(x) for x in left + right])
+                _, col = np.unique(np.concatenate(left + right), return_inverse=True)
+                row = np.repeat(np.arange(n + m), sizes)
+                inter = np.zeros((n, m), dtype=np.float32)
+                order = np.argsort(col, kind="stable")
+                col, row = col[order], row[order]
+                wide = 1 << 14
+                for lo in range(0, int(col[-1]) + 1, wide):  # some columns of the incidence matrices at a time
+                    a, b = np.searchsorted(col, [lo, lo + wide])
+                    part = np.zeros((n + m, wide), dtype=np.float32)
+                    part[row[a:b], col[a:b] - lo] = 1
+                    inter += part[:n] @ part[n:].T
+                union = sizes[:n, None] + sizes[None, n:] - inter
+                hit = (100 * inter >= percent * union) & (comp[:, None] != comp2[None, :])
+                x, y = np.nonzero(hit)
+                x, y = ids[x], ids2[y]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"]
+                )
+
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """id and comp (the least id reachable) of every end of the links (a, b): least labels, with jumps."""
     arcs = materialize(
@@ -243,54 +326,25 @@ def near_duplicates(
     sets = materialize(full_sets(once, words).dropDuplicates(["cls"]), "sets")
 
     first = members.where("cls != centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct()
-    tried = materialize(first, "pairs-0")
-    links = materialize(confirm(tried, sets, percent), "links-0")
+    links = materialize(confirm(materialize(first, "pairs-0"), sets, percent), "links-0")
     labels = components(links, "round-0")
-    waiting = members.where("cls != centre").select("bucket", "cls", "n")
-    centres = 1
-    while True:
-        # what is left to compare: buckets whose members, without the centres so far, lie in several components
-        centres *= 8
-        name = f"round-{centres}"
-        left = materialize(
-            waiting.join(labels.select(F.col("id").alias("cls"), "comp"), "cls", "left").select(
-                "bucket", "cls", "n", F.coalesce("comp", "cls").alias("comp")
-            ),
-            f"{name}-left",
-        )
-        mixed = materialize(
-            left.groupBy("bucket")
-            .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"))
-            .where("lo < hi")
-            .select("bucket", "m"),
-            f"{name}-mixed",
-        )
-        if mixed.isEmpty():
-            break
-        # about `centres` of a bucket's members, in the end all of them
-        chosen = F.pmod(F.xxhash64("cls", "bucket"), F.greatest(F.lit(1), F.floor(F.col("m") / centres))) == 0
-        left = materialize(left.join(mixed, "bucket").withColumn("is_centre", chosen).drop("m"), f"{name}-members")
-        hubs = materialize(
-            left.where("is_centre").select(
-                "bucket", F.col("cls").alias("hub"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp")
-            ),
-            f"{name}-hubs",
-        )
-        close = 100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
-        pairs = (
-            left.join(hubs, "bucket")
-            .where((F.col("comp") != F.col("hub_comp")) & close)
-            .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        pairs = materialize(pairs, f"{name}-pairs")
-        found = materialize(confirm(pairs, sets, percent), f"{name}-links")
-        tried = tried.union(pairs)
+    # buckets whose members lie in several components: what the stars may have missed
+    left = materialize(
+        members.where("cls != centre")
+        .select("bucket", "cls", "n")
+        .join(labels.select(F.col("id").alias("cls"), "comp"), "cls", "left")
+        .select("bucket", "cls", "n", F.coalesce("comp", "cls").alias("comp")),
+        "left",
+    )
+    few = materialize(left.join(_mixed(left, "left"), "bucket"), "few")
+    # a class links only with classes that share enough of its shingles; many share too few with all
+    counts = shared_counts(sets, few.select("cls").distinct())
+    able = materialize(few.join(counts, "cls").where(100 * F.col("s") >= percent * F.col("n")), "able")
+    able = materialize(able.join(_mixed(able, "able"), "bucket"), "open")
+    if not able.isEmpty():
+        found = materialize(compare_groups(able, sets, percent), "links-1")
         if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links, name)
-        waiting = left.where("not is_centre").select("bucket", "cls", "n")
+            labels = components(links.union(found), "round-1")
 
     named = materialize(
         classes.join(labels.select(F.col("id").alias("cls"), "comp"), "cls", "left").select(
