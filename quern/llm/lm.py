@@ -59,10 +59,14 @@ class LogFrequencyFilter:
         self.bits, self.size = bits, size
 
     @staticmethod
-    def _places(x: np.ndarray, level: np.ndarray, probe: int, size: int) -> np.ndarray:
-        a = mix64(x ^ (level.astype(np.uint64) * _A))
-        b = (a >> np.uint64(17)) * _B | np.uint64(1)
-        return (a + np.uint64(probe) * b) % np.uint64(size)
+    def _bases(x: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Start and step of an item's places."""
+        a = mix64(x ^ (np.full(1, level, dtype=np.uint64) * _A))
+        return a, a * _B | np.uint64(1)
+
+    @staticmethod
+    def _place(a: np.ndarray, size: int) -> np.ndarray:
+        return (a >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)
 
     @classmethod
     def build(cls, ngrams: np.ndarray, counts: np.ndarray) -> LogFrequencyFilter:
@@ -70,9 +74,10 @@ class LogFrequencyFilter:
         size = max(64, int(q.sum()) * BITS)
         bits = np.zeros((size + 7) // 8 * 8, dtype=bool)
         for level in range(1, int(q.max(initial=0)) + 1):
-            x = ngrams[q >= level]
-            for k in range(PROBES):
-                bits[cls._places(x, np.full(len(x), level), k, size)] = True
+            a, step = cls._bases(ngrams[q >= level], level)
+            for _ in range(PROBES):
+                bits[cls._place(a, size)] = True
+                a += step
         return cls(np.packbits(bits, bitorder="little"), size)
 
     def probe(self, ngrams: np.ndarray) -> np.ndarray:
@@ -82,9 +87,11 @@ class LogFrequencyFilter:
         level = 0
         while len(alive):
             level += 1
-            for k in range(PROBES):
-                at = self._places(ngrams[alive], np.full(len(alive), level), k, self.size)
-                alive = alive[(self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            a, step = self._bases(ngrams[alive], level)
+            for _ in range(PROBES):
+                at = self._place(a, self.size)
+                hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                alive, a, step = alive[hit], a[hit] + step[hit], step[hit]
             q[alive] = level
         return q
 
@@ -118,17 +125,25 @@ class Block:
         before[self.starts] = START
         return mix64(before * _A + mix64(h) * _B)
 
-    def ngrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct n-grams, their training counts, for each token the number of its pair): words first."""
-        pairs, inverse = np.unique(self.pairs(), return_inverse=True)
-        words = np.bincount(self.codes[self.training], minlength=len(self.words))
-        counts = np.bincount(inverse[self.training], minlength=len(pairs))
+    def word_counts(self) -> np.ndarray:
+        """Training counts of the distinct words."""
+        return np.bincount(self.codes[self.training], minlength=len(self.words))
+
+    def training_ngrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Words, pairs and the start of training documents, with their counts."""
+        counts = self.word_counts()
+        pairs, n = np.unique(self.pairs()[self.training], return_counts=True)
+        starts = int((~self.held).sum())
         return (
-            np.concatenate([self.words, pairs, [START]]),
-            np.concatenate([words, counts, [int((~self.held).sum())]]),
-            inverse + len(self.words),
+            np.concatenate([self.words[counts > 0], pairs, [START] * bool(starts)]).astype(np.uint64),
+            np.concatenate([counts[counts > 0], n, [starts] * bool(starts)]).astype(np.int64),
         )
 
+    def ngrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of all documents (words first, the start last), and each token's pair among them."""
+        pairs, inverse = np.unique(self.pairs(), return_inverse=True)
+        return np.concatenate([self.words, pairs, [START]]), inverse + len(self.words)
+
 
 _BLOCK = "block long, doc_ids array<bigint>, n_words binary, codes binary, words binary"
 
@@ -168,22 +183,31 @@ def _block_rows(batches) -> Iterator[Block]:
             yield Block({n: batch.column(i)[row].as_py() for i, n in enumerate(batch.schema.names) if n in _BLOCK})
 
 
-def _spread(batches, segments: int, exact: bool):
-    """(segment, block, n-grams, training counts) of each block: its words alone, or all its n-grams."""
+def _cuts(seg: np.ndarray, segments: int) -> list[np.ndarray]:
+    """For each segment, the places of its members."""
+    order = np.argsort(seg.astype(np.int32), kind="stable")
+    at = np.searchsorted(seg[order], np.arange(segments + 1))
+    return [order[a:c] for a, c in zip(at[:-1], at[1:], strict=True)]
+
+
+def _spread(batches, segments: int, what: str):
+    """(segment, block, n-grams, training counts) of each block: its ``words`` alone, its ``training``
+    n-grams, or ``all`` of them without counts."""
     for b in _block_rows(batches):
-        x, counts, _ = b.ngrams()
-        if exact:
-            x, counts = x[: len(b.words)], counts[: len(b.words)]
-        seg = _segments(x, segments)
-        order = np.argsort(seg, kind="stable")
-        cuts = np.searchsorted(seg[order], np.arange(segments + 1))
-        rows = [order[a:c] for a, c in zip(cuts[:-1], cuts[1:], strict=True)]
+        if what == "words":
+            x, counts = b.words, b.word_counts()
+        elif what == "training":
+            x, counts = b.training_ngrams()
+        else:
+            x = b.ngrams()[0]
+            counts = np.zeros(0, dtype=np.int64)
+        rows = _cuts(_segments(x, segments), segments)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(range(segments), pa.int32()),
                 pa.array([b.id] * segments, pa.int64()),
                 pa.array([x[r].tobytes() for r in rows], pa.binary()),
-                pa.array([counts[r].astype("<i4").tobytes() for r in rows], pa.binary()),
+                pa.array([counts[r].astype("<i4").tobytes() if len(counts) else b"" for r in rows], pa.binary()),
             ],
             names=["segment", "block", "ngrams", "counts"],
         )
@@ -192,21 +216,20 @@ def _spread(batches, segments: int, exact: bool):
 _SPREAD = "segment int, block long, ngrams binary, counts binary"
 
 
-def _sum_counts(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct n-grams of a segment, their counts over all blocks, and each block's places in them."""
-    each = [np.frombuffer(x.as_py(), dtype="<u8") for x in table.column("ngrams")]
-    counts = np.concatenate([np.frombuffer(x.as_py(), dtype="<i4") for x in table.column("counts")])
-    x, inverse = np.unique(np.concatenate(each), return_inverse=True)
-    total = np.bincount(inverse, weights=counts, minlength=len(x)).astype(np.int64)
-    cuts = np.cumsum([len(e) for e in each])[:-1]
-    return x, total, np.split(inverse, cuts)
+def _joined(table: pa.Table, name: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """A column of arrays end to end, and where each ends but the last."""
+    each = [np.frombuffer(x.as_buffer(), dtype=dtype) for chunk in table.column(name).chunks for x in chunk]
+    return np.concatenate(each), np.cumsum([len(e) for e in each])[:-1]
 
 
 def word_totals(blocks_: DataFrame, segments: int) -> DataFrame:
     """segment, block, totals (exact training counts of the block's words there), tokens and types of the segment."""
 
     def total(key, table):
-        x, counts, places = _sum_counts(table)
+        (each, cuts), (n_each, _) = _joined(table, "ngrams", "<u8"), _joined(table, "counts", "<i4")
+        x, inverse = np.unique(each, return_inverse=True)
+        counts = np.bincount(inverse, weights=n_each, minlength=len(x)).astype(np.int64)
+        places = np.split(inverse, cuts)
         n = len(places)
         return pa.table(
             {
@@ -218,7 +241,7 @@ def word_totals(blocks_: DataFrame, segments: int) -> DataFrame:
             }
         )
 
-    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, True), _SPREAD)
+    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, "words"), _SPREAD)
     return spread.groupBy("segment").applyInArrow(
         total, "segment int, block long, totals binary, tokens long, types long"
     )
@@ -228,8 +251,11 @@ def filters(blocks_: DataFrame, segments: int) -> DataFrame:
     """segment, size and bits of the filter over all training n-grams of each segment."""
 
     def build(key, table):
-        x, counts, _ = _sum_counts(table)
-        made = LogFrequencyFilter.build(x[counts > 0], counts[counts > 0])
+        each, n_each = _joined(table, "ngrams", "<u8")[0], _joined(table, "counts", "<i4")[0]
+        order = np.argsort(each)
+        each, n_each = each[order], n_each[order]
+        first = np.flatnonzero(np.diff(each, prepend=~each[:1]) != 0) if len(each) else order
+        made = LogFrequencyFilter.build(each[first], np.add.reduceat(n_each, first) if len(first) else first)
         return pa.table(
             {
                 "segment": pa.array([key[0].as_py()], pa.int32()),
@@ -238,7 +264,7 @@ def filters(blocks_: DataFrame, segments: int) -> DataFrame:
             }
         )
 
-    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, False), _SPREAD)
+    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, "training"), _SPREAD)
     return spread.groupBy("segment").applyInArrow(build, "segment int, size long, bits binary")
 
 
@@ -262,11 +288,11 @@ def routed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> Dat
                 names=["block", "segment", "levels"],
             )
 
-    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, False), _SPREAD).drop("counts")
+    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, "all"), _SPREAD).drop("counts")
     return spread.join(filters_, "segment").mapInArrow(probe, "block long, segment int, levels binary")
 
 
-def score(docs: DataFrame, block_bytes: int = 1 << 22, broadcast_bytes: int = 96 << 20, segment_tokens: int = 1 << 22):
+def score(docs: DataFrame, block_bytes: int = 1 << 22, broadcast_bytes: int = 96 << 20, segment_tokens: int = 1 << 20):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     p(w | u) = 0.8 p(w) + 0.2 c(uw) / c(u), with p(w) = (c(w) + 1) / (N + V + 1) and all counts but N
@@ -303,20 +329,20 @@ def score(docs: DataFrame, block_bytes: int = 1 << 22, broadcast_bytes: int = 96
             for row in range(batch.num_rows):
                 get = {n: batch.column(i)[row].as_py() for i, n in enumerate(names)}
                 b = Block(get)
-                x, _, pair_of = b.ngrams()
+                x, pair_of = b.ngrams()
                 n_words = len(b.words)
                 counts = np.zeros(n_words, dtype=np.int64)
-                seg = _segments(x, segments)
+                places = _cuts(_segments(x, segments), segments)
                 for part in get["exact"]:
-                    counts[seg[:n_words] == part["segment"]] = np.frombuffer(part["totals"], dtype="<i8")
+                    mine = places[part["segment"]]
+                    counts[mine[mine < n_words]] = np.frombuffer(part["totals"], dtype="<i8")
                 q = np.zeros(len(x), dtype=np.int32)
                 if own is None:
                     for part in get["levels"]:
-                        q[seg == part["segment"]] = np.frombuffer(part["levels"], dtype="<i2")
+                        q[places[part["segment"]]] = np.frombuffer(part["levels"], dtype="<i2")
                 else:
                     for s, lf in own.items():
-                        mine = np.flatnonzero(seg == s)
-                        q[mine] = lf.probe(x[mine])
+                        q[places[s]] = lf.probe(x[places[s]])
                 c = expected(q)
                 word = c[b.codes]
                 context = np.empty_like(word)
