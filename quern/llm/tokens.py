@@ -9,11 +9,19 @@ whole text.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 
 #: White space after a space, or a space at the end: only then could a match cross a chunk's start.
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
+#: Signs that are never part of a word's match when they follow a letter.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+def _letters(text: str) -> bool:
+    """Letters only, also once the vocabulary has normalised it."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text.lower()).isalpha())
 
 
 class ChunkEncoder:
@@ -34,37 +42,71 @@ class ChunkEncoder:
         self.keep = keep
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # a full memory stays for a while: frequent chunks move on
+        self.tails: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.first = np.zeros(max(vocab.values()) + 1, dtype=bool)
         if spaces:
             self.first[[i for piece, i in vocab.items() if piece.startswith("Ġ")]] = True
         else:
             self.first[self.tokenizer.encode(self.MARK, add_special_tokens=False).ids] = True
+            self.last = np.zeros(len(self.first), dtype=bool)
+            self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         out = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in out]
 
-    def _encode_chunks(self, chunks: list[str], together: int = 400) -> list[bytes]:
+    def _cut(self, encoded, first: np.ndarray, group: list[str], skip: int) -> list[bytes] | None:
+        """Ids of each chunk of a joined text, told apart by marked ids; None if the numbers differ."""
+        ids = np.array(encoded.ids, dtype="<u4")
+        cuts = np.flatnonzero(first[ids])
+        if len(cuts) != len(group):
+            return None
+        raw = ids.tobytes()
+        ends = [*cuts[1:].tolist(), len(ids)]
+        return [raw[4 * (a + skip) : 4 * b] for a, b in zip(cuts.tolist(), ends, strict=True)]
+
+    def _encode_chunks(self, chunks: list[str], together: int = 400) -> dict[str, bytes]:
         """Ids of chunks (with a space before each, if they keep it)."""
-        groups = [chunks[i : i + together] for i in range(0, len(chunks), together)]
-        sep = " " if self.spaces else f" {self.MARK} "
-        joined = [sep + sep.join(g) for g in groups]
-        out: list[bytes] = []
-        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
-            ids = np.array(encoded.ids, dtype="<u4")
-            cuts = np.flatnonzero(self.first[ids])
-            if len(cuts) != len(group):  # a chunk holds the mark itself
-                out += self._encode([" " + c for c in group] if self.spaces else group)
-                continue
-            raw, skip = ids.tobytes(), 0 if self.spaces else 1
-            ends = [*cuts[1:].tolist(), len(ids)]
-            out += [raw[4 * (a + skip) : 4 * b] for a, b in zip(cuts.tolist(), ends, strict=True)]
+        out: dict[str, bytes] = {}
+        if self.spaces:
+            kinds = [(chunks, " ", self.first, 0)]
+        else:  # a word of letters alone has one id that ends it
+            words = [c for c in chunks if _letters(c)]
+            kinds = [(words, " ", None, 0), ([c for c in chunks if not _letters(c)], f" {self.MARK} ", self.first, 1)]
+        for some, sep, first, skip in kinds:
+            groups = [some[i : i + together] for i in range(0, len(some), together)]
+            joined = [sep + sep.join(g) for g in groups]
+            for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                if first is None:
+                    ids = np.array(encoded.ids, dtype="<u4")
+                    stops = np.flatnonzero(self.last[ids]) + 1
+                    raw, starts = ids.tobytes(), [0, *stops[:-1].tolist()]
+                    got = [raw[4 * a : 4 * b] for a, b in zip(starts, stops.tolist(), strict=True)] if len(stops) == len(group) else None
+                else:
+                    got = self._cut(encoded, first, group, skip)
+                if got is None:  # a chunk holds the mark itself, or none of the kind's signs
+                    got = self._encode([" " + c for c in group] if self.spaces else group)
+                out.update(zip(group, got, strict=True))
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        """Encodes new chunks: a word and the signs after it apart, for words recur with other signs."""
+        stems = {c: c.rstrip(_SIGNS) for c in new}
+        split = {c: s for c, s in stems.items() if s is not c and s != c and s and _letters(s[-1])}
+        need = {split.get(c, c) for c in new}.difference(self.known, self.older)
+        self.known.update(self._encode_chunks(list(need)))
+        tails = list({c[len(s) :] for c, s in split.items()}.difference(self.tails))
+        self.tails.update(zip(tails, self._encode(tails), strict=True))
+        for c, s in split.items():
+            ids = self.known.get(s)
+            self.known[c] = (self.older[s] if ids is None else ids) + self.tails[c[len(s) :]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         whole = [self.spaces and bool(_ODD_SPACE.search(t)) for t in texts]
+        if not self.spaces:  # this vocabulary lower-cases anyway
+            texts = [t.lower() if t.isascii() else t for t in texts]
         cut = [None if w else t.split(" ") for t, w in zip(texts, whole, strict=True)]
         heads: list[str] = []
         if self.spaces:  # the first chunk has no space before it
@@ -75,7 +117,7 @@ class ChunkEncoder:
         missing = wanted.difference(self.known)
         self.known.update((c, self.older[c]) for c in missing.intersection(self.older))
         if new := list(missing.difference(self.older)):
-            self.known.update(zip(new, self._encode_chunks(new), strict=True))
+            self._learn(new)
         head = iter(self._encode(heads))
         odd = iter(self._encode([t for t, w in zip(texts, whole, strict=True) if w]))
         get = self.known.__getitem__
