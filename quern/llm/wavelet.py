@@ -38,11 +38,11 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, zeros = [], []
         for b in range(levels - 1, -1, -1):
-            bit = (x >> x.dtype.type(b)) & x.dtype.type(1) != 0
+            bit = (x & x.dtype.type(1 << b)).astype(bool)
             planes.append(np.packbits(bit, bitorder="little"))
-            low = x[~bit]
+            low = np.flatnonzero(~bit)
             zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            x = np.concatenate([x.take(low), x.take(np.flatnonzero(bit))])
         return cls(len(ids), planes, zeros)
 
     def to_bytes(self) -> bytes:
@@ -130,10 +130,10 @@ class WaveletMatrix:
         """All ids: the planes undone from the lowest bit up."""
         x = np.zeros(self.n, dtype=np.uint16 if self.levels <= 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~bit] = x[: self.zeros[level]]
-            y[bit] = x[self.zeros[level] :] | x.dtype.type(1 << (self.levels - 1 - level))
+            y[np.flatnonzero(~bit)] = x[: self.zeros[level]]
+            y[np.flatnonzero(bit)] = x[self.zeros[level] :] | x.dtype.type(1 << (self.levels - 1 - level))
             x = y
         return x.astype(np.uint32)
 
@@ -141,7 +141,7 @@ class WaveletMatrix:
 class ShardWriter:
     """Writes one shard file block by block; memory is bounded by a block and the documents' index."""
 
-    def __init__(self, sink, levels: int, block: int = 1 << 19):
+    def __init__(self, sink, levels: int, block: int = 1 << 18):
         self.sink, self.levels, self.block = sink, levels, block
         self.at = sink.write(MAGIC) or len(MAGIC)
         self.at = len(MAGIC)
