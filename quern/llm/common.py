@@ -42,8 +42,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts stays small."""
+    """Arrow batches of few rows and bytes, so that a batch of very long texts or large blobs stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def filesystem(uri: str):

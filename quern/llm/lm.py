@@ -29,6 +29,7 @@ END, START = np.uint64(0x5BF0_3635_F0A3_11E1), np.uint64(0x2545_F491_4F6C_DD1D)
 GROWTH, BITS, PROBES = 1.5, 12, 8
 #: Weight of the unigram in the interpolated probability.
 BACKOFF = 0.8
+KEY = np.uint64((1 << 48) - 1)
 _A, _B = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -96,6 +97,17 @@ class LogFrequencyFilter:
         return q
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Filter keys (n-gram hashes cut to 48 bits) as six bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack(data) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _segments(x: np.ndarray, n: int) -> np.ndarray:
     return ((mix64(x ^ _B) >> np.uint64(33)) % np.uint64(n)).astype(np.int64)
 
@@ -118,12 +130,12 @@ class Block:
         self.training = np.repeat(~self.held, self.lengths)
 
     def pairs(self) -> np.ndarray:
-        """The hash of each token after its context."""
+        """The filter key of each token after its context."""
         h = self.words[self.codes]
         before = np.empty_like(h)
         before[1:] = h[:-1]
         before[self.starts] = START
-        return mix64(before * _A + mix64(h) * _B)
+        return mix64(before * _A + mix64(h) * _B) & KEY
 
     def word_counts(self) -> np.ndarray:
         """Training counts of the distinct words."""
@@ -135,14 +147,13 @@ class Block:
         pairs, n = np.unique(self.pairs()[self.training], return_counts=True)
         starts = int((~self.held).sum())
         return (
-            np.concatenate([self.words[counts > 0], pairs, [START] * bool(starts)]).astype(np.uint64),
+            np.concatenate([self.words[counts > 0] & KEY, pairs, [START & KEY] * bool(starts)]).astype(np.uint64),
             np.concatenate([counts[counts > 0], n, [starts] * bool(starts)]).astype(np.int64),
         )
 
-    def ngrams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of all documents (words first, the start last), and each token's pair among them."""
-        pairs, inverse = np.unique(self.pairs(), return_inverse=True)
-        return np.concatenate([self.words, pairs, [START]]), inverse + len(self.words)
+    def ngrams(self) -> np.ndarray:
+        """Filter keys of the distinct words, the distinct pairs and the start, of all documents."""
+        return np.concatenate([self.words & KEY, np.unique(self.pairs()), [START & KEY]])
 
 
 _BLOCK = "block long, doc_ids array<bigint>, n_words binary, codes binary, words binary"
@@ -199,14 +210,14 @@ def _spread(batches, segments: int, what: str):
         elif what == "training":
             x, counts = b.training_ngrams()
         else:
-            x = b.ngrams()[0]
+            x = b.ngrams()
             counts = np.zeros(0, dtype=np.int64)
         rows = _cuts(_segments(x, segments), segments)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(range(segments), pa.int32()),
                 pa.array([b.id] * segments, pa.int64()),
-                pa.array([x[r].tobytes() for r in rows], pa.binary()),
+                pa.array([x[r].tobytes() if what == "words" else pack(x[r]) for r in rows], pa.binary()),
                 pa.array([counts[r].astype("<i4").tobytes() if len(counts) else b"" for r in rows], pa.binary()),
             ],
             names=["segment", "block", "ngrams", "counts"],
@@ -216,17 +227,25 @@ def _spread(batches, segments: int, what: str):
 _SPREAD = "segment int, block long, ngrams binary, counts binary"
 
 
-def _joined(table: pa.Table, name: str, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+def _joined(table: pa.Table, name: str, read) -> tuple[np.ndarray, np.ndarray]:
     """A column of arrays end to end, and where each ends but the last."""
-    each = [np.frombuffer(x.as_buffer(), dtype=dtype) for chunk in table.column(name).chunks for x in chunk]
+    each = [read(x.as_buffer()) for chunk in table.column(name).chunks for x in chunk]
     return np.concatenate(each), np.cumsum([len(e) for e in each])[:-1]
 
 
+def _u8(data) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u8")
+
+
+def _i4(data) -> np.ndarray:
+    return np.frombuffer(data, dtype="<i4")
+
+
 def word_totals(blocks_: DataFrame, segments: int) -> DataFrame:
     """segment, block, totals (exact training counts of the block's words there), tokens and types of the segment."""
 
     def total(key, table):
-        (each, cuts), (n_each, _) = _joined(table, "ngrams", "<u8"), _joined(table, "counts", "<i4")
+        (each, cuts), (n_each, _) = _joined(table, "ngrams", _u8), _joined(table, "counts", _i4)
         x, inverse = np.unique(each, return_inverse=True)
         counts = np.bincount(inverse, weights=n_each, minlength=len(x)).astype(np.int64)
         places = np.split(inverse, cuts)
@@ -251,7 +270,7 @@ def filters(blocks_: DataFrame, segments: int) -> DataFrame:
     """segment, size and bits of the filter over all training n-grams of each segment."""
 
     def build(key, table):
-        each, n_each = _joined(table, "ngrams", "<u8")[0], _joined(table, "counts", "<i4")[0]
+        each, n_each = _joined(table, "ngrams", unpack)[0], _joined(table, "counts", _i4)[0]
         order = np.argsort(each)
         each, n_each = each[order], n_each[order]
         first = np.flatnonzero(np.diff(each, prepend=~each[:1]) != 0) if len(each) else order
@@ -276,9 +295,9 @@ def routed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> Dat
             at = {n: batch.schema.get_field_index(n) for n in ("block", "segment", "ngrams", "size", "bits")}
             levels = []
             for r in range(batch.num_rows):
-                bits = np.frombuffer(batch.column(at["bits"])[r].as_py(), dtype=np.uint8)
+                bits = np.frombuffer(batch.column(at["bits"])[r].as_buffer(), dtype=np.uint8)
                 lf = LogFrequencyFilter(bits, batch.column(at["size"])[r].as_py())
-                levels.append(lf.probe(np.frombuffer(batch.column(at["ngrams"])[r].as_py(), "<u8")).astype("<i2"))
+                levels.append(lf.probe(unpack(batch.column(at["ngrams"])[r].as_buffer())).astype(np.uint8))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(at["block"]),
@@ -292,7 +311,7 @@ def routed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> Dat
     return spread.join(filters_, "segment").mapInArrow(probe, "block long, segment int, levels binary")
 
 
-def score(docs: DataFrame, block_bytes: int = 1 << 22, broadcast_bytes: int = 96 << 20, segment_tokens: int = 1 << 20):
+def score(docs: DataFrame, block_bytes: int = 1 << 21, broadcast_bytes: int = 64 << 20, segment_tokens: int = 1 << 20):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     p(w | u) = 0.8 p(w) + 0.2 c(uw) / c(u), with p(w) = (c(w) + 1) / (N + V + 1) and all counts but N
@@ -329,17 +348,19 @@ def score(docs: DataFrame, block_bytes: int = 1 << 22, broadcast_bytes: int = 96
             for row in range(batch.num_rows):
                 get = {n: batch.column(i)[row].as_py() for i, n in enumerate(names)}
                 b = Block(get)
-                x, pair_of = b.ngrams()
                 n_words = len(b.words)
                 counts = np.zeros(n_words, dtype=np.int64)
-                places = _cuts(_segments(x, segments), segments)
+                places = _cuts(_segments(b.words, segments), segments)
                 for part in get["exact"]:
-                    mine = places[part["segment"]]
-                    counts[mine[mine < n_words]] = np.frombuffer(part["totals"], dtype="<i8")
+                    counts[places[part["segment"]]] = np.frombuffer(part["totals"], dtype="<i8")
+                pairs, pair_of = np.unique(b.pairs(), return_inverse=True)
+                pair_of += n_words
+                x = np.concatenate([b.words & KEY, pairs, [START & KEY]])
+                places = _cuts(_segments(x, segments), segments)
                 q = np.zeros(len(x), dtype=np.int32)
                 if own is None:
                     for part in get["levels"]:
-                        q[places[part["segment"]]] = np.frombuffer(part["levels"], dtype="<i2")
+                        q[places[part["segment"]]] = np.frombuffer(part["levels"], dtype=np.uint8)
                 else:
                     for s, lf in own.items():
                         q[places[s]] = lf.probe(x[places[s]])
