@@ -149,69 +149,68 @@ _ITEMS = r"(?:\.(?:[^.\[\\]|\\.)*\[\])+\z"
 
 
 def field_stats(merged: DataFrame, totals: DataFrame, group: list[str], patch: str | None = None) -> DataFrame:
-    """Per (group, path): types, presence, sample_count, confidence, required and stable.
+    """Per (group, path): types, variants, presence, sample_count, confidence, required and stable.
 
     ``totals`` has the bodies or samples of each group (column ``total``). A property's sample_count
     is the group's total below a root object and the parent's count below other plain objects; below
     a union or an array's items it is the property's own count. Required means present as often as
     the enclosing object, where items of an array field take the object that encloses the array;
     never below a union or a root array, nor where the boolean column ``patch`` holds.
+
+    A group's paths are looked at together (a schema's size, not the bodies'), so bodies are read once.
     """
     paths = merged.groupBy(*group, "path").agg(
         F.sum("n").alias("presence"),
         F.array_sort(F.collect_list("type")).alias("types"),
-        F.min("first").alias("first"),
+        F.array_sort(F.collect_list(F.struct("first", "type", "n", "format"))).alias("variants"),
     )
-    paths = paths.withColumns(
+    whole = paths.groupBy(*group).agg(F.collect_list(F.struct("path", "presence", "types", "variants")).alias("all"))
+    whole = whole.join(totals, group).withColumns(
         {
-            "parent": F.when(F.col("path") != "", F.regexp_replace("path", _LAST, "")),
-            "is_property": F.col("path").rlike(r"\.(?:[^.\[\\]|\\.)*\z"),
+            "counts": F.map_from_entries(F.transform("all", lambda x: F.struct(x["path"], x["presence"]))),
+            "unions": F.transform(F.filter("all", lambda x: F.size(x["types"]) > 1), lambda x: x["path"]),
         }
     )
-    base = F.regexp_replace(F.col("parent"), _ITEMS, "")
-    paths = paths.withColumn("base", F.when(F.col("is_property"), base))
-    # every proper ancestor of a path, to find unions above it
-    cuts = F.transform(
-        F.sequence(F.lit(1), F.size(F.split("path", r"(?=(?<!\\)[.\[])")) + 1),
-        lambda k: F.array_join(F.slice(F.split("path", r"(?=(?<!\\)[.\[])"), F.lit(1), k - 1), ""),
-    )
-    ancestors = paths.where("path != ''").select(*group, "path", F.explode(F.array_distinct(cuts)).alias("above"))
-    ancestors = ancestors.where(F.col("above") != F.col("path"))
-    unions = paths.where(F.size("types") > 1).select(*group, F.col("path").alias("above"))
-    below = ancestors.join(unions, [*group, "above"]).select(*group, "path").distinct().withColumn("below", F.lit(True))
-    counts = paths.select(*group, F.col("path").alias("parent"), F.col("presence").alias("parent_n"))
-    bases = paths.select(*group, F.col("path").alias("base"), F.col("presence").alias("base_n"))
-    out = (
-        paths.join(totals, group)
-        .join(counts, [*group, "parent"], "left")
-        .join(bases, [*group, "base"], "left")
-        .join(below, [*group, "path"], "left")
+    keep = [*group, "total", "counts", "unions", *([patch] if patch else [])]
+    one = whole.select(*keep, F.inline("all"))
+    parent = F.regexp_replace("path", _LAST, "")
+    one = one.withColumns(
+        {
+            "parent": parent,
+            "is_property": F.col("path").rlike(r"\.(?:[^.\[\\]|\\.)*\z"),
+            # a union at a proper ancestor
+            "below": F.exists(
+                "unions",
+                lambda u: F.startswith(F.col("path"), F.concat(u, F.lit("."))) | F.startswith(F.col("path"), F.concat(u, F.lit("["))),
+            ),
+        }
     )
-    under_items = F.col("parent").contains("[]") | F.coalesce(F.col("below"), F.lit(False))
+    base = F.regexp_replace("parent", _ITEMS, "")
+    under_items = F.col("parent").contains("[]") | F.col("below")
     sample_count = (
-        F.when((F.col("parent") == "") & F.col("is_property") & ~F.coalesce(F.col("below"), F.lit(False)), F.col("total"))
-        .when(F.col("is_property") & ~under_items, F.col("parent_n"))
+        F.when((F.col("parent") == "") & F.col("is_property") & ~F.col("below"), F.col("total"))
+        .when(F.col("is_property") & ~under_items, F.element_at("counts", F.col("parent")))
         .otherwise(F.col("presence"))
     )
-    enclosing = F.when(F.col("base") == "", F.col("total")).otherwise(F.col("base_n"))
+    enclosing = F.when(base == "", F.col("total")).otherwise(F.element_at("counts", base))
     may = (
         F.col("is_property")
-        & F.col("below").isNull()
+        & ~F.col("below")
         & ~F.startswith("path", F.lit("[]"))
         & ~F.col("parent").contains("[][]")
     )
     if patch:
         may = may & ~F.col(patch)
-    return out.select(
+    return one.select(
         *group,
         "path",
         "types",
+        "variants",
         "presence",
         sample_count.alias("sample_count"),
         (F.col("presence") / sample_count).alias("confidence"),
-        (may & (F.col("presence") == enclosing)).alias("required"),
+        (may & F.coalesce(F.col("presence") == enclosing, F.lit(False))).alias("required"),
         (F.size("types") == 1).alias("stable"),
-        "first",
     )
 
 
@@ -240,17 +239,14 @@ def confidence(n, required, fields, stable):
     return size * 0.4 + share(required) * 0.4 + share(stable) * 0.2
 
 
-def assemble(merged: DataFrame, stats: DataFrame, enum: DataFrame, group: list[str]) -> DataFrame:
+def assemble(stats: DataFrame, enum: DataFrame, group: list[str]) -> DataFrame:
     """(group, schema): the nested schema of each group as JSON, from its reduced rows.
 
     A node has type, format, enum, properties, required, items, oneOf and stats, where they apply.
     """
-    rows = (
-        merged.withColumnRenamed("first", "seen")
-        .join(stats.select(*group, "path", "required", "sample_count"), [*group, "path"])
-        .join(enum, [*group, "path"], "left")
-        .select(*group, "path", "type", "n", "format", "seen", "required", "sample_count", F.to_json("enum").alias("enum"))
-    )
+    each = stats.select(*group, "path", "required", "sample_count", F.inline("variants"))
+    rows = each.withColumnRenamed("first", "seen").join(enum, [*group, "path"], "left")
+    rows = rows.withColumn("enum", F.to_json("enum"))
     packed = F.to_json(F.array_sort(F.collect_list(F.struct("seen", "path", "type", "n", "format", "required", "sample_count", "enum"))))
     reduced = rows.groupBy(*group).agg(packed.alias("rows"))
 

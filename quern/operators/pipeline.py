@@ -19,7 +19,7 @@ def _schemas(samples: DataFrame, body: str, group: list[str], patch: bool) -> tu
     if patch:
         totals = totals.withColumn("is_patch", F.col("http_method") == "PATCH")
     stats = facts.field_stats(merged, totals, group, "is_patch" if patch else None)
-    return facts.assemble(merged, stats, facts.enums(found, totals, group), group), stats
+    return facts.assemble(stats, facts.enums(found, totals, group), group), stats
 
 
 def aggregate_session(samples: DataFrame) -> DataFrame:

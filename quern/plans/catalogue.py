@@ -150,8 +150,8 @@ def confidence_scores(spark, sf):
 
 @query()
 def merged_schemas(spark, sf):
-    found, merged, totals, stats = _merged(spark, sf)
-    return facts.assemble(merged, stats, facts.enums(found, totals, ["resource"]), ["resource"])
+    found, _, totals, stats = _merged(spark, sf)
+    return facts.assemble(stats, facts.enums(found, totals, ["resource"]), ["resource"])
 
 
 @query(

@@ -43,7 +43,7 @@ def schema_of(spark, bodies, patch=False):
     found = facts.infer_facts(df)
     merged = facts.merge_facts(found, ["g"])
     stats = facts.field_stats(merged, totals, ["g"], "patch")
-    out = facts.assemble(merged, stats, facts.enums(found, totals, ["g"]), ["g"]).collect()
+    out = facts.assemble(stats, facts.enums(found, totals, ["g"]), ["g"]).collect()
     return json.loads(out[0].schema) if out else None
 
 
