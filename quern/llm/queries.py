@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import ann, bpe, langid, lm, media, neardup, packing, quality, urlfilter, wavelet
 from quern.llm.common import table
@@ -19,7 +20,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit packing of all documents into sequences of 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), 2048, 0, with_ids=False).withColumn(
-        "length", packing.F.col("length").cast("long")
+        "length", F.col("length").cast("long")
     )
 
 
@@ -64,7 +65,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all pages' urls."""
-    return urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    out = urlfilter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+    return out.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_low")})
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,4 +98,40 @@ QUERIES = {
     "op9_urlfilter": op9_urlfilter,
     "op10_media": op10_media,
 }
-ORACLE: dict[str, str] = {}
+
+
+def _weight(level: str) -> str:
+    """The weight of a level's prior in SQL, from rows n, bad and prior."""
+    return f"""(SELECT CASE WHEN coalesce(sum(n * (n - 1)), 0) = 0 THEN 10 ELSE least(greatest(1 / least(greatest(
+      sum(pow(bad - n * prior, 2) / (prior * (1 - prior)) - n) / sum(n * (n - 1)), 0.001), 0.5) - 1, 1), 1000) END AS k
+      FROM {level} WHERE n > 1 AND prior > 0 AND prior < 1)"""
+
+
+_DEEP = "len(l) >= 3 AND length(l[len(l)]) = 2 AND list_contains(['ac', 'co', 'com', 'edu', 'gov', 'net', 'org'], l[len(l) - 1])"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP9_SQL = f"""
+WITH s AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR coalesce(toxic, 0) = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY 1),
+counted AS (SELECT host, string_split(host, '.') AS l, CAST(count(bad) AS DOUBLE) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS bad
+  FROM s LEFT JOIN known USING (page_id) WHERE host <> '' GROUP BY host),
+named AS (SELECT host, n, bad, array_to_string(l[greatest(1, len(l) - CASE WHEN {_DEEP} THEN 2 ELSE 1 END):], '.') AS domain FROM counted),
+hosts AS (SELECT *, regexp_replace(domain, '^[^.]*\\.', '') AS suffix FROM named),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM hosts) AS prior FROM hosts GROUP BY suffix),
+suffix_rates AS (SELECT suffix, (bad + k * prior) / (n + k) AS prior FROM suffixes, {_weight("suffixes")}),
+domains AS (SELECT domain, sum(n) AS n, sum(bad) AS bad, any_value(prior) AS prior FROM hosts JOIN suffix_rates USING (suffix) GROUP BY domain),
+domain_rates AS (SELECT domain, (bad + k * prior) / (n + k) AS prior FROM domains, {_weight("domains")}),
+rated AS (SELECT host, n, bad, prior FROM hosts JOIN domain_rates USING (domain)),
+post AS (SELECT host, (bad + k * prior) / (n + k) AS rate, n + k AS w FROM rated, {_weight("rated")}),
+low AS (SELECT host, rate, rate - 1.645 * sqrt(rate * (1 - rate) / (w + 1)) AS low FROM post),
+j AS (SELECT page_id, s.host, path, rate, low, CASE
+    WHEN (s.host = 'example.com' OR ends_with(s.host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+    WHEN (s.host = 'example.net' OR ends_with(s.host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+    WHEN (s.host = 'com' OR ends_with(s.host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
+    WHEN (s.host = 'net' OR ends_with(s.host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
+    WHEN (s.host = 'org' OR ends_with(s.host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule
+  FROM s LEFT JOIN low ON s.host = low.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(rate, 6) AS bad_rate, round(low, 6) AS bad_low FROM j"""
+
+ORACLE: dict[str, str] = {"op9_urlfilter": OP9_SQL}

@@ -95,3 +95,22 @@ def test_reputation_shrinks_and_blocks(spark):
 def test_domains(spark, host, domain, end):
     df = spark.createDataFrame([(host,)], "h string").select(urlfilter.registered_domain(F.col("h")), urlfilter.suffix(F.col("h")))
     assert tuple(df.first()) == (domain, end)
+
+
+def test_same_rows_as_sql(spark, sf):
+    import glob
+    import os
+
+    import duckdb
+
+    from quern.llm.queries import ORACLE, QUERIES
+
+    c = duckdb.connect()
+    for p in glob.glob(f"{sf}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from '{p}'")
+    for name, sql in ORACLE.items():
+        got = QUERIES[name](spark, sf)
+        want = c.execute(sql)
+        columns = [d[0] for d in want.description]
+        assert sorted(columns) == sorted(got.columns)
+        assert sorted(map(repr, (tuple(r[k] for k in columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
