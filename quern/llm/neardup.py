@@ -208,18 +208,18 @@ def _mixed(members: DataFrame, name: str) -> DataFrame:
 def compare_groups(open_: DataFrame, sets: DataFrame, percent: int, block: int = 128) -> DataFrame:
     """Links (a, b) between different components of classes that buckets (bucket, cls, comp) tie together.
 
-    Classes tied by buckets, over any number of steps, are dealt to blocks; two blocks at a time are
+    Components tied by buckets, over any number of steps, are a group, dealt to blocks; two blocks at a time are
     compared on the full sets by one product of incidence matrices. Only links come out, no pairs.
     """
-    stars = open_.groupBy("bucket").agg(F.min("cls").alias("a"))
-    ties = open_.join(materialize(stars, "ties"), "bucket").where("cls != a").select("a", F.col("cls").alias("b"))
-    groups = components(materialize(ties.distinct(), "tied"), "groups").select(F.col("id").alias("cls"), F.col("comp").alias("grp"))
-    sizes = materialize(groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "group-sizes")
-    comps = open_.groupBy("cls").agg(F.min("comp").alias("comp"))
+    stars = materialize(open_.groupBy("bucket").agg(F.min("comp").alias("a")), "ties")
+    ties = open_.join(stars, "bucket").where("comp != a").select("a", F.col("comp").alias("b")).distinct()
+    groups = components(materialize(ties, "tied"), "groups").select(F.col("id").alias("comp"), F.col("comp").alias("grp"))
+    each = materialize(open_.groupBy("cls").agg(F.min("comp").alias("comp")), "open-classes")
+    each = materialize(each.join(groups, "comp"), "grouped")
+    sizes = materialize(each.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "group-sizes")
     dealt = (
-        groups.join(sizes, "grp")
+        each.join(sizes, "grp")
         .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-        .join(materialize(comps, "open-comps"), "cls")
         .join(sets, "cls")
     )
     packed = dealt.groupBy("grp", "block").agg(
