@@ -35,6 +35,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, spaces: bool, keep: int = 400_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -50,6 +51,10 @@ class ChunkEncoder:
         else:
             self.first[self.tokenizer.encode(self.MARK, add_special_tokens=False).ids] = True
             self.last = np.zeros(len(self.first), dtype=bool)
+            # for words of a-z alone the vocabulary's normaliser and pattern change nothing but where words end
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = WhitespaceSplit()
             self.last[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -70,14 +75,20 @@ class ChunkEncoder:
         """Ids of chunks (with a space before each, if they keep it)."""
         out: dict[str, bytes] = {}
         if self.spaces:
-            kinds = [(chunks, " ", self.first, 0)]
+            kinds = [(chunks, " ", self.first, 0, self.tokenizer)]
         else:  # a word of letters alone has one id that ends it
-            words = [c for c in chunks if _letters(c)]
-            kinds = [(words, " ", None, 0), ([c for c in chunks if not _letters(c)], f" {self.MARK} ", self.first, 1)]
-        for some, sep, first, skip in kinds:
+            words, letters, rest = [], [], []
+            for c in chunks:
+                if c.isascii() and c.isalpha() and c.islower():
+                    words.append(c)
+                else:
+                    (letters if _letters(c) else rest).append(c)
+            kinds = [(words, " ", None, 0, self.plain), (letters, " ", None, 0, self.tokenizer)]
+            kinds.append((rest, f" {self.MARK} ", self.first, 1, self.tokenizer))
+        for some, sep, first, skip, tokenizer in kinds:
             groups = [some[i : i + together] for i in range(0, len(some), together)]
             joined = [sep + sep.join(g) for g in groups]
-            for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+            for group, encoded in zip(groups, tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
                 if first is None:
                     ids = np.array(encoded.ids, dtype="<u4")
                     stops = np.flatnonzero(self.last[ids]) + 1
@@ -92,9 +103,16 @@ class ChunkEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encodes new chunks: a word and the signs after it apart, for words recur with other signs."""
-        stems = {c: c.rstrip(_SIGNS) for c in new}
-        split = {c: s for c, s in stems.items() if s is not c and s != c and s and _letters(s[-1])}
-        need = {split.get(c, c) for c in new}.difference(self.known, self.older)
+        known, older = self.known, self.older
+        split, need = {}, set()
+        for c in new:
+            s = c.rstrip(_SIGNS)
+            if s and len(s) < len(c) and _letters(s[-1]):
+                split[c] = s
+            else:
+                s = c
+            if s not in known and s not in older:
+                need.add(s)
         self.known.update(self._encode_chunks(list(need)))
         tails = list({c[len(s) :] for c, s in split.items()}.difference(self.tails))
         self.tails.update(zip(tails, self._encode(tails), strict=True))

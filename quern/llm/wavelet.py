@@ -2,7 +2,8 @@
 
 A shard holds consecutive documents (ascending doc_id). Its ids are cut into blocks; a block is a
 wavelet matrix: for each bit, from the highest, a plane of that bit over the ids in the order that
-the planes above gave (zeros first, then ones, both stable). Planes are packed to bits and deflated.
+the planes above gave (zeros first, then ones, both stable). Planes are packed to bits, and deflated
+where that helps.
 The footer lists the blocks, so a reader fetches only the byte ranges it needs.
 """
 
@@ -25,6 +26,15 @@ MAGIC = b"QWM1"
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+def _deflate(raw: bytes) -> bytes:
+    """Deflated bytes if a first part shrinks and the whole gets smaller, else the bytes themselves."""
+    start = raw[:4096]
+    if len(zlib.compress(start, 1)) > 0.95 * len(start):
+        return raw
+    packed = zlib.compress(raw, 1)
+    return packed if len(packed) < len(raw) else raw
+
+
 class WaveletMatrix:
     """Bit planes of one block, with rank and select."""
 
@@ -46,8 +56,8 @@ class WaveletMatrix:
         return cls(len(ids), planes, zeros)
 
     def to_bytes(self) -> bytes:
-        """Header (json, length-prefixed) and deflated planes."""
-        packed = [zlib.compress(p.tobytes(), 1) for p in self.planes]
+        """Header (json, length-prefixed) and planes, deflated where that makes them smaller."""
+        packed = [_deflate(p.tobytes()) for p in self.planes]
         head = json.dumps({"n": self.n, "zeros": self.zeros, "sizes": [len(p) for p in packed]}).encode()
         return len(head).to_bytes(4, "little") + head + b"".join(packed)
 
@@ -57,7 +67,9 @@ class WaveletMatrix:
         head = json.loads(data[4:at])
         planes = []
         for size in head["sizes"]:
-            planes.append(np.frombuffer(zlib.decompress(data[at : at + size]), dtype=np.uint8))
+            part = data[at : at + size]
+            whole = (head["n"] + 7) // 8
+            planes.append(np.frombuffer(part if size == whole else zlib.decompress(part), dtype=np.uint8))
             at += size
         return cls(head["n"], planes, head["zeros"])
 
