@@ -290,25 +290,26 @@ def filters(blocks_: DataFrame, segments: int) -> DataFrame:
 def routed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> DataFrame:
     """block, segment and levels: the quantised counts of each block's n-grams, probed at their segment."""
 
-    def probe(batches):
-        for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in ("block", "segment", "ngrams", "size", "bits")}
-            levels = []
-            for r in range(batch.num_rows):
-                bits = np.frombuffer(batch.column(at["bits"])[r].as_buffer(), dtype=np.uint8)
-                lf = LogFrequencyFilter(bits, batch.column(at["size"])[r].as_py())
-                levels.append(lf.probe(unpack(batch.column(at["ngrams"])[r].as_buffer())).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(at["block"]),
-                    batch.column(at["segment"]),
-                    pa.array([x.tobytes() for x in levels], pa.binary()),
-                ],
-                names=["block", "segment", "levels"],
-            )
+    def probe(left, right):
+        keys, cuts = _joined(left, "ngrams", unpack)
+        lf = LogFrequencyFilter(
+            np.frombuffer(right.column("bits")[0].as_buffer(), dtype=np.uint8), right.column("size")[0].as_py()
+        )
+        levels = np.split(lf.probe(keys).astype(np.uint8), cuts)
+        return pa.table(
+            {
+                "block": left.column("block"),
+                "segment": left.column("segment"),
+                "levels": pa.array([x.tobytes() for x in levels], pa.binary()),
+            }
+        )
 
     spread = blocks_.mapInArrow(lambda b: _spread(b, segments, "all"), _SPREAD).drop("counts")
-    return spread.join(filters_, "segment").mapInArrow(probe, "block long, segment int, levels binary")
+    return (
+        spread.groupBy("segment")
+        .cogroup(filters_.groupBy("segment"))
+        .applyInArrow(probe, "block long, segment int, levels binary")
+    )
 
 
 def score(docs: DataFrame, block_bytes: int = 1 << 21, broadcast_bytes: int = 64 << 20, segment_tokens: int = 1 << 20):
