@@ -205,7 +205,7 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 
     Null vectors, zero vectors, vectors with null or non-finite components and null ids take none.
     """
-    small_batches(table.sparkSession, 4096)
+    small_batches(table.sparkSession)
 
     def run(batches):
         for batch in batches:

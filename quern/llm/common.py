@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -20,10 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, local mode), a folder below the system's temporary one.
+    Where the session names none, local mode takes a folder below the system's temporary one; on a
+    cluster that folder would lie on single machines, so the setting is asked for.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "quern")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,17 +38,48 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The result's ``scratch_path`` names the folder.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes, so that a batch of very long texts or large blobs stays small.
+
+    Only the bytes are bounded: batches of short rows keep their number of rows.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows and bytes, so that a batch of very long texts or large blobs stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+def keep_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows whose text ``decide`` (a list of texts to an array of booleans) accepts, as they are.
+
+    Rows pass whole, with all their columns, so nothing is joined back. Null texts are empty.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
+                yield batch.filter(pa.array(np.asarray(decide(texts), dtype=bool)))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def filesystem(uri: str):
@@ -76,6 +111,15 @@ def doc_chunks(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[tu
         yield ids, texts
 
 
+def planes(codes: np.ndarray) -> bytes:
+    """Codes as all their low bytes, then all second bytes, and so on: small codes compress well."""
+    return np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(data) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 # --- words of a chunk of texts, hashed without a Python loop over words -------------------------
 
 _SPACE = np.zeros(256, dtype=bool)

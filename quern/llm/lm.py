@@ -5,9 +5,10 @@ of them. Counts of words and word pairs are added up in segments of the hash spa
 each block has summed before. A segment becomes a Bloom filter that holds, for an n-gram of quantised
 count q, the items (n-gram, 1) to (n-gram, q); probing 1, 2, ... until one is missing gives q back.
 
-While all segments together stay under ``broadcast_bytes`` they are broadcast and every block probes
-them where it stands. Beyond that, blocks send their distinct n-grams to the segments and get the
-quantised counts back. Both ways probe the same bits, so scores do not depend on the way.
+While all segments together stay under ``broadcast_bytes`` every worker gets them whole, through the
+shared folder rather than the driver, and probes its blocks where they stand. Beyond that, blocks send
+their distinct n-grams to the segments and get the quantised counts back. Both ways probe the same
+bits, so scores do not depend on the way.
 """
 
 from __future__ import annotations
@@ -21,7 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_chunks, materialize, mix64, small_batches, word_hashes
+from quern.llm.common import (
+    discard,
+    doc_chunks,
+    filesystem,
+    from_planes,
+    materialize,
+    mix64,
+    planes,
+    small_batches,
+    word_hashes,
+)
 
 #: Hashes that stand for a text's end (a counted token) and its start (a context only).
 END, START = np.uint64(0x5BF0_3635_F0A3_11E1), np.uint64(0x2545_F491_4F6C_DD1D)
@@ -29,7 +40,7 @@ END, START = np.uint64(0x5BF0_3635_F0A3_11E1), np.uint64(0x2545_F491_4F6C_DD1D)
 GROWTH, BITS, PROBES = 1.5, 12, 8
 #: Weight of the unigram in the interpolated probability.
 BACKOFF = 0.8
-KEY = np.uint64((1 << 48) - 1)
+KEY = np.uint64((1 << 40) - 1)
 _A, _B = np.uint64(0x9DDFEA08EB382D69), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -98,13 +109,13 @@ class LogFrequencyFilter:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Filter keys (n-gram hashes cut to 48 bits) as six bytes each."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+    """Filter keys (n-gram hashes cut to 40 bits, besides those that name the segment) as five bytes each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
 
 
 def unpack(data) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    out = np.zeros((len(data) // 5, 8), dtype=np.uint8)
+    out[:, :5] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
     return out.view("<u8").ravel()
 
 
@@ -113,15 +124,15 @@ def _segments(x: np.ndarray, n: int) -> np.ndarray:
 
 
 class Block:
-    """The documents of one block: words as codes into sorted distinct hashes, the end being one of them."""
+    """The documents of one block: words as codes into distinct hashes, the end being one of them."""
 
     def __init__(self, row: dict):
         self.id, self.doc_ids = row["block"], row["doc_ids"]
         self.lengths = np.frombuffer(row["n_words"], dtype="<i4").astype(np.int64) + 1  # with the end
         self.words = np.frombuffer(row["words"], dtype="<u8")
-        codes = np.frombuffer(row["codes"], dtype="<i4")
+        codes = from_planes(row["codes"])
         ends = np.cumsum(self.lengths) - 1
-        self.codes = np.full(int(self.lengths.sum()), np.searchsorted(self.words, END), dtype=np.int64)
+        self.codes = np.full(int(self.lengths.sum()), int(np.flatnonzero(self.words == END)[0]), dtype=np.int64)
         inside = np.ones(len(self.codes), dtype=bool)
         inside[ends] = False
         self.codes[inside] = codes
@@ -130,12 +141,12 @@ class Block:
         self.training = np.repeat(~self.held, self.lengths)
 
     def pairs(self) -> np.ndarray:
-        """The filter key of each token after its context."""
+        """The hash of each token after its context."""
         h = self.words[self.codes]
         before = np.empty_like(h)
         before[1:] = h[:-1]
         before[self.starts] = START
-        return mix64(before * _A + mix64(h) * _B) & KEY
+        return mix64(before * _A + mix64(h) * _B)
 
     def word_counts(self) -> np.ndarray:
         """Training counts of the distinct words."""
@@ -147,20 +158,20 @@ class Block:
         pairs, n = np.unique(self.pairs()[self.training], return_counts=True)
         starts = int((~self.held).sum())
         return (
-            np.concatenate([self.words[counts > 0] & KEY, pairs, [START & KEY] * bool(starts)]).astype(np.uint64),
+            np.concatenate([self.words[counts > 0], pairs, [START] * bool(starts)]).astype(np.uint64),
             np.concatenate([counts[counts > 0], n, [starts] * bool(starts)]).astype(np.int64),
         )
 
     def ngrams(self) -> np.ndarray:
-        """Filter keys of the distinct words, the distinct pairs and the start, of all documents."""
-        return np.concatenate([self.words & KEY, np.unique(self.pairs()), [START & KEY]])
+        """The distinct words, the distinct pairs and the start, of all documents."""
+        return np.concatenate([self.words, np.unique(self.pairs()), [START]])
 
 
 _BLOCK = "block long, doc_ids array<bigint>, n_words binary, codes binary, words binary"
 
 
 def blocks(docs: DataFrame, block_bytes: int = 1 << 22) -> DataFrame:
-    """One row per block of documents."""
+    """One row per block of documents; its most frequent words have the least codes."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -171,14 +182,18 @@ def blocks(docs: DataFrame, block_bytes: int = 1 << 22) -> DataFrame:
                 h, bounds = word_hashes(texts[lo : lo + 128])
                 parts.append(h)
                 sizes.append(np.diff(bounds))
-            words, codes = np.unique(np.concatenate([*parts, [END]]), return_inverse=True)
+            words, codes, n = np.unique(np.concatenate([*parts, [END]]), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            words, codes = words[order], place[codes]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([task << 32 | k], pa.int64()),
                     pa.array([ids], pa.list_(pa.int64())),
                     *(
-                        pa.array([x.tobytes()], pa.binary())
-                        for x in (np.concatenate(sizes).astype("<i4"), codes[:-1].astype("<i4"), words)
+                        pa.array([x], pa.binary())
+                        for x in (np.concatenate(sizes).astype("<i4").tobytes(), planes(codes[:-1]), words.tobytes())
                     ),
                 ],
                 names=["block", "doc_ids", "n_words", "codes", "words"],
@@ -201,27 +216,48 @@ def _cuts(seg: np.ndarray, segments: int) -> list[np.ndarray]:
     return [order[a:c] for a, c in zip(at[:-1], at[1:], strict=True)]
 
 
+def _rows(x: np.ndarray, counts: np.ndarray | None, segments: int, block: int, key=pack) -> pa.RecordBatch:
+    """(segment, block, n-grams, counts) of the segments that have members."""
+    cuts = [(k, rows) for k, rows in enumerate(_cuts(_segments(x, segments), segments)) if len(rows)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([k for k, _ in cuts], pa.int32()),
+            pa.array([block] * len(cuts), pa.int64()),
+            pa.array([key(x[rows]) for _, rows in cuts], pa.binary()),
+            pa.array([b"" if counts is None else counts[rows].astype("<i4").tobytes() for _, rows in cuts], pa.binary()),
+        ],
+        names=["segment", "block", "ngrams", "counts"],
+    )
+
+
 def _spread(batches, segments: int, what: str):
-    """(segment, block, n-grams, training counts) of each block: its ``words`` alone, its ``training``
-    n-grams, or ``all`` of them without counts."""
+    """Rows of each block: its ``words`` alone with training counts, or ``all`` its n-grams without counts."""
     for b in _block_rows(batches):
         if what == "words":
-            x, counts = b.words, b.word_counts()
-        elif what == "training":
-            x, counts = b.training_ngrams()
+            yield _rows(b.words, b.word_counts(), segments, b.id, np.ndarray.tobytes)
         else:
-            x = b.ngrams()
-            counts = np.zeros(0, dtype=np.int64)
-        rows = _cuts(_segments(x, segments), segments)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(segments), pa.int32()),
-                pa.array([b.id] * segments, pa.int64()),
-                pa.array([x[r].tobytes() if what == "words" else pack(x[r]) for r in rows], pa.binary()),
-                pa.array([counts[r].astype("<i4").tobytes() if len(counts) else b"" for r in rows], pa.binary()),
-            ],
-            names=["segment", "block", "ngrams", "counts"],
-        )
+            yield _rows(b.ngrams(), None, segments, b.id)
+
+
+def _sums(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and the sums of their counts."""
+    order = np.argsort(x, kind="stable")
+    x, counts = x[order], counts[order]
+    first = np.flatnonzero(np.diff(x, prepend=~x[:1]) != 0) if len(x) else order
+    return x[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _training(batches, segments: int, most: int = 1 << 22):
+    """Rows of training n-grams with counts, added up over a task's blocks, ``most`` n-grams at a time."""
+    each: list = []
+    for b in _block_rows(batches):
+        each.append(b.training_ngrams())
+        if sum(len(x) for x, _ in each) > most:
+            each = [_sums(*map(np.concatenate, zip(*each, strict=True)))]
+            if len(each[0][0]) > most // 2:
+                yield _rows(*each.pop(), segments, b.id)
+    if each:
+        yield _rows(*_sums(*map(np.concatenate, zip(*each, strict=True))), segments, 0)
 
 
 _SPREAD = "segment int, block long, ngrams binary, counts binary"
@@ -270,11 +306,7 @@ def filters(blocks_: DataFrame, segments: int) -> DataFrame:
     """segment, size and bits of the filter over all training n-grams of each segment."""
 
     def build(key, table):
-        each, n_each = _joined(table, "ngrams", unpack)[0], _joined(table, "counts", _i4)[0]
-        order = np.argsort(each)
-        each, n_each = each[order], n_each[order]
-        first = np.flatnonzero(np.diff(each, prepend=~each[:1]) != 0) if len(each) else order
-        made = LogFrequencyFilter.build(each[first], np.add.reduceat(n_each, first) if len(first) else first)
+        made = LogFrequencyFilter.build(*_sums(_joined(table, "ngrams", unpack)[0], _joined(table, "counts", _i4)[0]))
         return pa.table(
             {
                 "segment": pa.array([key[0].as_py()], pa.int32()),
@@ -283,7 +315,7 @@ def filters(blocks_: DataFrame, segments: int) -> DataFrame:
             }
         )
 
-    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, "training"), _SPREAD)
+    spread = blocks_.mapInArrow(lambda b: _training(b, segments), _SPREAD)
     return spread.groupBy("segment").applyInArrow(build, "segment int, size long, bits binary")
 
 
@@ -291,11 +323,13 @@ def routed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> Dat
     """block, segment and levels: the quantised counts of each block's n-grams, probed at their segment."""
 
     def probe(left, right):
-        keys, cuts = _joined(left, "ngrams", unpack)
-        lf = LogFrequencyFilter(
-            np.frombuffer(right.column("bits")[0].as_buffer(), dtype=np.uint8), right.column("size")[0].as_py()
-        )
-        levels = np.split(lf.probe(keys).astype(np.uint8), cuts)
+        keys, cuts = _joined(left, "ngrams", unpack) if left.num_rows else (np.zeros(0, np.uint64), [])
+        if right.num_rows:
+            bits, size = right.column("bits")[0].as_buffer(), right.column("size")[0].as_py()
+            found = LogFrequencyFilter(np.frombuffer(bits, dtype=np.uint8), size).probe(keys)
+        else:  # no training n-gram there
+            found = np.zeros(len(keys), dtype=np.int32)
+        levels = np.split(found.astype(np.uint8), cuts) if left.num_rows else []
         return pa.table(
             {
                 "block": left.column("block"),
@@ -312,15 +346,36 @@ def routed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> Dat
     )
 
 
-def score(docs: DataFrame, block_bytes: int = 1 << 21, broadcast_bytes: int = 64 << 20, segment_tokens: int = 1 << 20):
+_loaded: dict[str, dict] = {}
+
+
+def _filters(path: str) -> dict[int, LogFrequencyFilter]:
+    """The worker's copy of all segments' filters, read once from the shared folder."""
+    if path not in _loaded:
+        import pyarrow.dataset as ds
+
+        system, place = filesystem(path)
+        rows = ds.dataset(place, filesystem=system, format="parquet").to_table()
+        _loaded.clear()
+        _loaded[path] = {
+            s.as_py(): LogFrequencyFilter(np.frombuffer(b.as_buffer(), dtype=np.uint8), n.as_py())
+            for s, b, n in zip(rows.column("segment"), rows.column("bits"), rows.column("size"), strict=True)
+        }
+    return _loaded[path]
+
+
+def score(docs: DataFrame, block_bytes: int = 1 << 22, broadcast_bytes: int = 256 << 20, segment_tokens: int = 1 << 21):
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     p(w | u) = 0.8 p(w) + 0.2 c(uw) / c(u), with p(w) = (c(w) + 1) / (N + V + 1) and all counts but N
     and V from the filter. A null or empty text is its end alone; repeated rows count each; extra
     columns are ignored; an empty table gives no rows.
+
+    ``broadcast_bytes`` bounds what a worker holds. The filter grows with the corpus, so beyond that
+    bound each segment is probed where it is instead.
     """
     spark = docs.sparkSession
-    held = materialize(blocks(docs, block_bytes), "lm-blocks")
+    held = materialize(blocks(docs, block_bytes), "lm-blocks", "zstd")
     tokens = held.agg(F.sum(F.octet_length("codes") / 4 + F.size("doc_ids"))).first()[0] or 0
     segments = max(4, -(-int(tokens) // segment_tokens))
     totals = materialize(word_totals(held, segments), "lm-totals")
@@ -331,19 +386,17 @@ def score(docs: DataFrame, block_bytes: int = 1 << 21, broadcast_bytes: int = 64
     size = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
     exact = totals.groupBy("block").agg(F.collect_list(F.struct("segment", "totals")).alias("exact"))
     joined = held.join(exact, "block")
-    shared = None
-    if size <= broadcast_bytes:
-        shared = spark.sparkContext.broadcast({r["segment"]: (r["bits"], r["size"]) for r in made.collect()})
-    else:
+    shared = size <= broadcast_bytes
+    if not shared:
         levels = materialize(routed_counts(held, made, segments), "lm-levels")
+        discard(made)
         joined = joined.join(
             levels.groupBy("block").agg(F.collect_list(F.struct("segment", "levels")).alias("levels")), "block"
         )
+    path = made.scratch_path
 
     def run(batches):
-        own = None
-        if shared is not None:
-            own = {s: LogFrequencyFilter(np.frombuffer(b, dtype=np.uint8), n) for s, (b, n) in shared.value.items()}
+        own = _filters(path) if shared else None
         for batch in batches:
             names = batch.schema.names
             for row in range(batch.num_rows):
@@ -356,7 +409,7 @@ def score(docs: DataFrame, block_bytes: int = 1 << 21, broadcast_bytes: int = 64
                     counts[places[part["segment"]]] = np.frombuffer(part["totals"], dtype="<i8")
                 pairs, pair_of = np.unique(b.pairs(), return_inverse=True)
                 pair_of += n_words
-                x = np.concatenate([b.words & KEY, pairs, [START & KEY]])
+                x = np.concatenate([b.words, pairs, [START]])
                 places = _cuts(_segments(x, segments), segments)
                 q = np.zeros(len(x), dtype=np.int32)
                 if own is None:
@@ -364,7 +417,7 @@ def score(docs: DataFrame, block_bytes: int = 1 << 21, broadcast_bytes: int = 64
                         q[places[part["segment"]]] = np.frombuffer(part["levels"], dtype=np.uint8)
                 else:
                     for s, lf in own.items():
-                        q[places[s]] = lf.probe(x[places[s]])
+                        q[places[s]] = lf.probe(x[places[s]] & KEY)
                 c = expected(q)
                 word = c[b.codes]
                 context = np.empty_like(word)
