@@ -85,10 +85,12 @@ def tokenize_pieces(
 
     def run(batches):
         enc, task, seen = encoder(tokenizer_path, spaces=True), TaskContext.get().partitionId(), Counter()
-        for ids, texts in doc_chunks(batches, 1 << 20):
+        for ids, texts in doc_chunks(batches, 1 << 21):
             rows = []
-            for i, got in zip(ids, enc.encode(texts), strict=True):
-                got += end
+            flat, bounds = enc.encode(texts)
+            raw = flat.astype("<u4").tobytes()
+            for i, lo, hi in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                got = raw[4 * lo : 4 * hi] + end
                 at = 0
                 for k, n in enumerate(cut_lengths(len(got) // 4, capacity)):
                     part = got[4 * at : 4 * (at + n)]

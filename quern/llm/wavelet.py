@@ -271,14 +271,15 @@ def write_shards(
     def run(batches):
         enc, shard, name = encoder(tokenizer_path, spaces=False), TaskContext.get().partitionId(), uuid.uuid4().hex
         writer = sink = None
-        for ids, texts in doc_chunks(batches, 1 << 20):
+        for ids, texts in doc_chunks(batches, 1 << 21):
             if writer is None:
                 system, path = filesystem(folder)
                 system.create_dir(path, recursive=True)
                 sink = system.open_output_stream(f"{path}/{shard:06d}-{name}.qwm")
                 writer = ShardWriter(sink, levels)
-            for i, got in zip(ids, enc.encode(texts), strict=True):
-                writer.add(i, np.concatenate([np.frombuffer(got, dtype="<u4"), end]))
+            flat, bounds = enc.encode(texts)
+            for i, lo, hi in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                writer.add(i, np.concatenate([flat[lo:hi], end]))
         if writer is not None:
             size = writer.close()
             sink.close()
