@@ -253,6 +253,7 @@ def compare_groups(open_: DataFrame, sets: DataFrame, percent: int, block: int =
                     part = np.zeros((n + m, wide), dtype=np.float32)
                     part[row[a:b], col[a:b] - lo] = 1
                     inter += part[:n] @ part[n:].T
+                inter = inter.astype(np.int64)  # a set has far fewer than 2**24 shingles, so sums were exact
                 union = sizes[:n, None] + sizes[None, n:] - inter
                 hit = (100 * inter >= percent * union) & (comp[:, None] != comp2[None, :])
                 x, y = np.nonzero(hit)
@@ -302,9 +303,39 @@ def near_duplicates(
     """doc_id, n_shingles, component_id and kept of every document.
 
     component_id is the least doc_id that links reach; a document without words is linked with
-    nothing; repeated rows share their doc_id's component. A row without doc_id takes no part: its
-    component_id is null and it is kept. Extra columns are ignored; an empty table gives no rows.
+    nothing. Rows that share a doc_id are one document and so in one component, also where their
+    texts differ. A row without doc_id takes no part: its component_id is null and it is kept. Extra
+    columns are ignored; an empty table gives no rows.
     """
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    each = texts.where("doc_id is not null").groupBy("doc_id")
+    several = each.agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("lo < hi")
+    several = materialize(several.select("doc_id"), "several-texts")
+    if several.isEmpty():
+        return _near_duplicates(texts, percent, bands, rows, words)
+    # a doc_id with several texts: each text goes by a number of its own, and they are tied afterwards
+    own = texts.join(several.withColumn("many", F.lit(True)), "doc_id", "left").select(
+        F.when(F.col("many"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id")).alias("own"), "doc_id", "text"
+    )
+    names = materialize(own.where("own is not null").select("own", "doc_id").distinct(), "own-numbers")
+    found = _near_duplicates(own.select(F.col("own").alias("doc_id"), "text"), percent, bands, rows, words)
+    found = materialize(found.withColumnRenamed("doc_id", "own"), "found").join(names, "own", "left")
+    linked = materialize(found.where("n_shingles > 0 and doc_id is not null"), "linked")
+    least = linked.groupBy("doc_id").agg(F.min("component_id").alias("a"))
+    ties = linked.join(least, "doc_id").select("a", F.col("component_id").alias("b")).where("a < b").distinct()
+    joined = components(materialize(ties, "ties-of-texts"), "ties-of-texts").withColumnRenamed("comp", "whole")
+    linked = linked.join(joined, linked["component_id"] == joined["id"], "left")
+    linked = materialize(linked.select("own", "doc_id", F.coalesce("whole", "component_id").alias("whole")), "whole")
+    first = linked.groupBy("whole").agg(F.min("doc_id").alias("component"))
+    final = linked.select("own", "whole").distinct().join(first, "whole").select("own", "component")
+    out = found.join(final, "own", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    )
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _near_duplicates(docs: DataFrame, percent: int, bands: int, rows: int, words: int) -> DataFrame:
+    """near_duplicates of rows where each doc_id has one text."""
     sketched = materialize(sketches(docs, bands, rows, words), "sketches")
     real = sketched.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = materialize(
