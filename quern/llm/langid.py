@@ -13,13 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_chunks, segment_ids, small_batches
+from quern.llm.common import doc_chunks, keep_rows, segment_ids, small_batches
 
 #: Hash buckets, and the lengths of the n-grams.
 BUCKETS, ORDERS = 1 << 15, (1, 2, 3)
 #: At most so many labelled texts are counted, evenly spread over doc_id's hash.
 TRAIN_ROWS = 40_000
 SLICES = 16
+#: At most so many languages: the matrix, collected and broadcast, takes 384 KB for each.
+LANGUAGES = 500
 UNKNOWN = "und"
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
@@ -55,7 +57,8 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _labelled(docs: DataFrame, label: str, modulus: int, rest: int, rows: int) -> DataFrame:
     """Training rows (text, label): at most about ``rows``, chosen by doc_id's hash alone."""
-    usable = docs.where(~held_out(modulus, rest) & F.col("text").isNotNull() & F.col(label).isNotNull())
+    out = F.coalesce(held_out(modulus, rest), F.lit(False))
+    usable = docs.where(~out & F.col("text").isNotNull() & F.col(label).isNotNull())
     n = usable.select("doc_id").count()
     if n > rows:
         share = int(rows / n * 1_000_000)
@@ -95,6 +98,9 @@ def count_grams(train: DataFrame) -> DataFrame:
 
 def fit(train: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray]:
     """Labels and the matrix [buckets, labels] of log-probabilities; no labels without training rows."""
+    names = train.select("label").distinct().limit(LANGUAGES + 1).count()
+    if names > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages among the labels")
     rows = count_grams(train).collect()  # a vector of fixed size for each language
     labels = sorted({r["label"] for r in rows})
     matrix = np.zeros((BUCKETS, max(1, len(labels))), dtype=np.float32)
@@ -105,40 +111,42 @@ def fit(train: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray
     return labels, matrix
 
 
-def predict(docs: DataFrame, labels: list[str], matrix: np.ndarray) -> DataFrame:
-    """doc_id, lang_pred and score of each text.
+def decide(texts: list[str], labels: list[str], matrix: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text.
 
     The score is the posterior under equal priors of the mean n-gram, sharpened by the text's length
     up to 200 characters: long texts do not reach certainty by length alone. ``und`` with score 0
-    for a null text, a text without letters, or without any learned language.
+    for an empty text, a text without letters, or without any learned language.
     """
+    grams, bounds = gram_buckets(texts)
+    owner = segment_ids(bounds)
+    sums = np.stack(
+        [
+            np.bincount(owner, weights=matrix[:, k][grams].sum(axis=1), minlength=len(texts))
+            for k in range(matrix.shape[1])
+        ],
+        axis=1,
+    )
+    chars = np.maximum(np.diff(bounds), 1)[:, None]
+    z = sums / chars * np.minimum(chars, 200)
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    z /= z.sum(axis=1, keepdims=True)
+    best = z.argmax(axis=1)
+    known = [bool(labels) and any(map(str.isalpha, t)) for t in texts]
+    names = [labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
+    return names, np.where(known, z[np.arange(len(texts)), best], 0.0).astype(np.float64)
+
+
+def predict(docs: DataFrame, labels: list[str], matrix: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred and score of each text (null: empty)."""
     model = docs.sparkSession.sparkContext.broadcast((labels, matrix))
     small_batches(docs.sparkSession)
 
     def run(batches):
-        labels, matrix = model.value
         for ids, texts in doc_chunks(batches, 1 << 19):
-            grams, bounds = gram_buckets(texts)
-            owner = segment_ids(bounds)
-            sums = np.stack(
-                [
-                    np.bincount(owner, weights=matrix[:, k][grams].sum(axis=1), minlength=len(texts))
-                    for k in range(matrix.shape[1])
-                ],
-                axis=1,
-            )
-            chars = np.maximum(np.diff(bounds), 1)[:, None]
-            z = sums / chars * np.minimum(chars, 200)
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            z /= z.sum(axis=1, keepdims=True)
-            best = z.argmax(axis=1)
-            known = [bool(labels) and any(map(str.isalpha, t)) for t in texts]
+            names, score = decide(texts, *model.value)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([labels[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)], pa.string()),
-                    pa.array(np.where(known, z[np.arange(len(texts)), best], 0.0).astype(np.float64)),
-                ],
+                [pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(score)],
                 names=["doc_id", "lang_pred", "score"],
             )
 
@@ -146,6 +154,18 @@ def predict(docs: DataFrame, labels: list[str], matrix: np.ndarray) -> DataFrame
     return keyed.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, least: float = 0.3, modulus: int = 4, rest: int = 2, train_rows: int = TRAIN_ROWS):
+    """The rows of ``docs`` in a learned language with at least this score, with all their columns."""
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(_labelled(docs, "lang", modulus, rest, train_rows)))
+
+    def accept(texts: list[str]) -> np.ndarray:
+        names, score = decide(texts, *model.value)
+        return (np.array(names, dtype=object) != UNKNOWN) & (score >= least)
+
+    return keep_rows(docs, accept)
+
+
 def identify(docs: DataFrame, modulus: int = 4, rest: int = 2, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang, ...).
 

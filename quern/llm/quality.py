@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_chunks, segment_ids, small_batches, word_hashes
+from quern.llm.common import doc_chunks, keep_rows, segment_ids, small_batches, word_hashes
 from quern.llm.langid import held_out
 
 #: Hash buckets of words, rank of the interactions, and the bound on labelled rows that are fitted.
@@ -192,6 +192,14 @@ def predict(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, train_rows: int = TRAIN_ROWS):
+    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns."""
+    small_batches(docs.sparkSession)
+    model = fit(docs, labels, modulus, rest, train_rows)
+    shared = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))
+    return keep_rows(docs, lambda texts: FactorisationMachine(*shared.value).score(texts) >= THRESHOLD)
+
+
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, train_rows: int = TRAIN_ROWS):
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
