@@ -2,42 +2,55 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns
 of documents; the last returns the packing. ``run`` writes each result and reads it for the next.
+
+In all stages: a null text is an empty one; extra columns, whatever their names, pass through the
+filters as they are and are ignored by the packing; an empty table gives an empty one; a null doc_id
+is a document of its own. The filters judge each row by its own text, so repeated rows and ties share
+their fate, also where rows share a doc_id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.llm import langid, neardup, packing, quality
-from quern.llm.common import materialize, table
+from quern.llm.common import discard, materialize, table
 from quern.llm.queries import tokenizer_file
 
 #: SQL can express neither the classifiers nor the packing; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is in ``kept`` (doc_id); a null doc_id matches itself."""
-    kept = materialize(kept.select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null texts, texts without letters, or undecided ones."""
-    found = langid.identify(docs)
-    return keep_ids(docs, found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= 0.3)))
+    """Rejects documents without a language: texts without letters, or undecided ones."""
+    return langid.keep_identified(docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier calls low quality."""
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return keep_ids(docs, found.where("predicted = 1"))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group of near duplicates."""
-    return keep_ids(docs, neardup.near_duplicates(docs).where("kept"))
+    """Keeps the smallest doc_id of each group of near duplicates.
+
+    Rows that share a doc_id are one document: the row with the least text stays.
+    """
+    found = materialize(neardup.near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept"), "found")
+    gone = found.where("not kept").select(F.col("doc_id").alias("id")).distinct().withColumn("known", F.lit(True))
+    # by the row's text where it has no doc_id, so that such rows do not meet in one task
+    key, known = F.coalesce(docs["doc_id"].cast("long"), F.xxhash64(docs["text"])), docs["doc_id"].isNotNull()
+    left = docs.join(gone.hint("shuffle_hash"), (key == gone["id"]) & (known == gone["known"]), "left_anti")
+    again = found.where("kept").groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id")
+    if again.isEmpty():
+        return left
+    again = materialize(again, "again")
+    mine = left["doc_id"].cast("long") == again["id"]
+    rest = left.join(again, mine, "left_anti")
+    nth = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    first = left.join(again, mine, "left_semi").select(F.struct("*").alias("row")).withColumn("nth", nth)
+    return rest.unionByName(first.where("nth = 1").select("row.*"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +67,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what a stage read is deleted once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*before)
+        before = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written by now
+    discard(*before)
+    return packed
