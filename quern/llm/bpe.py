@@ -1,9 +1,10 @@
-"""Byte-level BPE: Spark folds ranked merges over the distinct words of a block of documents.
+"""Byte-level BPE: Spark folds ranked merges over distinct words; decoding concatenates binary pieces.
 
-A block of documents (a few megabytes) becomes one row: its distinct words as byte arrays, and each
-document as codes of words. Spark's higher-order functions fold the merges over every distinct word,
-looking pairs up in a literal map of ranks; then the codes turn into ids and the ids are decoded by
-concatenating their binary pieces. Nothing is shuffled and no row outgrows its block.
+Words of a bounded sample of the corpus are folded first, each once, and written as a dictionary that
+workers read from the shared folder. Then each block of documents (a few megabytes) becomes one row:
+codes of dictionary words and of its own further words, which go through the same fold. The rows are
+written; a second pass puts ids together and decodes them. Nothing is shuffled but the sample's words,
+and no row outgrows its block. The sample decides how many words are folded again, never a result.
 """
 
 from __future__ import annotations
@@ -12,22 +13,27 @@ import base64
 import hashlib
 import heapq
 import json
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_chunks, small_batches
-from quern.llm.tokens import _ODD_SPACE
+from quern.llm.common import doc_chunks, filesystem, from_planes, materialize, planes, small_batches
+from quern.llm.tokens import _ODD_SPACE, Pool, runs
 
-#: More than any rank: no merge.
-NONE = (1 << 31) - 1
-#: Number of buckets of the literal rank map; a bucket holds a few pairs.
-BUCKETS = 32749
+#: More than any rank: no merge. No id: stands before and after a word.
+NONE, SENTINEL = 1 << 20, (1 << 16) - 1
+#: Buckets of the rank map, its places, and the bound on a bucket's shift.
+BUCKETS, PLACES, SHIFTS = 32749, 163841, 1 << 13
 #: Words of more bytes are merged with a heap instead: a fold takes quadratic time.
 LONG_WORD = 256
+#: Tags of a word's neighbours take as many values.
+TAGS = 1024
+#: The dictionary's words come from about so many bytes of text.
+SAMPLE_BYTES = 3 << 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,54 +53,107 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
     return out
 
 
-def rank_map(pairs: dict[int, int]) -> Column:
-    """The pairs as a literal map in buckets, by the pair's remainder; Spark folds it to a constant."""
-    buckets: list[dict] = [{"k": [], "v": []} for _ in range(BUCKETS)]
-    for pair, rank in sorted(pairs.items()):
-        buckets[pair % BUCKETS]["k"].append(pair)
-        buckets[pair % BUCKETS]["v"].append(rank)
-    text = json.dumps(buckets, separators=(",", ":"))
-    return F.from_json(F.lit(text), "array<struct<k:array<bigint>,v:array<int>>>")
+class RankMap:
+    """The pairs as literal arrays that give a pair's rank in two reads.
 
+    A pair's hash is its product with a factor without the last 20 bits. Its place is the hash's remainder
+    by PLACES plus the shift of its bucket (the remainder by BUCKETS); shifts are chosen so that no two
+    pairs meet. A place holds pair * 65536 + rank, or -2**50.
+    """
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    def __init__(self, pairs: dict[int, int]):
+        rng, clash = random.Random(1), True
+        while clash:  # until no two pairs of a bucket have one remainder by PLACES
+            self.factor = rng.randrange(1 << 29, 1 << 30)
+            buckets = defaultdict(list)
+            for pair, rank in sorted(pairs.items()):
+                h = pair * self.factor >> 20
+                buckets[h % BUCKETS].append((h % PLACES, pair << 16 | rank))
+            clash = any(len({at for at, _ in x}) < len(x) for x in buckets.values())
+        places, shifts = [-(1 << 50)] * (PLACES + SHIFTS), [0] * BUCKETS
+        for bucket, entries in sorted(buckets.items(), key=lambda x: -len(x[1])):
+            shift = 0
+            while any(places[at + shift] >= 0 for at, _ in entries):
+                shift = rng.randrange(SHIFTS)
+            for at, entry in entries:
+                places[at + shift] = entry
+            shifts[bucket] = shift
+        self.literal = F.struct(
+            _literal(places, "array<bigint>").alias("places"), _literal(shifts, "array<int>").alias("shifts")
+        )
 
+    def rank(self, table: Column, a: Column, b: Column) -> Column:
+        """The rank of two neighbours, NONE if they never merge."""
 
-def fold_merges(word: Column, byte_ids: Column, ranks: Column) -> Column:
-    """Ids of a word (an array of byte values): the lowest-ranked pair merges, the leftmost first.
+        def look(pair: Column) -> Column:
+            h = F.shiftright(pair * self.factor, 20)
+            at = F.get(table["shifts"], F.pmod(h, F.lit(BUCKETS)).cast("int")) + F.pmod(h, F.lit(PLACES))
+            return _let(
+                F.get(table["places"], at.cast("int")),
+                lambda x: F.when(F.shiftright(x, 16) == pair, x.bitwiseAND(F.lit(65535)).cast("int")).otherwise(F.lit(NONE)),
+            )
+
+        return _let(a.cast("long") * 65536 + b, look)
+
+
+def _literal(value: list, schema: str) -> Column:
+    """An array as a literal; Spark folds it to a constant."""
+    return F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), schema)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once: a fold over nothing."""
+    return F.aggregate(_literal([], "array<int>"), value, lambda x, _: x, body)
 
-    The state holds the ids between two sentinels (-1) and the ranks of all neighbours; a pair with
-    a sentinel has no rank. The rank of a merged pair is the new id.
-    """
 
-    def rank(a: Column, b: Column) -> Column:
-        pair = a.cast("long") * 65536 + b
-        bucket = F.get(ranks, F.pmod(pair, F.lit(BUCKETS)).cast("int"))
-        return F.coalesce(F.get(bucket["v"], F.array_position(bucket["k"], pair).cast("int") - 1), F.lit(NONE))
+def fold_merges(word: Column, byte_ids: Column, ranks: RankMap, table: Column) -> Column:
+    """Ids of a word (an array of at most LONG_WORD byte values): the lowest-ranked pair merges, the
+    leftmost first.
 
-    def merge(s: Column, at: Column) -> Column:
-        # the neighbours at and at + 1 (from 1) become one id
-        ids, r = s["ids"], s["r"]
-        best = F.get(r, at - 1)
-        ends = F.array(rank(F.get(ids, at - 2), best), rank(best, F.get(ids, at + 1)))
+    The state holds one number for each id and for a sentinel before them: the rank of the id and its
+    next, a tag, and the id. Tags ascend, so the least number is the leftmost of the least rank; the
+    tags in order, as a string, tell its place. The rank of a merged pair is the new id.
+    """
+    signs = [chr(1 + i) for i in range(LONG_WORD + 2)]
+    sign, all_signs = _literal(signs, "array<string>"), F.lit("".join(signs))
+    per_rank = TAGS << 16  # ids take 16 bits
+
+    def id_of(entry: Column) -> Column:
+        return entry.bitwiseAND(F.lit(SENTINEL))
+
+    def entry(a: Column, b: Column, low: Column) -> Column:
+        """The number of the neighbours a and b; ``low`` holds tag and id."""
+        return ranks.rank(table, a, b).cast("long") * per_rank + low
+
+    def merge(s: Column, least: Column, at: Column) -> Column:
+        # the ids at and at + 1 (from 1) become one
+        e, new = s["e"], F.shiftright(least, 26)
+        before, after = F.get(e, at - 2), F.coalesce(F.get(e, at + 1), F.lit(SENTINEL).cast("long"))
+        left = entry(id_of(before), new, before.bitwiseAND(F.lit(per_rank - 1)))
+        tag = F.get(e, at).bitwiseAND(F.lit(per_rank - 1 - SENTINEL))
+        right = entry(new, id_of(after), tag + new)
         return F.struct(
-            F.concat(F.slice(ids, F.lit(1), at - 1), F.array(best), F.slice(ids, at + 2, F.size(ids))).alias("ids"),
-            F.concat(F.slice(r, F.lit(1), at - 2), ends, F.slice(r, at + 2, F.size(r))).alias("r"),
+            F.concat(F.slice(e, F.lit(1), at - 2), F.array(left, right), F.slice(e, at + 2, F.size(e))).alias("e"),
+            F.overlay(s["tags"], F.lit(""), at, F.lit(1)).alias("tags"),
         )
 
     def step(s: Column, _: Column) -> Column:
-        best = F.array_min(s["r"])
-        return F.when(best == NONE, s).otherwise(_let(F.array_position(s["r"], best).cast("int"), lambda at: merge(s, at)))
+        return _let(
+            F.array_min(s["e"]),
+            lambda least: F.when(least >= NONE * per_rank, s).otherwise(
+                _let(
+                    F.instr(s["tags"], F.get(sign, F.shiftright(least, 16).bitwiseAND(F.lit(TAGS - 1)).cast("int"))),
+                    lambda at: merge(s, least, at),
+                )
+            ),
+        )
 
     def start(ids: Column) -> Column:
-        padded = F.concat(F.array(F.lit(-1)), ids, F.array(F.lit(-1)))
-        neighbours = F.slice(padded, F.lit(1), F.size(ids) + 1)
-        return F.struct(
-            padded.alias("ids"),
-            F.zip_with(neighbours, F.concat(ids, F.array(F.lit(-1))), rank).alias("r"),
+        entries = F.transform(
+            F.concat(F.array(F.lit(SENTINEL)), ids),
+            lambda a, i: entry(a, F.coalesce(F.get(ids, i), F.lit(SENTINEL)), i * (1 << 16) + a),
         )
+        return F.struct(entries.alias("e"), F.substring(all_signs, F.lit(1), F.size(ids) + 1).alias("tags"))
 
     return _let(
         F.transform(word, lambda b: F.get(byte_ids, b)),
@@ -102,7 +161,7 @@ def fold_merges(word: Column, byte_ids: Column, ranks: Column) -> Column:
             F.slice(ids, F.lit(2), F.size(ids)),
             start(ids),
             step,
-            lambda s: F.slice(s["ids"], F.lit(2), F.size(s["ids"]) - 2),
+            lambda s: F.transform(F.slice(s["e"], F.lit(2), F.size(s["e"])), lambda x: id_of(x).cast("int")),
         ),
     )
 
@@ -132,19 +191,82 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if alive[i]]
 
 
-def _expand(starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Positions of the items of each code's run, one run after another."""
-    n = lengths[codes]
-    return np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+def _byte_lists(words: list[bytes]) -> pa.ListArray:
+    sizes = np.array([0, *map(len, words)], dtype=np.int32)
+    flat = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(flat))
+
+
+def _sizes(lists) -> np.ndarray:
+    return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def blocks_of_words(docs: DataFrame, pattern: str, max_bytes: int) -> DataFrame:
-    """One row per block of documents: doc_ids, n_words of each, codes of words, and the distinct words."""
+def dictionary(docs: DataFrame, pattern: str, fold, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """word (binary), n and ids of the distinct words of a sample of about ``sample_bytes`` bytes of text.
+
+    The sample bounds the dictionary: its words are parts of the sampled texts. Written once.
+    """
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    sampled = docs.sample(min(1.0, sample_bytes / size), 7) if size else docs.limit(0)
 
     def run(batches):
         import regex
 
         find = regex.compile(pattern).findall
+        for _, texts in doc_chunks(batches, 1 << 23):
+            counts: Counter = Counter()
+            for t in texts:
+                counts.update(find(t))
+            found = [(w.encode(), n) for w, n in counts.items() if len(w) <= LONG_WORD // 8]
+            for lo in range(0, len(found), 1 << 14):
+                cols = zip(*found[lo : lo + (1 << 14)], strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(cols, (pa.binary(), pa.int64()), strict=True)], names=["word", "n"]
+                )
+
+    def lists(batches):
+        for batch in batches:
+            words = _byte_lists(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, words], names=["word", "n", "bytes"])
+
+    words = sampled.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "word binary, n long")
+    words = words.groupBy("word").agg(F.sum("n").alias("n")).mapInArrow(lists, "word binary, n long, bytes array<int>")
+    folded = fold(F.col("bytes"), lambda word, ids: ids(word)).alias("ids")
+    return materialize(words.select("word", "n", folded), "bpe-words")
+
+
+_dictionaries: dict[tuple, tuple] = {}
+
+
+def _dictionary(path: str, with_words: bool) -> tuple:
+    """The worker's copy of a written dictionary: words to numbers, or how many runs and ids it has and the runs."""
+    if (path, with_words) not in _dictionaries:
+        import pyarrow.dataset as ds
+
+        system, place = filesystem(path)
+        table = ds.dataset(place, filesystem=system, format="parquet").to_table()
+        table = table.sort_by([("n", "descending"), ("word", "ascending")])  # frequent words have small codes
+        _dictionaries.clear()
+        if with_words:
+            words = table.column("word").cast(pa.string()).to_numpy().tolist()
+            _dictionaries[path, with_words] = dict(zip(words, range(len(words)), strict=True))
+        else:
+            pool, ids = Pool(), table.column("ids").combine_chunks()
+            pool.add(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), _sizes(ids))
+            _dictionaries[path, with_words] = (pool.n, pool.n_ids), pool
+    return _dictionaries[path, with_words]
+
+
+def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) -> DataFrame:
+    """One row per block of documents: doc_ids, n_words of each, codes of words, and the words that the
+    dictionary lacks."""
+    schema = "doc_ids array<bigint>, n_words binary, codes binary, words array<array<int>>, long_words array<binary>"
+
+    def run(batches):
+        import regex
+
+        find = regex.compile(pattern).findall
+        known = _dictionary(path, True)
         for ids, texts in doc_chunks(batches, max_bytes):
             chunk_of: defaultdict = defaultdict()
             chunk_of.default_factory = chunk_of.__len__
@@ -157,40 +279,34 @@ def blocks_of_words(docs: DataFrame, pattern: str, max_bytes: int) -> DataFrame:
                     parts = [first, *map(" ".__add__, rest)]
                 chunks.append(np.fromiter(map(chunk_of.__getitem__, parts), dtype=np.int64, count=len(parts)))
                 bounds.append(len(parts))
-            word_of: defaultdict = defaultdict()
-            word_of.default_factory = word_of.__len__
-            found = [[word_of[w] for w in find(c)] for c in chunk_of]
-            lengths = np.array([len(x) for x in found], dtype=np.int64)
+            new: defaultdict = defaultdict()
+            new.default_factory = lambda: len(known) + len(new)  # noqa: B023
+            found = [[known[w] if w in known else new[w] for w in find(c)] for c in chunk_of]
+            sizes = np.array([len(x) for x in found], dtype=np.int64)
             flat = np.array([w for x in found for w in x], dtype=np.int64)
             codes = np.concatenate(chunks)
-            n_words = np.add.reduceat(lengths[codes], np.cumsum(bounds) - bounds)
-            codes = flat[_expand(np.cumsum(lengths) - lengths, lengths, codes)] if len(flat) else flat
-            raw = [w.encode("utf-8", "surrogatepass") for w in word_of]
-            small = np.array([len(w) <= LONG_WORD for w in raw], dtype=bool)
-            place = np.where(small, np.cumsum(small) - 1, small.sum() + np.cumsum(~small) - 1)
-            short = [w for w in raw if len(w) <= LONG_WORD]
-            sizes = np.array([0, *map(len, short)], dtype=np.int32)
-            words = pa.ListArray.from_arrays(
-                pa.array(np.cumsum(sizes, dtype=np.int32)),
-                pa.array(np.frombuffer(b"".join(short), dtype=np.uint8).astype(np.int32)),
-            )
-            whole = lambda values, n: pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), values)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    whole(pa.array(ids, pa.int64()), len(ids)),
-                    pa.array([n_words.astype("<i4").tobytes()], pa.binary()),
-                    pa.array([(place[codes] if len(codes) else codes).astype("<i4").tobytes()], pa.binary()),
-                    whole(words, len(short)),
-                    pa.array([[w for w in raw if len(w) > LONG_WORD]], pa.list_(pa.binary())),
-                ],
-                names=["doc_ids", "n_words", "codes", "words", "long_words"],
-            )
+            n_words = np.add.reduceat(sizes[codes], np.cumsum(bounds) - bounds)
+            codes = flat[runs((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
+            words = [w.encode("utf-8", "surrogatepass") for w in new]
+            if len(words):  # short words are numbered before long ones
+                short = np.array([len(w) <= LONG_WORD for w in words], dtype=bool)
+                number = np.where(short, np.cumsum(short) - 1, short.sum() + np.cumsum(~short) - 1) + len(known)
+                own = codes >= len(known)
+                codes[own] = number[codes[own] - len(known)]
+            folded = _byte_lists([w for w in words if len(w) <= LONG_WORD])
+            row = [
+                pa.array([ids], pa.list_(pa.int64())),
+                pa.array([n_words.astype("<i4").tobytes()], pa.binary()),
+                pa.array([planes(codes)], pa.binary()),
+                pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), folded),
+                pa.array([[w for w in words if len(w) > LONG_WORD]], pa.list_(pa.binary())),
+            ]
+            yield pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in schema.split(", ")])
 
-    schema = "doc_ids array<bigint>, n_words binary, codes binary, words array<array<int>>, long_words array<binary>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 1 << 24, ids: bool = True):
+def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: int = 1 << 22, ids: bool = True):
     """Encodes whole texts and decodes the ids: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if
     asked for, ids (little-endian unsigned 32-bit) and decoded (bytes).
 
@@ -199,53 +315,45 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: i
     """
     small_batches(docs.sparkSession)
     ranks = load_ranks(ranks_path)
-    literal = rank_map(pair_ranks(ranks))
-    byte_ids = F.from_json(F.lit(json.dumps([ranks[bytes([i])] for i in range(256)])), "array<int>")
-    blocks = blocks_of_words(docs, pattern, block_bytes).select(
-        "doc_ids",
-        "n_words",
-        "codes",
-        "long_words",
-        F.transform("words", lambda w: fold_merges(w, byte_ids, literal)).alias("word_ids"),
-    )
+    merges, byte_ids = RankMap(pair_ranks(ranks)), _literal([ranks[bytes([i])] for i in range(256)], "array<int>")
+
+    def fold(value: Column, body) -> Column:
+        # the literal map stands in the plan once
+        return _let(merges.literal, lambda table: body(value, lambda word: fold_merges(word, byte_ids, merges, table)))
+
+    path = dictionary(docs, pattern, fold).scratch_path
+    blocks = blocks_of_words(docs, pattern, path, block_bytes).withColumn("words", fold(F.col("words"), F.transform))
+    blocks = materialize(blocks, "bpe-blocks", "zstd")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids binary, decoded binary" * ids
 
+    def finish(row: dict, pool: Pool, pieces: list[bytes]):
+        """The documents of a block whose words are all in the pool."""
+        codes, n_words = from_planes(row["codes"]), np.frombuffer(row["n_words"], dtype="<i4").astype(np.int64)
+        all_ids, sizes = pool.get(codes)
+        at = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(n_words)])]
+        cols = [[], [], [], []]
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            mine = all_ids[a:b]
+            raw, back = mine.astype("<u4").tobytes(), b"".join(map(pieces.__getitem__, mine.tolist()))
+            for col, x in zip(cols, (hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest(), raw, back), strict=True):
+                col.append(x)
+        out = [pa.array(row["doc_ids"], pa.int64()), pa.array(np.diff(at))]
+        out += [pa.array(x, t) for x, t in zip(cols, [pa.string()] * 2 + [pa.binary()] * 2, strict=True)][: 4 if ids else 2]
+        return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in schema.split(", ")])
+
     def run(batches):
         ranks = load_ranks(ranks_path)
         pieces = sorted(ranks, key=ranks.get)
-        sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
-        sizes[[ranks[p] for p in pieces]] = [len(p) for p in pieces]
-        starts = np.cumsum(sizes) - sizes
-        table = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        (n, n_ids), pool = _dictionary(path, False)
         for batch in batches:
-            for row in range(batch.num_rows):
-                doc_ids, n_words, codes, long_words, word_ids = (batch.column(c)[row] for c in range(5))
-                n_words = np.frombuffer(n_words.as_py(), dtype="<i4")
-                codes = np.frombuffer(codes.as_py(), dtype="<i4")
-                lists = word_ids.values
-                lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                if extra := [merge_long(w, ranks) for w in long_words.as_py()]:
-                    lengths = np.concatenate([lengths, [len(x) for x in extra]])
-                    flat = np.concatenate([flat, *extra])
-                all_ids = flat[_expand(np.cumsum(lengths) - lengths, lengths, codes)] if len(codes) else flat[:0]
-                # ids and decoded bytes of each document lie between these bounds
-                of_word = np.concatenate([[0], np.cumsum(lengths[codes])]) if len(codes) else np.zeros(1, np.int64)
-                at = of_word[np.concatenate([[0], np.cumsum(n_words)])]
-                raw_ids = all_ids.astype("<u4").tobytes()
-                decoded = table[_expand(starts, sizes, all_ids)].tobytes() if len(all_ids) else b""
-                byte_at = np.concatenate([[0], np.cumsum(sizes[all_ids])])[at]
-                got = [raw_ids[4 * a : 4 * b] for a, b in zip(at[:-1], at[1:], strict=True)]
-                back = [decoded[a:b] for a, b in zip(byte_at[:-1], byte_at[1:], strict=True)]
-                cols = [
-                    doc_ids.values,
-                    pa.array(np.diff(at)),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in back], pa.string()),
-                ]
-                if ids:
-                    cols += [pa.array(got, pa.binary()), pa.array(back, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+            for r in range(batch.num_rows):
+                pool.n, pool.n_ids = n, n_ids  # each block starts from the dictionary
+                words = batch.column("words")[r].values
+                row = {c: batch.column(c)[r].as_py() for c in ("doc_ids", "n_words", "codes", "long_words")}
+                pool.add(words.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), _sizes(words))
+                each = [merge_long(w, ranks) for w in row["long_words"]]
+                pool.add(np.array([i for x in each for i in x], dtype=np.uint32), np.array([len(x) for x in each], dtype=np.int64))
+                yield finish(row, pool, pieces)
 
     return blocks.mapInArrow(run, schema)
