@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words in an operation that suggest a change of state.
+#: Words in an operation that suggest a change of state.
 CHANGE = "(?i)create|update|set|put|patch|add|insert|delete|remove|register|configure"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from quern.sources.capture import RAW_PAIRS, to_samples
 from quern.sources.store import Store
 
+LOG = logging.getLogger(__name__)
+
 
 def stream_pairs(spark: SparkSession, path: str, fmt: str = "json", files_per_trigger: int = 100) -> DataFrame:
     """An unbounded frame of raw pairs from a landing folder."""
@@ -39,7 +43,11 @@ def start_capture(
             if stored is not None:
                 last = stored.where(F.col("session_id") == session_id).agg(F.max("snapshot")).first()[0] or 0
             for k in range(last + 1, done + 1):
-                store.aggregate(session_id, k, k * every)
+                try:
+                    store.aggregate(session_id, k, k * every)
+                except Exception:
+                    LOG.exception("snapshot %s of session %s failed; tried again with the next batch", k, session_id)
+                    break
 
     writer = pairs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

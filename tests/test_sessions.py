@@ -33,6 +33,24 @@ def write(folder, name, pairs):
     (folder / name).write_text("\n".join(map(json.dumps, pairs)))
 
 
+def test_a_failing_snapshot_does_not_end_the_capture(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"))
+    aggregate, failed = store.aggregate, []
+
+    def once(session, snapshot, samples):
+        if not failed:
+            failed.append(snapshot)
+            raise RuntimeError("planted")
+        return aggregate(session, snapshot, samples)
+
+    monkeypatch.setattr(store, "aggregate", once)
+    for name in ("a", "b"):
+        write(tmp_path / "in", f"{name}.json", [pair(i + 3 * (name == "b")) for i in range(3)])
+        start_capture(stream_pairs(spark, str(tmp_path / "in")), store, "s", str(tmp_path / "progress"), 3).awaitTermination()
+    assert failed == [1] and store.count("s") == 6
+    assert {r.snapshot: r.samples for r in store.snapshots("s").collect()} == {1: 3, 2: 6}
+
+
 def test_snapshots_are_cumulative_and_batch_equals_stream(spark, tmp_path):
     write(tmp_path / "in", "a.json", [pair(i, url=f"/users/{i}?p={i}") for i in range(3)])
     store = Store(spark, str(tmp_path / "store"))
