@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import aggregate, diff, documents, facts, reports
+from quern.operators import aggregate, diff, documents, reports
 from quern.sources.store import Store, StoreError
 from quern.streaming.capture import finish_capture, start_capture, stream_pairs
 
@@ -68,13 +68,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "snapshots":
         return reports.lines(store.snapshots(session).orderBy("snapshot"))
     if a.command == "agent-report":
-        shapes = store.samples(session).withColumns(
-            {
-                "request_shape": facts.fingerprint_of(F.col("request_body")),
-                "response_shape": facts.fingerprint_of(F.col("response_body")),
-            }
-        )
-        return reports.session_report(shapes)
+        return reports.session_report(store.samples(session))
     rows = store.snapshot(session, a.snapshot).where(F.col("confidence_score") >= a.min_confidence)
     if a.format == "raw":
         return "\n".join(r["value"] for r in documents.json_export(rows).collect())

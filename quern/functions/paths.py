@@ -141,7 +141,7 @@ def resource_base(template: Column) -> Column:
 
 def _capital(word: Column) -> Column:
     """The word with an upper-case initial."""
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 1 << 20))
+    return F.concat(F.upper(F.substring(word, 1, 1)), F.substr(word, F.lit(2)))
 
 
 def pascal_segments(template: Column) -> Column:

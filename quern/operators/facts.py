@@ -1,14 +1,16 @@
 """JSON bodies as path facts, and schemas merged from them by ordinary aggregation.
 
-A body becomes one row per JSON node: its path, type, format and, for short plain strings, its value.
-Merging any number of bodies is then a group-by on (group, path, type); nothing depends on the order
-of bodies but the order of properties.
+A body becomes one fact per path and type of its JSON nodes: how many there are, their format, where
+the first one stands and the distinct short plain strings among them. Facts add up, first within a task's
+Arrow batch, then by a group-by on (group, path, type); nothing depends on the order of bodies but
+the order of properties. Samples are stored with such facts, never with their bodies.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -19,11 +21,19 @@ from quern.functions.text import FORMATS
 
 #: Strings longer than this (UTF-16 units) are never enumerated.
 TRACKED_LENGTH = 100
+#: A path with more distinct values than an enumeration may have needs no more of them.
+TRACKED_VALUES = 11
 INT32 = (-(2**31), 2**31 - 1)
 _CHECKS = [(name, re.compile(pattern.replace(r"\z", r"\Z"), re.ASCII if name != "email" else 0)) for name, pattern in FORMATS]
 _SPECIAL = re.compile(r"([.\[\\])")
+_COUNTS = "path string, type string, n bigint, with_format bigint, lo string, hi string"
+#: The facts of one body, as stored with its sample.
+BODY_FACTS = (
+    "array<struct<path:string,type:string,n:bigint,with_format:bigint,lo:string,hi:string,ord:int,values:array<string>>>"
+)
 
 
+@lru_cache(maxsize=1 << 16)
 def segment(key: str) -> str:
     """A property as a path segment; dots, brackets and backslashes are escaped."""
     return "." + _SPECIAL.sub(r"\\\1", key)
@@ -43,21 +53,33 @@ def parse(body: str | None):
         return False, None
 
 
-def scalar(value) -> tuple[str, str | None, str | None]:
-    """Type, format and tracked value of a JSON leaf (or the type alone of an object or array)."""
+def kind_of(value) -> str:
+    """Type of a JSON value; a number without a fraction is an integer."""
     if value is None:
-        return "null", None, None
+        return "null"
     if isinstance(value, bool):
-        return "boolean", None, None
+        return "boolean"
     if isinstance(value, int) or isinstance(value, float) and value.is_integer():
-        return "integer", "int32" if INT32[0] <= value <= INT32[1] else "int64", None
+        return "integer"
     if isinstance(value, float):
-        return "number", "double", None
+        return "number"
     if isinstance(value, str):
+        return "string"
+    return "object" if isinstance(value, dict) else "array"
+
+
+def scalar(value) -> tuple[str, str | None, str | None]:
+    """Type, format and tracked value of a JSON leaf (or the type alone of an object or array)."""
+    kind = kind_of(value)
+    if kind == "integer":
+        return kind, "int32" if INT32[0] <= value <= INT32[1] else "int64", None
+    if kind == "number":
+        return kind, "double", None
+    if kind == "string":
         found = next((name for name, check in _CHECKS if check.search(value)), None)
         short = len(value.encode("utf-16-le", "surrogatepass")) <= 2 * TRACKED_LENGTH
-        return "string", found, value if found is None and short else None
-    return ("object" if isinstance(value, dict) else "array"), None, None
+        return kind, found, value if found is None and short else None
+    return kind, None, None
 
 
 def nodes(value):
@@ -72,48 +94,133 @@ def nodes(value):
             todo += [(path + "[]", v) for v in reversed(x)]
 
 
-def infer_facts(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """One row per JSON node of each body beside the frame's other columns: path, type, format, value, ord.
+def tally(found: dict, value, at=0) -> None:
+    """Adds a JSON value's nodes to ``found``: (path, type) to [n, with_format, lo, hi, (at, ord), values].
 
-    Empty and invalid bodies give no rows.
+    Values are added by rising ``at``.
+    """
+    for k, (path, kind, fmt, text) in enumerate(nodes(value)):
+        row = found.get((path, kind))
+        if row is None:
+            row = found[path, kind] = [0, 0, fmt, fmt, (at, k), {}]
+        row[0] += 1
+        if row[4][0] == at and k < row[4][1]:
+            row[4] = (at, k)
+        if fmt is not None:
+            row[1] += 1
+            row[2] = fmt if row[2] is None else min(row[2], fmt)
+            row[3] = fmt if row[3] is None else max(row[3], fmt)
+        if text is not None and len(row[5]) < TRACKED_VALUES:
+            row[5][text] = None
+
+
+def infer_facts(bodies: DataFrame, body: str = "body", ordinal: str = "id") -> DataFrame:
+    """Facts of JSON bodies by the frame's other columns, added up within each Arrow batch.
+
+    Beside those columns (all but ``ordinal``, of plain types): path, type, n, with_format, lo, hi, first
+    (the least ordinal, nulls before others, and the node's place in that body) and at most
+    TRACKED_VALUES values. Empty and invalid bodies give no rows. A column named like one of these is
+    refused with a ValueError.
     """
-    keep = [c for c in bodies.columns if c != body]
+    keep = [c for c in bodies.columns if c not in (body, ordinal)]
+    clash = {"path", "type", "n", "with_format", "lo", "hi", "first", "values"} & set(keep)
+    if clash:
+        raise ValueError(f"rename the columns {sorted(clash)}: facts have columns of these names")
 
     def run(batches):
         for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(len(keep)).to_pylist()):
-                good, value = parse(text)
+            ids = batch.column(len(keep)).to_pylist()
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(keep))), strict=True)) or [()] * len(ids)
+            texts = batch.column(len(keep) + 1).to_pylist()
+            groups: dict[tuple, tuple[int, dict]] = {}
+            by_ordinal: list[int] = []  # a row of each ordinal, in order
+            for i in sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i])):
+                if not by_ordinal or ids[i] != ids[by_ordinal[-1]]:
+                    by_ordinal.append(i)
+                good, value = parse(texts[i])
                 if good:
-                    for k, node in enumerate(nodes(value)):
-                        at.append(i)
-                        rows.append((*node, k))
-            kinds = [pa.string()] * 4 + [pa.int32()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kept = batch.select(keep).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))],
-                names=[*keep, "path", "type", "format", "value", "ord"],
+                    tally(groups.setdefault(keys[i], (i, {}))[1], value, len(by_ordinal) - 1)
+            at, rows, firsts, places = [], [], [], []
+            for i, found in groups.values():
+                for (path, kind), (n, with_format, lo, hi, first, values) in found.items():
+                    at.append(i)
+                    firsts.append(by_ordinal[first[0]])
+                    places.append(first[1])
+                    rows.append((path, kind, n, with_format, lo, hi, list(values)))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string())]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            *cols, values = (pa.array(c, t) for c, t in zip(cols, kinds, strict=True))
+            first = pa.StructArray.from_arrays(
+                [batch.column(len(keep)).take(pa.array(firsts, pa.int64())), pa.array(places, pa.int32())], names=[ordinal, "ord"]
             )
+            kept = batch.select(keep).take(pa.array(at, pa.int64()))
+            names = [*keep, "path", "type", "n", "with_format", "lo", "hi", "first", "values"]
+            yield pa.RecordBatch.from_arrays([*kept.columns, *cols, first, values], names=names)
+
+    kind = {c: bodies.schema[c].dataType.simpleString() for c in [*keep, ordinal]}
+    schema = [*(f"`{c}` {kind[c]}" for c in keep), _COUNTS, f"first struct<`{ordinal}`:{kind[ordinal]},ord:int>", "values array<string>"]
+    return bodies.select(*keep, ordinal, body).mapInArrow(run, ", ".join(schema))
 
-    schema = ", ".join(f"`{c}` {bodies.schema[c].dataType.simpleString()}" for c in keep)
-    return bodies.select(*keep, body).mapInArrow(
-        run, f"{schema}, path string, type string, format string, value string, ord int"
+
+def _read_body(text: str | None) -> dict:
+    good, value = parse(text)
+    found: dict = {}
+    if good:
+        tally(found, value)
+    names = ("path", "type", "n", "with_format", "lo", "hi")
+    rows = [
+        dict(zip(names, (path, kind, *row[:4]), strict=True)) | {"ord": row[4][1], "values": list(row[5])}
+        for (path, kind), row in found.items()
+    ]
+    return {"shape": fingerprint(value) if good else EMPTY, "facts": rows}
+
+
+def without_bodies(samples: DataFrame) -> DataFrame:
+    """Samples with request_facts, request_shape, response_facts and response_shape instead of bodies.
+
+    This is the form in which samples are stored: each body is read once, and no body is kept. A body
+    that is missing, empty or invalid has no facts and the shape ``<empty>``. Samples that have no
+    body columns come back as they are.
+    """
+    kind = pa.list_(
+        pa.struct(
+            [("path", pa.string()), ("type", pa.string()), ("n", pa.int64()), ("with_format", pa.int64()), ("lo", pa.string())]
+            + [("hi", pa.string()), ("ord", pa.int32()), ("values", pa.list_(pa.string()))]
+        )
     )
+    whole = pa.struct([("shape", pa.string()), ("facts", kind)])
 
+    @F.arrow_udf(f"struct<shape:string,facts:{BODY_FACTS}>")
+    def read(bodies: pa.Array) -> pa.Array:
+        return pa.array([_read_body(text) for text in bodies.to_pylist()], whole)
 
-def merge_facts(facts: DataFrame, group: list[str], ordinal: str = "id") -> DataFrame:
+    out = samples
+    for side in ("request", "response"):
+        if f"{side}_body" in samples.columns:
+            out = out.withColumn(f"{side}_body", read(F.col(f"{side}_body")))
+            out = out.withColumns({f"{side}_{part}": F.col(f"{side}_body.{part}") for part in ("shape", "facts")})
+    return out.drop("request_body", "response_body")
+
+
+def stored_facts(samples: DataFrame, side: str, group: list[str], ordinal: str = "id") -> DataFrame:
+    """The facts that samples carry for one side (request or response), in the form of ``infer_facts``."""
+    each = samples.select(*group, F.col(ordinal).alias("sample"), F.inline(f"{side}_facts"))
+    counts = ("path", "type", "n", "with_format", "lo", "hi")
+    return each.select(*group, *counts, F.struct(F.col("sample").alias(ordinal), "ord").alias("first"), "values")
+
+
+def merge_facts(facts: DataFrame, group: list[str]) -> DataFrame:
     """One row per (group, path, type): n nodes, surviving format, and first place seen.
 
     Integers widen to numbers, and lose their format, where a number stands at the same path. A
     format survives if all nodes agree on it.
     """
     by_type = facts.groupBy(*group, "path", "type").agg(
-        F.count("*").alias("n"),
-        F.count("format").alias("with_format"),
-        F.min("format").alias("lo"),
-        F.max("format").alias("hi"),
-        F.min(F.struct(ordinal, "ord")).alias("first"),
+        F.sum("n").alias("n"),
+        F.sum("with_format").alias("with_format"),
+        F.min("lo").alias("lo"),
+        F.max("hi").alias("hi"),
+        F.min("first").alias("first"),
     )
     # at most seven types to a path
     one = by_type.groupBy(*group, "path").agg(
@@ -215,8 +322,13 @@ def field_stats(merged: DataFrame, totals: DataFrame, group: list[str], patch: s
 
 
 def enums(facts: DataFrame, totals: DataFrame, group: list[str], least: int = 10, most: int = 10) -> DataFrame:
-    """Sorted distinct tracked values of string paths that have few: at least ``least`` bodies, at most ``most`` values."""
-    values = facts.where(F.col("value").isNotNull()).select(*group, "path", "value").distinct()
+    """Sorted distinct tracked values of string paths that have few: at least ``least`` bodies, at most ``most`` values.
+
+    Facts with TRACKED_VALUES values may have lost others, so ``most`` must be less.
+    """
+    if most >= TRACKED_VALUES:
+        raise ValueError(f"an enumeration has fewer than {TRACKED_VALUES} values")
+    values = facts.select(*group, "path", F.explode("values").alias("value")).distinct()
     small = values.groupBy(*group, "path").agg(F.count("*").alias("k")).where(F.col("k") <= most)
     kept = values.join(small, [*group, "path"]).groupBy(*group, "path").agg(F.array_sort(F.collect_list("value")).alias("enum"))
     return kept.join(totals.where(F.col("total") >= least).select(*group), group, "left_semi")
@@ -302,33 +414,35 @@ def nest(rows: list[dict]) -> dict:
     return node("") if "" in at else {}
 
 
-def fingerprint(value) -> str:
-    """A body's shape: sorted keys and types, ignoring values; array items merge."""
-    facts: dict[str, set[str]] = {}
-    for path, kind, _, _ in nodes(value):
-        facts.setdefault(path, set()).add(kind)
-    for kinds in facts.values():
-        if "number" in kinds:
-            kinds.discard("integer")
-
-    def show(path: str) -> str:
-        parts = []
-        for kind in sorted(facts[path]):
-            if kind == "object":
-                keys = sorted(p for p in facts if p.startswith(path + ".") and len(_TOKEN.findall(p[len(path) :])) == 1)
-                parts.append("{" + ",".join(f"{re.sub(r'\\(.)', r'\1', k[len(path) + 1 :])}:{show(k)}" for k in keys) + "}")
-            elif kind == "array":
-                parts.append(f"[{show(path + '[]')}]" if path + "[]" in facts else "array")
-            else:
-                parts.append(kind)
-        return parts[0] if len(parts) == 1 else f"oneOf({'|'.join(sorted(parts))})"
-
-    return show("")
+#: The shape of a missing, empty or invalid body.
+EMPTY = "<empty>"
+
+
+def fingerprint(*values) -> str:
+    """The shape of the values at one path: sorted keys and types, ignoring values; array items merge."""
+    kinds = {kind_of(x) for x in values}
+    if "number" in kinds:
+        kinds.discard("integer")
+    parts = []
+    for kind in kinds:
+        if kind == "object":
+            at: dict[str, list] = {}
+            for x in values:
+                if isinstance(x, dict):
+                    for k, v in x.items():
+                        at.setdefault(k, []).append(v)
+            parts.append("{" + ",".join(f"{k}:{fingerprint(*at[k])}" for k in sorted(at, key=segment)) + "}")
+        elif kind == "array":
+            items = [v for x in values if isinstance(x, list) for v in x]
+            parts.append(f"[{fingerprint(*items)}]" if items else "array")
+        else:
+            parts.append(kind)
+    return parts[0] if len(parts) == 1 else f"oneOf({'|'.join(sorted(parts))})"
 
 
 def _shape(text: str | None) -> str:
     good, value = parse(text)
-    return fingerprint(value) if good else "<empty>"
+    return fingerprint(value) if good else EMPTY
 
 
 def _shape_column(body: pd.Series) -> pd.Series:

@@ -11,9 +11,9 @@ from quern.operators.diff import changes_of
 ENDPOINT = aggregate.ENDPOINT
 
 
-def _schemas(samples: DataFrame, body: str, group: list[str], patch: bool) -> tuple[DataFrame, DataFrame]:
-    """(group, schema) and (group, path statistics) of one kind of body."""
-    found = facts.infer_facts(samples.select(*group, "id", F.col(body).alias("body")))
+def _schemas(samples: DataFrame, side: str, group: list[str], patch: bool) -> tuple[DataFrame, DataFrame]:
+    """(group, schema) and (group, path statistics) of the bodies of one side."""
+    found = facts.stored_facts(samples, side, group)
     totals = samples.groupBy(*group).agg(F.count("*").alias("total"))
     merged = facts.merge_facts(found, group)
     if patch:
@@ -23,13 +23,16 @@ def _schemas(samples: DataFrame, body: str, group: list[str], patch: bool) -> tu
 
 
 def aggregate_session(samples: DataFrame) -> DataFrame:
-    """One row per (session, method, template) with merged schemas and all that documents need."""
-    s = samples.withColumns(
+    """One row per (session, method, template) with merged schemas and all that documents need.
+
+    Samples carry facts as they are stored; those that still have bodies are read here.
+    """
+    s = facts.without_bodies(samples).withColumns(
         {"http_method": F.upper("http_method"), "status_code": F.coalesce("status_code", F.lit(0))}
     )
     key = ["session_id", *ENDPOINT]
-    per_status, stats = _schemas(s, "response_body", [*key, "status_code"], False)
-    requests, _ = _schemas(s, "request_body", key, True)
+    per_status, stats = _schemas(s, "response", [*key, "status_code"], False)
+    requests, _ = _schemas(s, "request", key, True)
     base = s.groupBy(*key).agg(
         F.count("*").alias("sample_count"),
         F.min("captured_at").alias("first_observed"),
@@ -43,7 +46,7 @@ def aggregate_session(samples: DataFrame) -> DataFrame:
         F.min("status_code").alias("primary_status"),
     )
     top = facts.top_confidence(stats, [*key, "status_code"]).withColumnRenamed("status_code", "primary_status")
-    shapes = s.select(*key, facts.fingerprint_of(F.col("response_body")).alias("shape")).distinct()
+    shapes = s.select(*key, F.col("response_shape").alias("shape")).distinct()
     shapes = shapes.groupBy(*key).agg(F.count("*").alias("unique_response_shapes"))
     values = aggregate.path_param_values(s, key).groupBy(*key, "name").agg(F.array_sort(F.collect_list("value")).alias("v"))
     values = values.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("path_param_values"))

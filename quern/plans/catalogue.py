@@ -104,7 +104,7 @@ def _merged(spark, sf):
 
 
 def _field():
-    return F.substring("path", 2, 100).alias("field")
+    return F.substr("path", F.lit(2)).alias("field")
 
 
 @query(
@@ -424,7 +424,7 @@ def _endpoint_fields(spark, sf):
         ).alias("c"),
     ).select("id", "c.http_method", paths.normalize_path(F.col("c.url")).alias("normalized_path"), "c.body")
     top = facts.infer_facts(calls).where(F.col("path").rlike(r"^\.[^.\[]*\z"))
-    names = top.groupBy(*aggregate.ENDPOINT, F.substring("path", 2, 100).alias("field")).agg(F.min("ord").alias("ord"))
+    names = top.groupBy(*aggregate.ENDPOINT, F.substr("path", F.lit(2)).alias("field")).agg(F.min("first").alias("ord"))
     return names.groupBy(*aggregate.ENDPOINT).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("ord", "field"))), lambda x: x["field"]).alias("fields"),
         F.lit(0).alias("ord"),

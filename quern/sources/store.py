@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.facts import without_bodies
 from quern.operators.pipeline import aggregate_session, with_versions
 
 #: Allowed changes of a session's status.
@@ -42,8 +43,8 @@ class Store:
     # --- samples ---
 
     def add_samples(self, samples: DataFrame) -> None:
-        """Appends samples; their bodies stay in a table of their own that ``drop_bodies`` clears."""
-        samples.write.mode("append").partitionBy("session_id").parquet(f"{self.root}/samples")
+        """Appends samples with the facts and shapes of their bodies; bodies are never stored."""
+        without_bodies(samples).write.mode("append").partitionBy("session_id").parquet(f"{self.root}/samples")
 
     def samples(self, session_id: str) -> DataFrame:
         found = self._read("samples")

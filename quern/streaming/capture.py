@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quern.operators.facts import without_bodies
 from quern.sources.capture import RAW_PAIRS, to_samples
 from quern.sources.store import Store
 
@@ -22,7 +23,7 @@ def stream_pairs(spark: SparkSession, path: str, fmt: str = "json", files_per_tr
 def start_capture(
     pairs: DataFrame, store: Store, session_id: str, checkpoint: str, every: int | None = None, available_now: bool = True
 ) -> StreamingQuery:
-    """Appends samples of one session; whenever a multiple of ``every`` is passed, snapshot k covers k * every samples.
+    """Appends samples of one session, without their bodies; whenever a multiple of ``every`` is passed, snapshot k covers k * every samples.
 
     A batch that runs again (same batch id) is written to its own part and replaces it. A snapshot
     that fails is logged and tried again with the next batch; capture goes on.
@@ -30,6 +31,7 @@ def start_capture(
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         samples = to_samples(rows.where(F.col("session_id") == session_id)).withColumn("batch", F.lit(batch_id))
+        samples = without_bodies(samples)
         (
             samples.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

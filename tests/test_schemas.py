@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -71,6 +72,38 @@ def test_enum(spark):
     assert "enum" not in schema_of(spark, [json.dumps({"s": f"v{i}"}) for i in range(12)])["properties"]["s"]
 
 
+def test_facts_add_up_whatever_the_order(spark):
+    rows = [("g", 3, '{"b":1,"a":"x"}'), ("g", None, '{"a":"y"}'), ("h", 3, "[bad"), ("g", 1, '{"b":2.5,"a":null}'), (None, 2, '{"a":"z"}')]
+    df = spark.createDataFrame(rows, "g string, id long, body string")
+    parts = [facts.infer_facts(df.coalesce(1)), facts.infer_facts(df.repartition(4)), facts.infer_facts(df.orderBy(F.desc("id")))]
+    got = [sorted(map(str, facts.merge_facts(x, ["g"]).collect())) for x in parts]
+    assert got[0] == got[1] == got[2]
+    merged = {(r.g, r.path, r.type): r for r in facts.merge_facts(parts[0], ["g"]).collect()}
+    assert merged["g", ".a", "string"].n == 2 and merged["g", ".a", "string"].first == (None, 1)
+    assert merged["g", ".b", "number"].n == 2 and merged["g", ".b", "number"].first == (1, 1)
+    assert {k[0] for k in merged} == {"g", None}
+    assert facts.infer_facts(df.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="path"):
+        facts.infer_facts(df.withColumn("path", F.lit("x")))
+
+
+def test_stored_facts_equal_those_of_bodies(spark):
+    bodies = [json.dumps({"s": f"v{i % 12}", "t": "ab"[i % 2], "l": [{"k": i}, {"k": i / 2}]}) for i in range(24)] + ["", "{", None]
+    rows = [("g", i, None if i % 3 else "{}", b) for i, b in enumerate(bodies)]
+    df = spark.createDataFrame(rows, "g string, id long, request_body string, response_body string")
+    stored = facts.without_bodies(df)
+    assert "request_body" not in stored.columns and "response_body" not in stored.columns
+    kept = facts.merge_facts(facts.stored_facts(stored, "response", ["g"]), ["g"]).collect()
+    read = facts.merge_facts(facts.infer_facts(df.select("g", "id", F.col("response_body").alias("body"))), ["g"]).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, read)) != []
+    totals = df.groupBy("g").agg(F.count("*").alias("total"))
+    found = facts.enums(facts.stored_facts(stored, "response", ["g"]), totals, ["g"]).collect()
+    assert [(r.path, r.enum) for r in found] == [(".t", ["a", "b"])]
+    shapes = {r.id: (r.request_shape, r.response_shape) for r in stored.collect()}
+    assert shapes[3] == ("{}", "{l:[{k:number}],s:string,t:string}") and shapes[25] == ("<empty>", "<empty>")
+    assert facts.without_bodies(stored).columns == stored.columns
+
+
 def test_fingerprint():
     assert facts.fingerprint({"b": 1, "a": [{"x": 1}, {"x": 1.5}]}) == "{a:[{x:number}],b:integer}"
     assert facts.fingerprint([]) == "array" and facts.fingerprint({}) == "{}"

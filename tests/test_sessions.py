@@ -73,6 +73,23 @@ def test_snapshots_are_cumulative_and_batch_equals_stream(spark, tmp_path):
     assert finish_capture(store, "none") is None
 
 
+def test_no_body_is_stored(spark, tmp_path):
+    secret = {"note": "private " * 20, "id": 7}
+    write(tmp_path / "in", "a.json", [pair(1, "POST", "/users", json.dumps(secret), request=json.dumps(secret))])
+    store = Store(spark, str(tmp_path / "store"))
+    start_capture(stream_pairs(spark, str(tmp_path / "in")), store, "s", str(tmp_path / "progress")).awaitTermination()
+    raw = spark.read.schema(RAW_PAIRS).json(str(tmp_path / "in"))
+    batch = Store(spark, str(tmp_path / "batch"))
+    batch.add_samples(to_samples(raw))
+    for kept in (store, batch):
+        rows = kept.samples("s")
+        assert not [c for c in rows.columns if c.endswith("_body")]
+        assert "private" not in str(rows.collect())
+        assert rows.first().request_shape == rows.first().response_shape == "{id:integer,note:string}"
+        endpoint = kept.aggregate("s").first()
+        assert json.loads(endpoint.request_schema)["required"] == ["id", "note"]
+
+
 def test_versions_and_commands(spark, tmp_path):
     root = str(tmp_path / "store")
     write(tmp_path / "one", "a.json", [pair(i, session="one") for i in range(2)])
