@@ -26,7 +26,9 @@ TRACKED_VALUES = 11
 INT32 = (-(2**31), 2**31 - 1)
 _CHECKS = [(name, re.compile(pattern.replace(r"\z", r"\Z"), re.ASCII if name != "email" else 0)) for name, pattern in FORMATS]
 _SPECIAL = re.compile(r"([.\[\\])")
+#: Columns that all facts have.
 _COUNTS = "path string, type string, n bigint, with_format bigint, lo string, hi string"
+_KINDS = {type(None): "null", bool: "boolean", int: "integer", str: "string", dict: "object", list: "array"}
 #: The facts of one body, as stored with its sample.
 BODY_FACTS = (
     "array<struct<path:string,type:string,n:bigint,with_format:bigint,lo:string,hi:string,ord:int,values:array<string>>>"
@@ -55,31 +57,26 @@ def parse(body: str | None):
 
 def kind_of(value) -> str:
     """Type of a JSON value; a number without a fraction is an integer."""
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, int) or isinstance(value, float) and value.is_integer():
-        return "integer"
-    if isinstance(value, float):
-        return "number"
-    if isinstance(value, str):
-        return "string"
-    return "object" if isinstance(value, dict) else "array"
+    return _KINDS.get(type(value)) or ("integer" if value.is_integer() else "number")
+
+
+def _string(value: str) -> tuple[str, str | None, str | None]:
+    found = next((name for name, check in _CHECKS if check.search(value)), None)
+    short = len(value.encode("utf-16-le", "surrogatepass")) <= 2 * TRACKED_LENGTH
+    return "string", found, value if found is None and short else None
+
+
+_short_string = lru_cache(maxsize=1 << 16)(_string)
 
 
 def scalar(value) -> tuple[str, str | None, str | None]:
     """Type, format and tracked value of a JSON leaf (or the type alone of an object or array)."""
     kind = kind_of(value)
+    if kind == "string":
+        return (_short_string if len(value) <= TRACKED_LENGTH else _string)(value)
     if kind == "integer":
         return kind, "int32" if INT32[0] <= value <= INT32[1] else "int64", None
-    if kind == "number":
-        return kind, "double", None
-    if kind == "string":
-        found = next((name for name, check in _CHECKS if check.search(value)), None)
-        short = len(value.encode("utf-16-le", "surrogatepass")) <= 2 * TRACKED_LENGTH
-        return kind, found, value if found is None and short else None
-    return kind, None, None
+    return kind, "double" if kind == "number" else None, None
 
 
 def nodes(value):
