@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--every", type=int, help="a snapshot every so many samples")
     for name in ("status", "sessions"):
         sub.add_parser(name)
-    for name in ("aggregate", "snapshots", "agent-report"):
+    for name in ("aggregate", "snapshots", "agent-report", "investigate", "stop"):
         sub.add_parser(name).add_argument("session", nargs="?")
     e = sub.add_parser("export", help="write an API document")
     e.add_argument("session", nargs="?")
@@ -37,9 +37,22 @@ def parser() -> argparse.ArgumentParser:
     d = sub.add_parser("diff", help="compare two snapshots or sessions")
     d.add_argument("old")
     d.add_argument("new")
+    d.add_argument("--old-snapshot", type=int, help="the latest, if not given")
+    d.add_argument("--new-snapshot", type=int)
     return p
 
 
+def close(store: Store, session: str) -> None:
+    """Aggregates a session and completes it; one that cannot be aggregated is marked as failed."""
+    store.put_session(session, "aggregating")
+    try:
+        finish_capture(store, session)
+    except Exception as e:
+        store.put_session(session, "failed", error=str(e)[:500])
+        raise
+    store.put_session(session, "completed")
+
+
 def run(spark: SparkSession, argv: list[str]) -> str:
     """Runs one command and returns its text."""
     a = parser().parse_args(argv)
@@ -47,26 +60,32 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.command == "capture":
         store.put_session(a.session, name=a.name, target_url=a.path, consumer=a.consumer)
         start_capture(stream_pairs(spark, a.path), store, a.session, f"{store.root}/progress/{a.session}", a.every).awaitTermination()
-        store.put_session(a.session, "aggregating")
-        finish_capture(store, a.session)
-        store.put_session(a.session, "completed")
+        close(store, a.session)
         return f"{store.count(a.session)} samples"
     if a.command in ("status", "sessions"):
         found = store.sessions()
         return reports.lines(found.where("status = 'active'") if a.command == "status" else found)
     if a.command == "diff":
-        old, new = (store.snapshot(store.resolve(x)) for x in (a.old, a.new))
+        sides = ((a.old, a.old_snapshot), (a.new, a.new_snapshot))
+        old, new = (store.snapshot(store.resolve(x), k) for x, k in sides)
         both = old.select(*aggregate.ENDPOINT, F.col("primary_schema").alias("a")).join(
             new.select(*aggregate.ENDPOINT, F.col("primary_schema").alias("b")), aggregate.ENDPOINT
         )
         changed = both.select(*aggregate.ENDPOINT, F.inline(diff.changes_of(F.col("a"), F.col("b"))))
+        changed = changed.orderBy("normalized_path", "http_method", "path", "kind")
         states = diff.diff_endpoints(old, new, aggregate.ENDPOINT).where("state != 'COMMON'")
+        states = states.orderBy("normalized_path", "http_method")
         return f"Endpoints\n{reports.lines(states)}\nChanges\n{reports.lines(changed)}"
     session = store.resolve(a.session)
     if a.command == "aggregate":
         return reports.lines(store.aggregate(session).select(*aggregate.ENDPOINT, "sample_count", "confidence_score"))
     if a.command == "snapshots":
         return reports.lines(store.snapshots(session).orderBy("snapshot"))
+    if a.command == "stop":
+        close(store, session)
+        return f"{store.count(session)} samples"
+    if a.command == "investigate":
+        return reports.lines(reports.investigate(store.samples(session)))
     if a.command == "agent-report":
         return reports.session_report(store.samples(session))
     rows = store.snapshot(session, a.snapshot).where(F.col("confidence_score") >= a.min_confidence)

@@ -101,6 +101,16 @@ def lines(df: DataFrame, most: int = 50) -> str:
     return "\n".join(out) or "  none"
 
 
+def investigate(samples: DataFrame) -> DataFrame:
+    """Repeated calls of stored samples with their causes, the most frequent first."""
+    from quern.operators import behaviour as b
+
+    rows = b.phase_rows(samples)
+    named = b.phases(rows)
+    pairs = b.intervening(rows, b.call_pairs(rows, named))
+    return investigations(rows, named, pairs, b.primary_causes(pairs)).orderBy(F.desc("pairs"), "session_id", "op")
+
+
 def session_report(samples: DataFrame) -> str:
     """An agent session as text: use of tools, patterns, wasted calls, phases and causes of repeats."""
     from quern.operators import behaviour as b
@@ -120,6 +130,5 @@ def session_report(samples: DataFrame) -> str:
         ("Phases", named.orderBy("phase")),
     ]
     if {"request_shape", "response_shape"} <= set(samples.columns):
-        pairs = b.intervening(rows, b.call_pairs(rows, named))
-        parts.append(("Repeats", investigations(rows, named, pairs, b.primary_causes(pairs)).orderBy(F.desc("pairs"))))
+        parts.append(("Repeats", investigate(samples)))
     return "\n".join(f"{title}\n{lines(df)}" for title, df in parts)

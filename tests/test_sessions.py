@@ -114,6 +114,28 @@ def test_versions_and_commands(spark, tmp_path):
         store.resolve("missing")
 
 
+def test_snapshot_diff_stop_and_investigate(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    store = Store(spark, root)
+    first = [pair(1), pair(2, url="/b"), pair(3, url="/a")]
+    store.put_session("s")
+    write(tmp_path / "in", "a.json", first)
+    start_capture(stream_pairs(spark, str(tmp_path / "in")), store, "s", str(tmp_path / "progress"), 1).awaitTermination()
+    out = cli.run(spark, ["--store", root, "diff", "s", "s", "--old-snapshot", "1", "--new-snapshot", "3"])
+    assert out.count("NEW") == 2 and out.index("/a") < out.index("/b")
+    assert cli.run(spark, ["--store", root, "investigate", "s"]) == "  none"
+    assert cli.run(spark, ["--store", root, "stop"]) == "3 samples"
+    assert store.sessions().first().status == "completed"
+    write(tmp_path / "two", "a.json", [pair(i, session="t") for i in range(1, 4)])
+    monkeypatch.setattr(Store, "aggregate", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        cli.run(spark, ["--store", root, "capture", str(tmp_path / "two"), "--session", "t"])
+    failed = store.sessions().where("id = 't'").first()
+    assert failed.status == "failed" and "division" in failed.error_message
+    repeated = cli.run(spark, ["--store", root, "investigate", "t"])
+    assert "op=GET /users/{userId}" in repeated and "pairs=2" in repeated
+
+
 def test_capture_rules(spark):
     big = "x" * 50
     rows = [
