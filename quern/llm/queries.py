@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import ann, bpe, langid, lm, media, neardup, packing, quality, urlfilter, wavelet
+from quern.llm import align, ann, bpe, langid, lm, media, neardup, packing, quality, urlfilter, vafile, warc, wavelet
 from quern.llm.common import table
 
 
@@ -86,6 +86,23 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vafile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 8 clusters after 10 rounds over their approximations."""
+    return vafile.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages in dictionary-compressed archives, read back."""
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of two tokenizers over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return align.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -97,6 +114,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_urlfilter": op9_urlfilter,
     "op10_media": op10_media,
+    "op11_vafile": op11_vafile,
+    "op12_warc": op12_warc,
+    "op13_align": op13_align,
 }
 
 
@@ -134,4 +154,34 @@ j AS (SELECT page_id, s.host, path, rate, low, CASE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
   WHEN low > 0.5 THEN 'block' ELSE 'allow' END AS verdict, round(rate, 6) AS bad_rate, round(low, 6) AS bad_low FROM j"""
 
-ORACLE: dict[str, str] = {"op9_urlfilter": OP9_SQL}
+
+
+def _cluster_sql(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Rounds of assignment and update over whole lists of components, one after another."""
+    far = "CAST(list_sum(list_transform(list_zip(e, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    steps = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {scale}) AS BIGINT)) AS e
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, e) - 1 AS j, e AS c FROM v QUALIFY j < {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"a{n} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(e) AS e, min({{'d': {far}, 'j': j}}) AS m FROM v CROSS JOIN c{n} GROUP BY r)"
+        )
+        if n < rounds:
+            steps.append(f"""x{n} AS (SELECT m.j AS j, unnest(e) AS x, unnest(range({dim})) AS i FROM a{n}),
+s{n} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM x{n} GROUP BY j, i),
+g{n} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{n} GROUP BY j),
+c{n + 1} AS MATERIALIZED (SELECT c{n}.j, coalesce(g{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN g{n} USING (j))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(m.j AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia,
+  CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON m.j = c{rounds}.j"""
+
+
+OP12_SQL = """
+WITH d AS (SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN row_number() OVER w ELSE 1 END AS k, first_value(page_id) OVER w AS top
+  FROM d WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to FROM r"""
+
+ORACLE: dict[str, str] = {"op9_urlfilter": OP9_SQL, "op11_vafile": _cluster_sql(), "op12_warc": OP12_SQL}
