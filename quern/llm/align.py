@@ -33,7 +33,7 @@ SEGMENTS, FAN, CHUNK = 128, 32, 4 << 20
 #: Cuts that the libraries encode as one text.
 TOGETHER = 256
 #: Bytes of ranges a worker keeps open, characters of cuts it remembers.
-OPEN_BYTES, KNOWN_CHARS = 48 << 20, 24 << 20
+OPEN_BYTES, KNOWN_CHARS = 32 << 20, 5 << 20
 _BITS = 16
 _CUT = re.compile(r"(?<=\S) (?=[\s\S])")
 #: Texts with a space after white space, at the start or at the end: not every space of theirs is a cut.
