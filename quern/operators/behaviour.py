@@ -32,9 +32,33 @@ def with_operation(samples: DataFrame) -> DataFrame:
     return samples.withColumns({"op": key, "ms": F.unix_millis("captured_at")})
 
 
+def _sent(path: str) -> Column:
+    """The facts of one path of a sample's request."""
+    return F.filter("request_facts", lambda f: f["path"] == path)
+
+
+def rpc_shaped(samples: DataFrame) -> Column:
+    """Whether a sample's request is an object with ``jsonrpc`` and ``method``, by its stored facts."""
+    if "request_facts" not in samples.columns:
+        return F.lit(False)
+    both = F.forall(F.array(F.lit(".jsonrpc"), F.lit(".method")), lambda p: F.exists("request_facts", lambda f: f["path"] == p))
+    return F.coalesce(both, F.lit(False))
+
+
+def with_rpc(samples: DataFrame) -> DataFrame:
+    """Samples whose JSON-RPC method and tool, where not stored, come from the strings among their request's facts."""
+    if "request_facts" not in samples.columns:
+        return samples
+    text = lambda path: F.get(F.get(_sent(path), F.lit(0))["values"], F.lit(0))
+    found = F.when(rpc_shaped(samples), text(".method"))
+    method = F.coalesce(F.col("jsonrpc_method"), found)
+    tool = F.when(F.col("jsonrpc_method").isNull() & (found == "tools/call"), text(".params.name"))
+    return samples.withColumns({"jsonrpc_method": method, "jsonrpc_tool": F.coalesce(F.col("jsonrpc_tool"), tool)})
+
+
 def session_kind(samples: DataFrame, share: float = 0.8) -> DataFrame:
-    """session_id and is_jsonrpc: more than ``share`` of its samples are POSTs with a JSON-RPC method."""
-    rpc = (F.col("http_method") == "POST") & F.col("jsonrpc_method").isNotNull()
+    """session_id and is_jsonrpc: more than ``share`` of its samples are POSTs with a JSON-RPC method or request."""
+    rpc = (F.col("http_method") == "POST") & (F.col("jsonrpc_method").isNotNull() | rpc_shaped(samples))
     return samples.groupBy("session_id").agg((F.avg(rpc.cast("int")) > share).alias("is_jsonrpc"))
 
 
@@ -269,6 +293,75 @@ def thin_responses(completeness: DataFrame, below: float = 0.5) -> DataFrame:
     return completeness.where(F.col("completeness") < below)
 
 
+def completeness_summary(completeness: DataFrame, below: float = 0.5) -> DataFrame:
+    """One row: how many writes were compared, their mean completeness (0 for none) and how many are thin."""
+    return completeness.agg(
+        F.count("*").alias("endpoints"),
+        F.coalesce(F.avg("completeness"), F.lit(0.0)).alias("avg_completeness"),
+        F.count_if(F.col("completeness") < below).alias("thin"),
+    )
+
+
+def endpoint_fields(endpoints: DataFrame) -> DataFrame:
+    """http_method, normalized_path, ord and fields: the top-level names, in order, of each endpoint's stored success response.
+
+    That is the response of status 200, else 201, else the first of 2xx; without one fields is null. A
+    response that is no plain object has no fields.
+    """
+    other = F.get(F.array_sort(F.filter(F.map_keys("response_schemas"), lambda c: c.startswith("2"))), F.lit(0))
+    schema = F.coalesce(*(F.try_element_at("response_schemas", c) for c in (F.lit("200"), F.lit("201"), other)))
+    read = F.from_json(schema, "type string, properties map<string,string>, oneOf array<string>")
+    plain = (read["type"] == "object") & read["oneOf"].isNull() & read["properties"].isNotNull()
+    names = F.when(plain, F.map_keys(read["properties"])).otherwise(F.array().cast("array<string>"))
+    return endpoints.select("http_method", "normalized_path", F.col("normalized_path").alias("ord"), F.when(schema.isNotNull(), names).alias("fields"))
+
+
+def tool_fields(samples: DataFrame) -> DataFrame:
+    """tool, ord and fields of each response to a tool's call, from its stored facts: names as they stand in the body."""
+    top = F.filter("response_facts", lambda f: f["path"].rlike(r"^\.(?:[^.\[\\]|\\.)*\z"))
+    names = F.transform(
+        F.array_sort(F.transform(top, lambda f: F.struct(f["ord"], f["path"]))),
+        lambda f: F.regexp_replace(F.substr(f["path"], F.lit(2)), r"\\(.)", "$1"),
+    )
+    kept = with_rpc(samples).where("jsonrpc_tool is not null and size(response_facts) > 0")
+    return kept.select(F.col("jsonrpc_tool").alias("tool"), F.unix_micros("captured_at").alias("ord"), names.alias("fields"))
+
+
+def session_extensions(samples: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """key and extension (JSON text) of one session: ``METHOD /template`` or JSON-RPC operation, with what is known of it.
+
+    Steps come by falling number of calls, then by name.
+    """
+    found = session_kind(samples).first()
+    rpc = bool(found and found["is_jsonrpc"])
+    if rpc:
+        seqs = rpc_sequences(with_rpc(samples)).select(F.col("from_op").alias("from_key"), F.col("to_op").alias("to_key"), "pattern", "n")
+        scored = tool_completeness(tool_fields(samples)).withColumn("key", F.col("normalized_path"))
+    else:
+        key = lambda side: F.concat_ws(" ", f"{side}_method", f"{side}_path")
+        seqs = rest_sequences(samples).select(key("from").alias("from_key"), key("to").alias("to_key"), "pattern", "n")
+        scored = write_read_completeness(endpoint_fields(endpoints)).withColumn("key", F.concat_ws(" ", "http_method", "normalized_path"))
+    out = agent_extensions(seqs.withColumn("ord", F.struct(-F.col("n"), "to_key")), scored)
+    return out.select(
+        "key",
+        F.to_json(
+            F.struct(
+                F.col("completeness").alias("responseCompleteness"),
+                F.when(F.size("missing_fields") > 0, F.col("missing_fields")).alias("missingFields"),
+                F.when(F.col("loop_count").isNotNull(), F.lit(True)).alias("verificationLoopDetected"),
+                F.col("loop_count").alias("verificationLoopCount"),
+                F.col("next_steps").alias("commonNextSteps"),
+            )
+        ).alias("extension"),
+    )
+
+
+def attach_extensions(endpoints: DataFrame, extensions: DataFrame) -> DataFrame:
+    """Endpoint rows with the extension of their ``METHOD /template``; the others have none."""
+    key = F.concat_ws(" ", "http_method", "normalized_path")
+    return endpoints.withColumn("key", key).join(extensions, "key", "left").drop("key")
+
+
 def agent_extensions(sequences: DataFrame, completeness: DataFrame) -> DataFrame:
     """One row per endpoint key: response completeness, loop count of the last loop, and next steps in order.
 

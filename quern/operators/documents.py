@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from quern.functions.paths import model_name, operation_id, schema_name
 from quern.functions.text import AUTH_HEADERS, TRANSPORT_HEADERS
+from quern.operators.facts import segment
+from quern.sources.scratch import written
 
 #: What a status means in a document.
 STATUS_TEXT = {
@@ -77,21 +79,26 @@ def operations(endpoints: DataFrame) -> DataFrame:
     )
 
 
-def to_openapi(schema: dict) -> dict:
-    """An inferred schema as an OpenAPI schema: no statistics; null variants are left out."""
+def to_openapi(schema: dict, refs: dict[str, dict] | None = None, path: str = "") -> dict:
+    """An inferred schema as an OpenAPI schema: no statistics; null variants are left out.
+
+    ``refs`` has references by path: a node at such a path becomes the reference.
+    """
+    if refs and path in refs:
+        return refs[path]
     if "oneOf" in schema:
-        left = [to_openapi(v) for v in schema["oneOf"] if v["type"] != "null"]
+        left = [to_openapi(v, refs, path) for v in schema["oneOf"] if v["type"] != "null"]
         return {"oneOf": left} if len(left) > 1 else (left[0] if left else {})
     if schema.get("type") in (None, "null"):
         return {}
     out = {k: schema[k] for k in ("type", "format", "enum") if schema.get(k)}
     if schema["type"] == "object":
         if schema.get("properties"):
-            out["properties"] = {k: to_openapi(v) for k, v in schema["properties"].items()}
+            out["properties"] = {k: to_openapi(v, refs, path + segment(k)) for k, v in schema["properties"].items()}
         if schema.get("required"):
             out["required"] = schema["required"]
     elif "items" in schema:
-        out["items"] = to_openapi(schema["items"])
+        out["items"] = to_openapi(schema["items"], refs, path + "[]")
     return out
 
 
@@ -113,8 +120,49 @@ def _kind(values: list[str] | None) -> str:
     return "integer" if values and all(re.fullmatch("[0-9]+", v) for v in values) else "string"
 
 
-def operation(row: dict, parts: Components, shared: set[tuple[str, str]], prefix: str, metadata: bool) -> dict:
+class Models:
+    """Shared models of a document: registered when first referred to, by (role, status) and path."""
+
+    def __init__(self, parts: Components, models: dict[str, dict], uses: dict[tuple, dict[str, str]]):
+        self.parts, self.models, self.uses, self.open = parts, models, uses, {}
+
+    def _ref(self, name: str) -> dict:
+        if name not in self.open:
+            m = self.models[name]
+            self.open[name] = {"$ref": f"#/components/schemas/{name}"}  # for a model that holds itself
+            inside = self.uses.get((m["http_method"], m["normalized_path"], m["role"], m["status"]), {})
+            below = {p[len(m["path"]) :]: n for p, n in inside.items() if p.startswith(m["path"]) and p != m["path"]}
+            self.open[name] = self.parts.ref(name, self.schema(json.loads(m["node"]), below))
+        return self.open[name]
+
+    def schema(self, schema: dict, names: dict[str, str]) -> dict:
+        """A schema whose nodes at some paths are models; the outermost counts."""
+        out: dict[str, dict] = {}
+        for path in sorted(names, key=len):
+            if not any(path.startswith(p) and path[len(p)] in ".[" for p in out):
+                out[path] = self._ref(names[path])
+        return to_openapi(schema, out)
+
+    def resolve(self, row: dict, role: str, status: int, schema: dict) -> dict | None:
+        """The reference, or array of references, that stands for a whole schema; None for any other."""
+        names = self.uses.get((row["http_method"], row["normalized_path"], role, status), {})
+        if "" in names or ("[]" in names and schema.get("type") == "array"):
+            return self.schema(schema, names)
+        return None
+
+    def inner(self, row: dict, role: str, status: int) -> dict[str, str]:
+        return self.uses.get((row["http_method"], row["normalized_path"], role, status), {})
+
+
+def operation(row: dict, parts: Components, shared: set[tuple[str, str]], prefix: str, metadata: bool, models: Models | None = None) -> dict:
     """One operation of a document from an endpoint row (see ``document``)."""
+
+    def described(role: str, status: int, name: str, text: str) -> dict:
+        schema = json.loads(text)
+        if models is None:
+            return parts.ref(name, to_openapi(schema))
+        return models.resolve(row, role, status, schema) or parts.ref(name, models.schema(schema, models.inner(row, role, status)))
+
     known = row.get("path_param_values") or {}
     params = [
         {"name": n, "in": "path", "required": True, "schema": {"type": _kind(known.get(n))}}
@@ -134,7 +182,7 @@ def operation(row: dict, parts: Components, shared: set[tuple[str, str]], prefix
     if params:
         out["parameters"] = params
     if row.get("request_schema"):
-        ref = parts.ref(row["request_name"], to_openapi(json.loads(row["request_schema"])))
+        ref = described("request", -1, row["request_name"], row["request_schema"])
         out["requestBody"] = {"content": {"application/json": {"schema": ref}}}
     responses = {}
     for status, schema in sorted((row.get("response_schemas") or {}).items(), key=lambda x: int(x[0])):
@@ -142,11 +190,11 @@ def operation(row: dict, parts: Components, shared: set[tuple[str, str]], prefix
         responses[status] = {"description": text}
         if int(status) != 204:
             name = row["response_name"] + ("" if status == "200" else status)
-            ref = parts.ref(name, to_openapi(json.loads(schema)))
+            ref = described("response", int(status), name, schema)
             responses[status]["content"] = {"application/json": {"schema": ref}}
     out["responses"] = responses or {"200": {"description": "Response with status 200"}}
     if row.get("extension"):
-        out[f"{prefix}-agent"] = row["extension"]
+        out[f"{prefix}-agent"] = json.loads(row["extension"])
     if metadata:
         out[f"{prefix}-sample-count"] = row["sample_count"]
         out[f"{prefix}-confidence"] = row["confidence_score"]
@@ -164,23 +212,37 @@ def document(
     prefix: str = "x-quern",
     metadata: bool = False,
     limit: int = 20_000,
+    share: bool = True,
+    nested: bool = False,
 ) -> dict:
     """An OpenAPI 3.1 document of endpoint rows, as a dictionary.
 
     Rows: http_method, normalized_path, sample_count, confidence_score, request_schema,
-    response_schemas (map by status), path_param_values, query_params, request_headers. A document
-    is read by people and tools as one file; more than ``limit`` endpoints are refused.
+    response_schemas (map by status), path_param_values, query_params, request_headers, and extension
+    (JSON text) where an operation has one. Schemas that endpoints share become models that the others
+    refer to (``share``), whole schemas and items of arrays, with ``nested`` also objects within them. A
+    document is read by people and tools as one file; more than ``limit`` endpoints are refused.
     """
+    from quern.operators import models as m
+
     rows = operations(endpoints.withColumn("status_code", F.lit(200))).orderBy("normalized_path", "http_method")
     rows = [r.asDict(recursive=True) for r in rows.limit(limit + 1).collect()]
     if len(rows) > limit:
         raise ValueError(f"more than {limit} endpoints")
     shared = {(r["name"], r["example"]) for r in global_headers.collect()} if global_headers is not None else set()
     parts = Components()
+    known = None
+    if share:
+        nodes = m.keyed_nodes(endpoints)
+        found = written(m.shared_models(nodes, nested), "models")
+        uses: dict[tuple, dict[str, str]] = {}
+        for r in m.references(nodes, found, nested).collect():  # no more than the schemas of ``limit`` endpoints hold
+            uses.setdefault((r.http_method, r.normalized_path, r.role, r.status), {})[r.path] = r.name
+        known = Models(parts, {r.name: r.asDict() for r in found.collect()}, uses)
     paths: dict[str, dict] = {}
     for row in rows:
         paths.setdefault(row["normalized_path"], {})[row["http_method"].lower()] = operation(
-            row, parts, shared, prefix, metadata
+            row, parts, shared, prefix, metadata, known
         )
     total = sum(r["sample_count"] for r in rows)
     text = f"Auto-generated from {total} traffic samples ({len(rows)} endpoints)"
@@ -240,5 +302,29 @@ def serialize(doc: dict, fmt: str = "yaml") -> str:
 
 
 def json_export(endpoints: DataFrame) -> DataFrame:
-    """One JSON line per endpoint row."""
-    return endpoints.select(F.to_json(F.struct(*endpoints.columns)).alias("value"))
+    """One JSON line per endpoint row, with the fields of a raw export; schemas are objects, not text.
+
+    A row's id is made of its session, snapshot, method and path; columns beyond those fields are left out.
+    """
+    node = lambda c: F.parse_json(c)
+    id = F.md5(F.to_json(F.struct("session_id", "snapshot", "http_method", "normalized_path")))
+    return endpoints.select(
+        F.to_json(
+            F.struct(
+                id.alias("id"),
+                F.col("session_id").alias("sessionId"),
+                F.col("http_method").alias("httpMethod"),
+                F.col("normalized_path").alias("path"),
+                "version",
+                F.col("sample_count").alias("sampleCount"),
+                F.col("confidence_score").alias("confidenceScore"),
+                node(F.col("request_schema")).alias("requestSchema"),
+                F.transform_values("response_schemas", lambda _, v: node(v)).alias("responseSchemas"),
+                F.col("request_headers").alias("requestHeaders"),
+                F.col("response_headers").alias("responseHeaders"),
+                F.col("changes").alias("breakingChanges"),
+                F.col("first_observed").alias("firstObserved"),
+                F.col("last_observed").alias("lastObserved"),
+            )
+        ).alias("value")
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.operators import aggregate, facts
 from quern.operators.diff import changes_of
+from quern.sources.scratch import written
 
 ENDPOINT = aggregate.ENDPOINT
 
@@ -25,9 +26,13 @@ def _schemas(samples: DataFrame, side: str, group: list[str], patch: bool) -> tu
 def aggregate_session(samples: DataFrame) -> DataFrame:
     """One row per (session, method, template) with merged schemas and all that documents need.
 
-    Samples carry facts as they are stored; those that still have bodies are read here.
+    Samples carry facts as they are stored; of those that still have bodies, the facts are written
+    once, and all that follows reads them there.
     """
-    s = facts.without_bodies(samples).withColumns(
+    s = facts.without_bodies(samples)
+    if {"request_body", "response_body"} & set(samples.columns):
+        s = written(s, "samples")
+    s = s.withColumns(
         {"http_method": F.upper("http_method"), "status_code": F.coalesce("status_code", F.lit(0))}
     )
     key = ["session_id", *ENDPOINT]

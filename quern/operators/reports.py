@@ -111,10 +111,36 @@ def investigate(samples: DataFrame) -> DataFrame:
     return investigations(rows, named, pairs, b.primary_causes(pairs)).orderBy(F.desc("pairs"), "session_id", "op")
 
 
-def session_report(samples: DataFrame) -> str:
-    """An agent session as text: use of tools, patterns, wasted calls, phases and causes of repeats."""
+#: Missing fields that a report names before it counts the rest.
+SHOWN_FIELDS = 5
+
+
+def missing_text(fields: Column, most: int = SHOWN_FIELDS) -> Column:
+    """The first missing fields, and how many more there are."""
+    shown = F.array_join(F.slice(fields, 1, most), ", ")
+    more = F.size(fields) - most
+    return F.when(more > 0, F.concat(shown, F.lit(", ... and "), more.cast("string"), F.lit(" more"))).otherwise(shown)
+
+
+def thin_text(completeness: DataFrame) -> DataFrame:
+    """Thin write responses, the thinnest first: what they return, of what a read returns, and what is missing."""
+    from quern.operators import behaviour as b
+
+    thin = b.thin_responses(completeness).orderBy("completeness", "normalized_path", "http_method")
+    percent = F.floor(F.col("completeness") * 100 + 0.5).cast("int")
+    return thin.select(
+        "http_method", "normalized_path", percent.alias("percent"), "write_field_count", "read_field_count", missing_text(F.col("missing_fields")).alias("missing")
+    )
+
+
+def session_report(samples: DataFrame, endpoints: DataFrame | None = None, name: str = "") -> str:
+    """An agent session as text: use of tools, patterns, wasted calls, phases, causes of repeats, and thin responses.
+
+    ``endpoints``: the session's stored rows; without them a REST session has no completeness.
+    """
     from quern.operators import behaviour as b
 
+    samples = b.with_rpc(samples)
     rpc = b.session_kind(samples).first()
     rpc = bool(rpc and rpc["is_jsonrpc"])
     sequences = b.rpc_sequences(samples) if rpc else b.rest_sequences(samples)
@@ -131,4 +157,13 @@ def session_report(samples: DataFrame) -> str:
     ]
     if {"request_shape", "response_shape"} <= set(samples.columns):
         parts.append(("Repeats", investigate(samples)))
-    return "\n".join(f"{title}\n{lines(df)}" for title, df in parts)
+    scored = None
+    if rpc and "response_facts" in samples.columns:
+        scored = b.tool_completeness(b.tool_fields(samples))
+    elif not rpc and endpoints is not None:
+        scored = b.write_read_completeness(b.endpoint_fields(endpoints))
+    if scored is not None:
+        parts += [("Completeness", b.completeness_summary(scored)), ("Thin responses", thin_text(scored))]
+    calls = usage.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_distinct("op").alias("ops")).first()
+    head = f"Session {name}: {calls.n} samples, {calls.ops} {'tools' if rpc else 'endpoints'}"
+    return "\n".join([head, *(f"{title}\n{lines(df)}" for title, df in parts)])

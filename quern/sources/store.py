@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,19 +41,59 @@ class Store:
                 return None
             raise
 
-    # --- samples ---
+    # --- samples: by session and batch, whoever writes them ---
 
-    def add_samples(self, samples: DataFrame) -> None:
-        """Appends samples with the facts and shapes of their bodies; bodies are never stored."""
-        without_bodies(samples).write.mode("append").partitionBy("session_id").parquet(f"{self.root}/samples")
+    def add_samples(self, samples: DataFrame, batch: int | None = None, session_id: str | None = None) -> None:
+        """Adds samples with the facts and shapes of their bodies; bodies are never stored.
+
+        A batch that is written again replaces itself. Without a number the samples are a batch of their
+        own, numbered below all others, so that it meets none of a stream's. With ``session_id``, only that
+        session's part is replaced (also by nothing, where the samples are none).
+        """
+        number = -time.time_ns() if batch is None else batch
+        rows = without_bodies(samples).withColumn("batch", F.lit(number).cast("long"))
+        if session_id is not None and rows.isEmpty():
+            self._remove(f"samples/session_id={session_id}/batch={number}")
+            return
+        self._overwrite(rows, "samples", ["session_id", "batch"])
+
+    def _overwrite(self, rows: DataFrame, name: str, keys: list[str]) -> None:
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
+        writer.parquet(f"{self.root}/{name}")
+
+    def _remove(self, name: str) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
     def samples(self, session_id: str) -> DataFrame:
         found = self._read("samples")
         if found is None:
             raise StoreError("no samples are stored", "capture some traffic first")
-        return found.where(F.col("session_id").cast("string") == session_id).withColumn(
-            "session_id", F.col("session_id").cast("string")
-        )
+        rows = found.where(F.col("session_id").cast("string") == session_id)
+        return self._kept(rows.withColumn("session_id", F.col("session_id").cast("string")))
+
+    # --- the ledger: what each batch of a capture admitted and skipped ---
+
+    def note_batch(self, session_id: str, batch: int, admitted: int, skipped: int) -> None:
+        """Notes a batch's counts; the same batch noted again replaces them, so nothing counts twice."""
+        row = self.spark.createDataFrame([(admitted, skipped, session_id, batch)], "admitted long, skipped long, session_id string, batch long")
+        self._overwrite(row, "ledger", ["session_id", "batch"])
+
+    def ledger(self, session_id: str, before: int | None = None) -> tuple[int, int]:
+        """(admitted, skipped) of a session, of its batches before one if that is given."""
+        found = self._read("ledger")
+        if found is None:
+            return 0, 0
+        mine = found.where(F.col("session_id").cast("string") == session_id)
+        if before is not None:
+            mine = mine.where(F.col("batch") < before)
+        row = mine.agg(F.sum("admitted"), F.sum("skipped")).first()
+        return row[0] or 0, row[1] or 0
+
+    def has_samples(self) -> bool:
+        """Whether any samples were ever stored."""
+        return self._read("samples") is not None
 
     def count(self, session_id: str) -> int:
         return self.samples(session_id).count()
@@ -81,7 +122,7 @@ class Store:
 
     def schemas(self) -> DataFrame | None:
         found = self._read("schemas")
-        return None if found is None else found.withColumn("session_id", F.col("session_id").cast("string"))
+        return None if found is None else self._kept(found.withColumn("session_id", F.col("session_id").cast("string")))
 
     def snapshot(self, session_id: str, snapshot: int | None = None) -> DataFrame:
         """A session's endpoint rows of one snapshot (the latest by default), by path and method."""
@@ -103,23 +144,51 @@ class Store:
             F.max("created_at").alias("created_at"),
         )
 
+    def delete_session(self, session_id: str) -> None:
+        """Deletes a session with its samples, snapshots and counts; an active one is refused.
+
+        First its state becomes ``deleted``, and it is no longer found or read; then its folders go. A
+        deletion that stops midway is completed by calling it again.
+        """
+        log = self._read("sessions")
+        last = None if log is None else log.where(F.col("id") == session_id).agg(F.max_by(F.struct("*"), "seq").alias("x")).first().x
+        if last is None:
+            raise StoreError(f"no session {session_id}", "list the sessions")
+        if last.status in ("active", "aggregating"):
+            raise StoreError("the session is still in use", "stop it first")
+        if last.status != "deleted":
+            row = (session_id, last["name"], last.target_url, "deleted", last.consumer, last.created_at, last.seq + 1, "")
+            self.spark.createDataFrame([row], SESSIONS).write.mode("append").parquet(f"{self.root}/sessions")
+        for name in ("samples", "schemas", "ledger"):
+            self._remove(f"{name}/session_id={session_id}")
+        self._remove(f"progress/{session_id}")
+
+    def _kept(self, rows: DataFrame) -> DataFrame:
+        """Rows of sessions that are not deleted."""
+        log = self._read("sessions")
+        if log is None:
+            return rows
+        gone = log.where("status = 'deleted'").select(F.col("id").alias("session_id"))
+        return rows.join(gone, "session_id", "left_anti")
+
     # --- sessions: a log of states, the last of each id counts ---
 
     def put_session(self, id: str, status: str = "active", name: str = "", target_url: str = "", consumer: str = "human", error: str = "") -> None:
         """Adds a session or its next state; states only move forward, and one session is active at a time."""
         if consumer not in ("human", "agent"):
             raise StoreError(f"unknown consumer {consumer}")
-        now = {r["id"]: r for r in self.sessions().collect()} if self._read("sessions") is not None else {}
-        if id in now:
-            if status not in NEXT[now[id]["status"]]:
-                raise StoreError(f"a session cannot go from {now[id]['status']} to {status}")
-            old = now[id]
+        known = self.sessions()
+        old = known.where(F.col("id") == id).first()
+        if old is not None:
+            if status not in NEXT[old["status"]]:
+                raise StoreError(f"a session cannot go from {old['status']} to {status}")
             name, target_url, consumer, created = old["name"], old["target_url"], old["consumer"], old["created_at"]
         else:
-            if any(r["status"] == "active" for r in now.values()):
+            if not known.where("status = 'active'").isEmpty():
                 raise StoreError("a session is active", "stop it first")
             created = datetime.now(UTC).replace(tzinfo=None)
-        seq = max([r["seq"] for r in now.values()], default=0) + 1
+        log = self._read("sessions")
+        seq = (0 if log is None else log.agg(F.max("seq")).first()[0]) + 1
         row = (id, name, target_url, status, consumer, created, seq, error)
         self.spark.createDataFrame([row], SESSIONS).write.mode("append").parquet(f"{self.root}/sessions")
 
@@ -129,7 +198,7 @@ class Store:
         if found is None:
             return self.spark.createDataFrame([], SESSIONS)
         last = found.groupBy("id").agg(F.max_by(F.struct(*(c for c in found.columns if c != "id")), "seq").alias("x"))
-        return last.select("id", "x.*").orderBy(F.desc("created_at"), F.desc("seq"))
+        return last.select("id", "x.*").where("status != 'deleted'").orderBy(F.desc("created_at"), F.desc("seq"))
 
     def resolve(self, wanted: str | None = None) -> str:
         """A session's id: by id, by name (the latest), else the active one, else the latest completed."""

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quern.operators.facts import without_bodies
-from quern.sources.capture import RAW_PAIRS, to_samples
+from quern.sources.capture import RAW_PAIRS, keep_pairs, to_samples
 from quern.sources.store import Store
 
 LOG = logging.getLogger(__name__)
@@ -21,25 +20,35 @@ def stream_pairs(spark: SparkSession, path: str, fmt: str = "json", files_per_tr
 
 
 def start_capture(
-    pairs: DataFrame, store: Store, session_id: str, checkpoint: str, every: int | None = None, available_now: bool = True
+    pairs: DataFrame,
+    store: Store,
+    session_id: str,
+    checkpoint: str,
+    every: int | None = None,
+    available_now: bool = True,
+    max_samples: int | None = None,
 ) -> StreamingQuery:
-    """Appends samples of one session, without their bodies; whenever a multiple of ``every`` is passed, snapshot k covers k * every samples.
+    """Adds samples of one session, without their bodies; whenever a multiple of ``every`` is passed, snapshot k covers k * every samples.
 
-    A batch that runs again (same batch id) is written to its own part and replaces it. A snapshot
-    that fails is logged and tried again with the next batch; capture goes on.
+    A batch that runs again (same batch id) replaces its samples and its counts in the ledger. With
+    ``max_samples`` the first so many are admitted, by batch, then time and id; further ones are read
+    and left out. A snapshot that fails is logged and tried again with the next batch; capture goes on.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        samples = to_samples(rows.where(F.col("session_id") == session_id)).withColumn("batch", F.lit(batch_id))
-        samples = without_bodies(samples)
-        (
-            samples.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("session_id", "batch")
-            .parquet(f"{store.root}/samples")
-        )
+        mine = rows.where(F.col("session_id") == session_id)
+        skipped = keep_pairs(mine).where("skipped").count()
+        samples = to_samples(mine)
+        if max_samples is not None:
+            left = max(0, max_samples - store.ledger(session_id, batch_id)[0])
+            samples = samples.orderBy("captured_at", "id", "http_method", "path").limit(left)
+        store.add_samples(samples, batch_id, session_id)
+        written = store.samples(session_id) if store.has_samples() else None
+        admitted = 0 if written is None else written.where(F.col("batch") == batch_id).count()
+        store.note_batch(session_id, batch_id, admitted, skipped)
+        LOG.info("batch %s of session %s: %s samples, %s skipped", batch_id, session_id, admitted, skipped)
         if every:
-            done = store.count(session_id) // every
+            done = store.ledger(session_id)[0] // every
             stored = store.schemas()
             last = 0
             if stored is not None:
@@ -57,7 +66,7 @@ def start_capture(
 
 def finish_capture(store: Store, session_id: str) -> DataFrame | None:
     """The last snapshot of a session over all its samples; none for a session without samples."""
-    if store.count(session_id) == 0:
+    if not store.has_samples() or store.count(session_id) == 0:
         return None
     stored = store.schemas()
     last = 0

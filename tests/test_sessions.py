@@ -107,7 +107,8 @@ def test_versions_and_commands(spark, tmp_path):
     assert doc["openapi"] == "3.0.3" and op["operationId"] == "getUsersUserId" and "200" in op["responses"]
     assert doc["security"] == [{"bearerAuth": []}]
     assert "openapi" in cli.run(spark, ["--store", root, "export", "one"])
-    assert "Operations" in cli.run(spark, ["--store", root, "agent-report", "one"])
+    with pytest.raises(StoreError, match="agents"):
+        cli.run(spark, ["--store", root, "agent-report", "one"])
     with pytest.raises(StoreError):
         store.put_session("one", "active")
     with pytest.raises(StoreError):
