@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import FORMATS
@@ -116,18 +116,20 @@ def infer_facts(bodies: DataFrame, body: str = "body", ordinal: str = "id") -> D
 
     Beside those columns (all but ``ordinal``, of plain types): path, type, n, with_format, lo, hi, first
     (the least ordinal, nulls before others, and the node's place in that body) and at most
-    TRACKED_VALUES values. Empty and invalid bodies give no rows. A column named like one of these is
-    refused with a ValueError.
+    TRACKED_VALUES values. Empty and invalid bodies give no rows. Columns named like one of these come
+    together in the struct ``keys``.
     """
     keep = [c for c in bodies.columns if c not in (body, ordinal)]
-    clash = {"path", "type", "n", "with_format", "lo", "hi", "first", "values"} & set(keep)
+    clash = [c for c in keep if c in ("path", "type", "n", "with_format", "lo", "hi", "first", "values")]
     if clash:
-        raise ValueError(f"rename the columns {sorted(clash)}: facts have columns of these names")
+        bodies = bodies.select(*(c for c in bodies.columns if c not in clash), F.struct(*clash).alias("keys"))
+        keep = [*(c for c in keep if c not in clash), "keys"]
 
     def run(batches):
         for batch in batches:
             ids = batch.column(len(keep)).to_pylist()
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(keep))), strict=True)) or [()] * len(ids)
+            lists = [[str(x) if isinstance(x, dict) else x for x in batch.column(i).to_pylist()] for i in range(len(keep))]
+            keys = list(zip(*lists, strict=True)) or [()] * len(ids)
             texts = batch.column(len(keep) + 1).to_pylist()
             groups: dict[tuple, tuple[int, dict]] = {}
             by_ordinal: list[int] = []  # a row of each ordinal, in order
@@ -326,8 +328,10 @@ def enums(facts: DataFrame, totals: DataFrame, group: list[str], least: int = 10
     if most >= TRACKED_VALUES:
         raise ValueError(f"an enumeration has fewer than {TRACKED_VALUES} values")
     values = facts.select(*group, "path", F.explode("values").alias("value")).distinct()
-    small = values.groupBy(*group, "path").agg(F.count("*").alias("k")).where(F.col("k") <= most)
-    kept = values.join(small, [*group, "path"]).groupBy(*group, "path").agg(F.array_sort(F.collect_list("value")).alias("enum"))
+    # one more than may be: each task passes on no more of a path
+    k = F.row_number().over(Window.partitionBy(*group, "path").orderBy("value"))
+    first = values.withColumn("k", k).where(F.col("k") <= most + 1)
+    kept = first.groupBy(*group, "path").agg(F.array_sort(F.collect_list("value")).alias("enum")).where(F.size("enum") <= most)
     return kept.join(totals.where(F.col("total") >= least).select(*group), group, "left_semi")
 
 

@@ -109,6 +109,15 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_URLS = "urls AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*', ''), '^[^:]*://[^/?]*', '') AS url FROM pages)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows that a few tasks would read, dealt to all cores: a table of one row group is one task otherwise.
+
+    Larger inputs have tasks enough and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 8 * cores else df
+
+
 def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of customer, orders, part and lineitem as JSON response bodies of GET /<table>/{id}.
 
@@ -178,7 +187,7 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, df in bodies:
         part = df.select(F.lit(name).alias("resource"), "id", "body")
         out = part if out is None else out.union(part)
-    return out
+    return spread(out)
 
 
 #: Facts about the same bodies in SQL: resource, field, type of the merged field, presence and values.

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions import paths, text
-from quern.operators import aggregate, behaviour, diff, documents, facts
+from quern.operators import aggregate, behaviour, diff, documents, facts, models
 from quern.operators.pipeline import aggregate_session
 from quern.plans import adapters as ad
 from quern.sources.capture import keep_pairs
+from quern.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -126,17 +127,6 @@ def field_types_merged(spark, sf):
     return _merged(spark, sf)[1].where("path != ''").select("resource", _field(), "type", "n")
 
 
-@query(
-    f"WITH {ad.JSON_FIELDS} SELECT resource, field, distinct_values FROM fields JOIN totals USING (resource) "
-    "WHERE type = 'string' AND field <> 'date' AND distinct_values <= 10 AND total >= 10"
-)
-def enum_inference(spark, sf):
-    found, _, totals, _ = _merged(spark, sf)
-    return facts.enums(found, totals, ["resource"]).select(
-        "resource", _field(), F.size("enum").cast("long").alias("distinct_values")
-    )
-
-
 @query(
     f"WITH {ad.JSON_FIELDS}, c AS (SELECT resource, max(total) AS n, count(*) AS fields, count(*) FILTER (WHERE presence = total) AS required, "
     f"count(*) AS stable FROM fields JOIN totals USING (resource) GROUP BY 1) SELECT resource, n, fields, required, round({CONFIDENCE}, 6) AS confidence_score FROM c"
@@ -148,10 +138,47 @@ def confidence_scores(spark, sf):
     return top.select("resource", F.col("total").alias("n"), "fields", "required", F.round(score, 6).alias("confidence_score"))
 
 
-@query()
+_ENUMS = """
+enums AS (SELECT 'customers' AS resource, 'segment' AS field, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS enum FROM customer
+  UNION ALL SELECT 'orders', 'status', string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) FROM orders
+  UNION ALL SELECT 'orders', 'priority', string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) FROM orders
+  UNION ALL SELECT 'parts', 'brand', string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) FROM part
+  UNION ALL SELECT 'parts', 'type', string_agg(DISTINCT p_type, '|' ORDER BY p_type) FROM part
+  UNION ALL SELECT 'lines', 'flag', string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) FROM lineitem
+  UNION ALL SELECT 'lines', 'line', string_agg(DISTINCT l_linestatus, '|' ORDER BY l_linestatus) FROM lineitem)"""
+
+
+@query(
+    f"WITH {ad.JSON_FIELDS}, {_ENUMS} SELECT resource, '.' || field AS path, type, presence = total AS required, presence AS n, "
+    "CASE WHEN type = 'string' AND field <> 'date' AND distinct_values <= 10 AND total >= 10 THEN enum END AS enum FROM fields JOIN totals USING (resource) LEFT JOIN enums USING (resource, field) "
+    "UNION ALL SELECT resource, '', 'object', false, total, NULL FROM totals"
+)
 def merged_schemas(spark, sf):
-    found, _, totals, stats = _merged(spark, sf)
-    return facts.assemble(stats, facts.enums(found, totals, ["resource"]), ["resource"])
+    """The nested schemas, opened again node by node."""
+    rows = ad.json_rows(spark, sf)
+    found = written(facts.infer_facts(rows), "facts")  # statistics and enumerations both read them
+    totals = rows.groupBy("resource").agg(F.count("*").alias("total"))
+    stats = facts.field_stats(facts.merge_facts(found, ["resource"]), totals, ["resource"])
+    schemas = facts.assemble(stats, facts.enums(found, totals, ["resource"]), ["resource"])
+    nodes = models.schema_nodes(schemas, ["resource"])
+    x = F.from_json("node", "enum array<string>, required array<string>, stats struct<presenceCount:bigint>")
+    nodes = nodes.select("resource", "path", "type", x.alias("x"))
+    must = nodes.where("path = ''").select("resource", F.col("x.required").alias("must"))
+    required = F.array_contains("must", F.substr("path", F.lit(2)))
+    return nodes.join(must, "resource").select(
+        "resource", "path", "type", required.alias("required"), F.col("x.stats.presenceCount").alias("n"), F.array_join("x.enum", "|").alias("enum")
+    )
+
+
+@query(
+    f"WITH {ad.JSON_FIELDS}, {_ENUMS} SELECT resource, field, distinct_values, enum FROM fields JOIN totals USING (resource) JOIN enums USING (resource, field) "
+    "WHERE type = 'string' AND field <> 'date' AND distinct_values <= 10 AND total >= 10"
+)
+def enum_inference(spark, sf):
+    found, _, totals, _ = _merged(spark, sf)
+    return facts.enums(found, totals, ["resource"]).select(
+        "resource", _field(), F.size("enum").cast("long").alias("distinct_values"), F.array_join("enum", "|").alias("enum")
+    )
 
 
 @query(
@@ -398,56 +425,69 @@ def intervening_operations(spark, sf):
     return out.select("session_id", "op", "from_index", F.array_join("intervening", "|").alias("between_ops"))
 
 
-_ENDPOINT_FIELDS = """
-nf AS (SELECT o_orderpriority AS p, max(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS f, max(CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END) AS o FROM orders GROUP BY 1)"""
+def _merged_schemas(bodies, group):
+    """(group, schema): the schemas of bodies (group columns, id, body), as they are stored."""
+    rows = bodies.select(*(F.col(c).alias(f"g{i}") for i, c in enumerate(group)), "id", "body")
+    keys = [f"g{i}" for i in range(len(group))]
+    found = facts.infer_facts(rows)
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("total"))
+    stats = facts.field_stats(facts.merge_facts(found, keys), totals, keys)
+    return facts.assemble(stats, facts.enums(found, totals, keys), keys).toDF(*group, "schema")
 
 
-def _endpoint_fields(spark, sf):
-    """Fields of POST /<priority> and GET /<priority>/{id}, from order rows as bodies."""
-    o = ad.table(spark, sf, "orders")
-    slug = F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", ""))
-    get = F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))
-    post = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct("o_orderkey"))).otherwise(
-        F.to_json(F.struct("o_orderkey", F.col("o_totalprice").alias("o_totalprice")))
-    )
-    calls = o.select(
-        F.col("o_orderkey").alias("id"),
-        F.explode(
-            F.array(
-                F.struct(F.lit("POST").alias("http_method"), F.concat(F.lit("/"), slug).alias("url"), post.alias("body")),
-                F.struct(
-                    F.lit("GET").alias("http_method"),
-                    F.concat(F.lit("/"), slug, F.lit("/"), F.col("o_orderkey").cast("string")).alias("url"),
-                    get.alias("body"),
-                ),
-            )
-        ).alias("c"),
-    ).select("id", "c.http_method", paths.normalize_path(F.col("c.url")).alias("normalized_path"), "c.body")
-    top = facts.infer_facts(calls).where(F.col("path").rlike(r"^\.[^.\[]*\z"))
-    names = top.groupBy(*aggregate.ENDPOINT, F.substr("path", F.lit(2)).alias("field")).agg(F.min("first").alias("ord"))
-    return names.groupBy(*aggregate.ENDPOINT).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("ord", "field"))), lambda x: x["field"]).alias("fields"),
-        F.lit(0).alias("ord"),
-    )
+def _endpoint_rows(schemas, status):
+    """Endpoint rows with one response schema each, as a snapshot has them."""
+    return schemas.select(*aggregate.ENDPOINT, F.lit(None).cast("string").alias("request_schema"), F.create_map(status, F.col("schema")).alias("response_schemas"))
+
+
+_SLUG = "lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) || CAST(o_custkey % 10 AS VARCHAR)"
+_STORED = f"""
+o AS (SELECT *, '/' || {_SLUG} AS p FROM orders),
+c AS (SELECT p, count(*) FILTER (WHERE o_orderkey % 499 = 0) > 0 AS w_total, count(*) FILTER (WHERE o_orderkey % 197 = 0) > 0 AS r_status,
+  count(*) FILTER (WHERE o_orderkey % 211 = 0) > 0 AS r_total FROM o GROUP BY p),
+m AS (SELECT p AS normalized_path, 1 + CAST(w_total AS INT) AS write_field_count, 2 + CAST(r_status AS INT) + CAST(r_total AS INT) AS read_field_count,
+  concat_ws(',', CASE WHEN r_status THEN 'status' END, CASE WHEN r_total AND NOT w_total THEN 'total' END, 'priority') AS missing FROM c)"""
 
 
-_COMPLETE = """
-SELECT 'POST' AS http_method, '/' || lower(regexp_replace(o_orderpriority, '[^A-Za-z]', '', 'g')) AS normalized_path,
-  1 + max(o_orderkey % 2) AS w FROM orders GROUP BY o_orderpriority"""
+def _stored_completeness(spark, sf):
+    """POST /<slug> against GET /<slug>/{id}, from the stored schemas of order rows as bodies; some fields are in some bodies only."""
+    o = ad.table(spark, sf, "orders")
+    slug = F.concat(F.lit("/"), F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")), (F.col("o_custkey") % 10).cast("string"))
+    total = lambda one_in: F.when(F.col("o_orderkey") % one_in == 0, F.col("o_totalprice")).alias("total")
+    id = F.col("o_orderkey").alias("id")
+    post = F.struct(F.lit("POST").alias("http_method"), slug.alias("normalized_path"), F.to_json(F.struct(id, total(499))).alias("body"))
+    status = F.when(F.col("o_orderkey") % 197 == 0, F.col("o_orderstatus")).alias("status")
+    read = F.to_json(F.struct(id, status, total(211), F.col("o_orderpriority").alias("priority")))
+    get = F.struct(F.lit("GET").alias("http_method"), F.concat(slug, F.lit("/{id}")).alias("normalized_path"), read.alias("body"))
+    bodies = o.select(id, F.inline(F.array(post, get)))
+    status = F.when(F.col("http_method") == "POST", "201").otherwise("200")
+    rows = _endpoint_rows(_merged_schemas(bodies, aggregate.ENDPOINT), status)
+    return behaviour.write_read_completeness(behaviour.endpoint_fields(rows))
 
 
 @query(
-    f"WITH c AS ({_COMPLETE}) SELECT http_method, normalized_path, CAST(w AS INT) AS write_field_count, 4 AS read_field_count, w / 4 AS completeness, CAST(4 - w AS INT) AS missing FROM c"
+    f"WITH {_STORED} SELECT 'POST' AS http_method, normalized_path, CAST(write_field_count AS INT) AS write_field_count, CAST(read_field_count AS INT) AS read_field_count, "
+    "least(write_field_count / read_field_count, 1.0) AS completeness, missing FROM m"
 )
 def write_read_completeness(spark, sf):
-    out = behaviour.write_read_completeness(_endpoint_fields(spark, sf))
-    return out.withColumn("missing", F.size("missing_fields")).drop("missing_fields")
+    out = _stored_completeness(spark, sf)
+    # a set, as the order of optional fields is that of the bodies; named in the order of the oracle
+    order = F.array(*(F.lit(x) for x in ("status", "total", "priority")))
+    return out.withColumn("missing", F.array_join(F.array_intersect(order, "missing_fields"), ",")).drop("missing_fields")
 
 
-@query(f"WITH c AS ({_COMPLETE}) SELECT normalized_path, w / 4 AS completeness FROM c WHERE w / 4 < 0.75")
+@query(f"WITH {_STORED} SELECT normalized_path, least(write_field_count / read_field_count, 1.0) AS completeness FROM m WHERE write_field_count / read_field_count < 0.5")
 def thin_responses(spark, sf):
-    out = behaviour.thin_responses(behaviour.write_read_completeness(_endpoint_fields(spark, sf)), 0.75)
-    return out.select("normalized_path", "completeness")
+    return behaviour.thin_responses(_stored_completeness(spark, sf)).select("normalized_path", "completeness")
+
+
+@query(
+    f"WITH {_STORED} SELECT count(*) AS endpoints, round(avg(least(write_field_count / read_field_count, 1.0)), 9) AS avg_completeness, "
+    "count(*) FILTER (WHERE write_field_count / read_field_count < 0.5) AS thin FROM m"
+)
+def completeness_summary(spark, sf):
+    out = behaviour.completeness_summary(_stored_completeness(spark, sf))
+    return out.withColumn("avg_completeness", F.round("avg_completeness", 9))
 
 
 @query(
@@ -464,23 +504,39 @@ def tool_completeness(spark, sf):
     )
 
 
-@query(
-    f"WITH {ad.EVENT_SAMPLES}, p AS (SELECT session_id, http_method || ' ' || normalized_path AS a, lead(http_method || ' ' || normalized_path) OVER w AS b, row_number() OVER w AS r "
-    "FROM samples WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)), "
-    "s AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2), "
-    "steps AS (SELECT a AS key, string_agg(b, '|' ORDER BY n DESC, b) AS next_steps FROM s GROUP BY 1) "
-    "SELECT key, next_steps, l.n AS loop_count FROM steps LEFT JOIN (SELECT a AS key, n FROM s WHERE (a = 'POST /orders' AND b = 'GET /orders/{orderId}') OR (a = 'POST /users' AND b = 'GET /users/{userId}')) l USING (key)"
-)
+_EXTENDED = f"""
+WITH {ad.EVENT_SAMPLES}, p AS (SELECT session_id, http_method || ' ' || normalized_path AS a, lead(http_method || ' ' || normalized_path) OVER w AS b
+  FROM samples WINDOW w AS (PARTITION BY session_id ORDER BY ts, id)),
+s AS (SELECT a, b, count(*) AS n FROM p WHERE b IS NOT NULL GROUP BY 1, 2),
+steps AS (SELECT a AS key, string_agg(b, '|' ORDER BY n DESC, b) AS next_steps FROM s GROUP BY 1),
+l AS (SELECT a AS key, n FROM s WHERE (a = 'POST /orders' AND b = 'GET /orders/{{orderId}}') OR (a = 'POST /users' AND b = 'GET /users/{{userId}}')),
+e AS (SELECT http_method AS m, normalized_path AS p, CASE WHEN event_type = 'purchase' AND CAST(k AS INT) % 50 = 0 THEN 3 WHEN event_type = 'purchase' THEN 1
+  WHEN event_type = 'view' AND CAST(k AS INT) % 7 = 0 THEN 4 ELSE 2 END AS f FROM samples WHERE event_type IN ('purchase', 'view')),
+c AS (SELECT 'POST /orders' AS key, max(CASE WHEN m = 'POST' THEN f END) AS w, max(CASE WHEN m = 'GET' THEN f END) AS r FROM e)
+SELECT key, next_steps, l.n AS loop_count, CASE WHEN w IS NOT NULL THEN floor(least(w / r, 1.0) * 100 + 0.5) / 100 END AS completeness
+FROM steps LEFT JOIN l USING (key) LEFT JOIN c USING (key)"""
+
+
+@query(_EXTENDED)
 def agent_extensions(spark, sf):
-    s = behaviour.rest_sequences(ad.event_samples(spark, sf))
+    """Extensions of all events as one session; fields of orders' bodies depend on k."""
+    events = ad.event_samples(spark, sf)
+    s = behaviour.rest_sequences(events)
     key = lambda side: F.concat_ws(" ", f"{side}_method", f"{side}_path")
     total = s.groupBy(key("from").alias("from_key"), key("to").alias("to_key"), "from_method", "from_path", "to_method", "to_path").agg(F.sum("n").alias("n"))
     pattern = text.rest_pattern(F.col("from_method"), F.col("from_path"), F.col("to_method"), F.col("to_path"), F.lit(0.0))
-    rank = F.row_number().over(Window.partitionBy("from_key").orderBy(F.desc("n"), "to_key"))
-    seqs = total.select("from_key", "to_key", "n", pattern.alias("pattern"), rank.alias("ord"))
-    none = spark.createDataFrame([], "key string, completeness double, missing_fields array<string>")
-    out = behaviour.agent_extensions(seqs, none)
-    return out.select("key", F.array_join("next_steps", "|").alias("next_steps"), "loop_count")
+    seqs = total.select("from_key", "to_key", "n", pattern.alias("pattern"), F.struct(-F.col("n"), "to_key").alias("ord"))
+    k = F.get_json_object("response_body", "$.k").cast("int")
+    write = F.when(k % 50 == 0, 3).otherwise(1)
+    read = F.when(k % 7 == 0, 4).otherwise(2)
+    size = F.when(F.col("http_method") == "POST", write).otherwise(read)
+    body = F.to_json(F.map_from_entries(F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.concat(F.lit("f"), i.cast("string")), i))))
+    kept = events.where("(http_method = 'POST' AND normalized_path = '/orders') OR normalized_path = '/orders/{orderId}'")
+    schemas = _merged_schemas(kept.select(*aggregate.ENDPOINT, "id", body.alias("body")), aggregate.ENDPOINT)
+    fields = behaviour.endpoint_fields(_endpoint_rows(schemas, F.lit("200")))
+    scored = behaviour.write_read_completeness(fields).withColumn("key", F.concat_ws(" ", *aggregate.ENDPOINT))
+    out = behaviour.agent_extensions(seqs, scored)
+    return out.select("key", F.array_join("next_steps", "|").alias("next_steps"), "loop_count", "completeness")
 
 
 @query(
@@ -518,26 +574,48 @@ def capture_filter(spark, sf):
     )
 
 
-_SHAPES = ORACLE["response_shapes"]
+_MODELS = """
+WITH b AS (SELECT '/' || lower(replace(p_brand, '#', '')) || '/' || 'k' || CAST(p_partkey % 40 AS VARCHAR) || '/items/{id}' AS path, *, p_size % 10 <> 0 AND p_brand <> 'Brand#11' AS priced FROM part),
+e AS (SELECT path, count(*) FILTER (WHERE priced) > 0 AS has_price, count(*) FILTER (WHERE priced AND p_retailprice <> floor(p_retailprice)) > 0 AS is_number,
+  count(*) FILTER (WHERE p_size > 45) > 0 AS has_size, count(*) FILTER (WHERE p_type = 'ECONOMY') > 0 AS has_inner FROM b GROUP BY path),
+s AS (SELECT path, concat_ws(',', has_price, has_price AND is_number, has_size, has_inner) AS shape, 1 + CAST(has_price AS INT) + CAST(has_size AS INT) + CAST(has_inner AS INT) AS n FROM e)"""
 
 
 @query(
-    f"WITH s AS ({_SHAPES}), k AS (SELECT resource, unnest(generate_series(1, shapes)) AS i FROM s) "
-    "SELECT CASE resource WHEN 'customers' THEN 'Customer' WHEN 'orders' THEN 'Order' WHEN 'parts' THEN 'Part' ELSE 'Line' END || "
-    "CASE WHEN i = 1 THEN '' ELSE CAST(i AS VARCHAR) END AS name, CAST(2 AS BIGINT) AS endpoints FROM k"
+    f"{_MODELS}, g AS (SELECT shape, count(*) AS endpoints, min(path) AS first FROM s WHERE n >= 2 GROUP BY shape HAVING count(*) >= 2), "
+    "k AS (SELECT *, row_number() OVER (ORDER BY first) AS i FROM g) SELECT 'Item' || CASE WHEN i = 1 THEN '' ELSE CAST(i AS VARCHAR) END AS name, endpoints, first FROM k"
 )
 def domain_models(spark, sf):
-    shapes = ad.json_rows(spark, sf).groupBy("resource", facts.fingerprint_of(F.col("body")).alias("fingerprint"))
-    shapes = shapes.agg(F.min("id").alias("ord"))
-    item = F.concat(F.lit("/"), "resource", F.lit("/{id}"))
-    uses = F.array(
-        F.struct(F.lit("GET").alias("http_method"), item.alias("normalized_path")),
-        F.struct(F.lit("POST").alias("http_method"), F.concat(F.lit("/"), "resource").alias("normalized_path")),
-    )
-    bodies = shapes.select(
-        "fingerprint", "ord", F.inline(uses), F.lit(True).alias("is_object"), F.lit(2).alias("n_properties"), F.lit(False).alias("is_item")
+    """Models that the items of a thousand endpoints share: which fields their bodies hold depends on the parts."""
+    nodes = models.keyed_nodes(_part_endpoints(spark, sf))
+    return models.shared_models(nodes).select("name", "endpoints", F.col("normalized_path").alias("first"))
+
+
+@query(
+    f"{_MODELS}, g AS (SELECT shape FROM s WHERE n >= 2 GROUP BY shape HAVING count(*) >= 2), i AS (SELECT count(*) AS inner_uses FROM e WHERE has_inner) "
+    "SELECT path, n >= 2 AND shape IN (FROM g) AS whole, has_inner AND inner_uses >= 2 AS inside FROM s JOIN e USING (path), i"
+)
+def model_references(spark, sf):
+    """Which endpoints refer to a model with their whole response, and which hold one inside."""
+    nodes = models.keyed_nodes(_part_endpoints(spark, sf))
+    found = models.references(nodes, models.shared_models(nodes, nested=True), nested=True)
+    used = found.groupBy(F.col("normalized_path").alias("path")).agg(F.count_if(F.col("path") == "").alias("w"), F.count_if(F.col("path") == ".spec").alias("i"))
+    every = nodes.select(F.col("normalized_path").alias("path")).distinct()
+    has = lambda c: F.coalesce(F.col(c) > 0, F.lit(False))
+    return every.join(used, "path", "left").select("path", has("w").alias("whole"), has("i").alias("inside"))
+
+
+def _part_endpoints(spark, sf):
+    p = ad.table(spark, sf, "part")
+    path = F.concat(F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/k"), (F.col("p_partkey") % 40).cast("string"), F.lit("/items/{id}"))
+    body = F.struct(
+        F.col("p_partkey").alias("id"),
+        F.when((F.col("p_size") % 10 != 0) & (F.col("p_brand") != "Brand#11"), F.col("p_retailprice")).alias("price"),
+        F.when(F.col("p_size") > 45, F.col("p_size")).alias("size"),
+        F.when(F.col("p_type") == "ECONOMY", F.struct(F.col("p_type").alias("type"), F.col("p_size").alias("n"))).alias("spec"),
     )
-    return documents.domain_models(bodies).select("name", "endpoints")
+    rows = p.select(F.lit("GET").alias("http_method"), path.alias("normalized_path"), F.col("p_partkey").alias("id"), F.to_json(body).alias("body"))
+    return _endpoint_rows(_merged_schemas(rows, aggregate.ENDPOINT), F.lit("200"))
 
 
 @query(
@@ -552,13 +630,12 @@ def openapi_document(spark, sf):
     s = ad.event_samples(spark, sf).withColumns(
         {"session_id": F.lit("all"), "request_body": none.cast("string"), "request_headers": headers, "response_headers": headers}
     )
-    rows = documents.operations(aggregate_session(s).withColumn("status_code", F.lit(200)))
-    named = F.size(F.regexp_extract_all("normalized_path", F.lit(r"\{([^}]+)\}")))
-    return rows.select(
-        "http_method",
-        "normalized_path",
-        "operation_id",
-        (named + F.coalesce(F.size("query_params"), F.lit(0))).alias("n_params"),
-        F.size("response_schemas").alias("n_responses"),
-        "sample_count",
+    doc = documents.document(aggregate_session(s), metadata=True)
+    rows = [
+        (method.upper(), path, op["operationId"], len(op.get("parameters", [])), len(op["responses"]), op["x-quern-sample-count"])
+        for path, item in doc["paths"].items()
+        for method, op in item.items()
+    ]
+    return spark.createDataFrame(
+        rows, "http_method string, normalized_path string, operation_id string, n_params int, n_responses int, sample_count long"
     )

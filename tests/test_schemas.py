@@ -83,8 +83,8 @@ def test_facts_add_up_whatever_the_order(spark):
     assert merged["g", ".b", "number"].n == 2 and merged["g", ".b", "number"].first == (1, 1)
     assert {k[0] for k in merged} == {"g", None}
     assert facts.infer_facts(df.limit(0)).count() == 0
-    with pytest.raises(ValueError, match="path"):
-        facts.infer_facts(df.withColumn("path", F.lit("x")))
+    nested = facts.infer_facts(df.select("id", "body", F.col("g").alias("path"), F.col("id").alias("n"))).collect()
+    assert {(r.keys.path, r.keys.n) for r in nested} == {("g", 3), ("g", None), ("g", 1), (None, 2)} and {r.path for r in nested} == {"", ".a", ".b"}
 
 
 def test_stored_facts_equal_those_of_bodies(spark):
