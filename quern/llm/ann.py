@@ -1,9 +1,12 @@
 """Approximate nearest neighbours by inner product: one navigable small-world graph per shard.
 
 Equal vectors form one class (its smallest ids are kept), so copies neither crowd a graph nor a task.
-Classes are dealt to shards by hash; a shard is a hierarchical graph stored as flat neighbour arrays,
-one per layer. Inner product becomes nearness by one more dimension that gives all vectors the same
-norm. Queries go to every shard in blocks, and shard results are merged by exact scores.
+Classes are dealt to shards by the power of two nearest to their norm, then by hash; a shard is a
+hierarchical graph stored as flat neighbour arrays, one per layer. Inner product becomes nearness by one
+more dimension that gives all vectors the same norm; norms of a shard differ by a factor of two at most,
+and a shard is scaled by its largest, so that no long vector drowns the differences of the others. Each
+shard measures its recall against brute force on some of its own vectors and widens its beam until that
+is TARGET or more. Queries go to every shard in blocks, and shard results are merged by exact scores.
 """
 
 from __future__ import annotations
@@ -20,13 +23,22 @@ from quern.llm.common import materialize, small_batches
 #: Links per node (twice as many in the lowest layer), candidates at building, beam width at search.
 LINKS, CANDIDATES, BEAM = 16, 64, 96
 SHARD_ROWS, BLOCK_ROWS = 4096, 512
+#: Recall that each shard reaches on its sample.
+TARGET = 0.97
+
+
+def norms(x: np.ndarray) -> np.ndarray:
+    """Euclidean norms, also where the squares would leave the range of 64-bit floats."""
+    top = np.maximum(np.abs(x).max(axis=1), np.finfo(np.float64).tiny)
+    return top * np.sqrt(((x / top[:, None]) ** 2).sum(axis=1))
 
 
 def augment(x: np.ndarray) -> np.ndarray:
-    """Vectors of equal norm: one component more."""
-    squares = (x.astype(np.float64) ** 2).sum(axis=1)
-    extra = np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))
-    return np.concatenate([x, extra[:, None]], axis=1).astype(np.float32)
+    """Vectors of equal norm, by one component more, scaled so that the longest has norm 1."""
+    far = np.max(norms(x), initial=np.finfo(np.float64).tiny)
+    y = x / far
+    extra = np.sqrt(np.maximum(1 - (y**2).sum(axis=1), 0))
+    return np.concatenate([y, extra[:, None]], axis=1).astype(np.float32)
 
 
 def _nearest(a: np.ndarray, lo: int, hi: int, k: int) -> np.ndarray:
@@ -129,9 +141,23 @@ class Graph:
             layers.append((nodes, np.frombuffer(near, dtype="<i4").reshape(len(nodes), -1)))
         return cls(vectors, layers)
 
+    def beam_for(self, vectors: np.ndarray, k: int, sample: int = 64) -> int:
+        """The narrowest of some doubling beams with a recall of TARGET for the k nearest of ``sample`` own vectors."""
+        some = np.linspace(0, len(vectors) - 1, min(sample, len(vectors))).astype(int)
+        k, beam = min(k, len(vectors)), min(BEAM, len(vectors))
+        exact = (vectors[some] / norms(vectors[some])[:, None]) @ (vectors / norms(vectors).max()).T
+        truth = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+        while beam < len(vectors):
+            found = self.search(vectors[some], beam)
+            if np.mean([np.isin(t, f).mean() for t, f in zip(truth, found, strict=True)]) >= TARGET:
+                break
+            beam = min(2 * beam, len(vectors))
+        return beam
+
     def search(self, queries: np.ndarray, beam: int = BEAM, width: int = 4) -> np.ndarray:
         """The best nodes found [queries, up to beam] (-1: none), all queries stepping together."""
-        q = np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+        unit = queries / norms(queries)[:, None]  # a query's length changes nothing in the order
+        q = np.concatenate([unit, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
         m, n = len(q), len(self.a)
         rows = np.arange(m)
         at = np.full(m, self.layers[-1][0][0], dtype=np.int64)
@@ -201,7 +227,7 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
-    """vec_id, d1, d2 (digest), dim and vector (64-bit floats) of rows that can take part.
+    """vec_id, d1, d2 (digest), dim, bucket (of the norm) and vector (64-bit floats) of rows that can take part.
 
     Null vectors, zero vectors, vectors with null or non-finite components and null ids take none.
     """
@@ -217,39 +243,42 @@ def valid_vectors(table: DataFrame) -> DataFrame:
                 if len(x) and np.isfinite(x).all() and x.any():
                     d = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
                     a, b = np.frombuffer(d, dtype="<i8")
-                    rows.append((i, int(a), int(b), len(x), x.tobytes()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
+                    bucket = int(np.rint(np.log2(norms(x[None])[0])))
+                    rows.append((i, int(a), int(b), len(x), bucket, x.tobytes()))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+            cols = zip(*rows, strict=True) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["vec_id", "d1", "d2", "dim", "vector"]
+                [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["vec_id", "d1", "d2", "dim", "bucket", "vector"]
             )
 
     keyed = table.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
-    return keyed.mapInArrow(run, "vec_id long, d1 long, d2 long, dim int, vector binary")
+    return keyed.mapInArrow(run, "vec_id long, d1 long, d2 long, dim int, bucket int, vector binary")
 
 
 def vector_classes(rows: DataFrame, keep: int) -> DataFrame:
-    """d1, d2, dim, vector and ids: the ``keep`` smallest ids of each distinct vector, ascending."""
+    """d1, d2, dim, bucket, vector and ids: the ``keep`` smallest ids of each distinct vector, ascending."""
     # cut within 64 parts of a class before its rows meet
     part = rows.select("d1", "d2", "vec_id", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part")).distinct()
     for keys in (["d1", "d2", "part"], ["d1", "d2"]):
         w = Window.partitionBy(*keys).orderBy("vec_id")
         part = part.withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep).drop("k")
     ids = part.groupBy("d1", "d2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    vectors = rows.groupBy("d1", "d2").agg(F.first("dim").alias("dim"), F.first("vector").alias("vector"))
+    vectors = rows.groupBy("d1", "d2").agg(*(F.first(c).alias(c) for c in ("dim", "bucket", "vector")))
     return vectors.join(ids, ["d1", "d2"])
 
 
-def build_index(classes: DataFrame, shards: int) -> DataFrame:
-    """One row per (dim, shard): members' ids, vectors, and the graph's layers as flat arrays."""
+def build_index(classes: DataFrame, shards: int, k: int) -> DataFrame:
+    """One row per (dim, shard, norm bucket): members' ids, vectors, the graph's layers as flat arrays, and its beam."""
 
     def build(key, table):
         dim = key[0].as_py()
-        graph = Graph.build(_matrix(table.column("vector"), dim))
+        vectors = _matrix(table.column("vector"), dim)
+        graph = Graph.build(vectors)
         return pa.table(
             {
                 "dim": pa.array([dim], pa.int32()),
                 "shard": pa.array([key[1].as_py()], pa.int32()),
+                "beam": pa.array([graph.beam_for(vectors, k)], pa.int32()),
                 "ids": pa.array([table.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
                 "vectors": pa.array([b"".join(table.column("vector").to_pylist())], pa.binary()),
                 "layers": pa.array(
@@ -261,10 +290,10 @@ def build_index(classes: DataFrame, shards: int) -> DataFrame:
 
     return (
         classes.withColumn("shard", F.pmod("d1", F.lit(shards)).cast("int"))
-        .groupBy("dim", "shard")
+        .groupBy("dim", "shard", "bucket")
         .applyInArrow(
             build,
-            "dim int, shard int, ids array<array<bigint>>, vectors binary, layers array<struct<nodes:binary,near:binary>>",
+            "dim int, shard int, beam int, ids array<array<bigint>>, vectors binary, layers array<struct<nodes:binary,near:binary>>",
         )
     )
 
@@ -279,7 +308,7 @@ def search(table: DataFrame, query_modulus: int = 20, k: int = 20, shard_rows: i
     rows = materialize(valid_vectors(table), "vectors")
     classes = materialize(vector_classes(rows, k + 1), "vector-classes")
     shards = max(1, -(-classes.count() // shard_rows))
-    index = materialize(build_index(classes, shards), "graphs")
+    index = materialize(build_index(classes, shards, k + 1), "graphs")
     queries = materialize(
         rows.where(F.col("vec_id") % query_modulus == 0).select(F.col("vec_id").alias("query_id"), "d1", "d2").distinct(),
         "queries",
@@ -316,7 +345,7 @@ def search(table: DataFrame, query_modulus: int = 20, k: int = 20, shard_rows: i
                 q = np.frombuffer(col["queries"][r].as_py(), dtype="<f8").reshape(-1, dim)
                 members = col["ids"][r].as_py()
                 graph = Graph.from_flat(vectors, [(x["nodes"], x["near"]) for x in col["layers"][r].as_py()])
-                found = graph.search(q, min(BEAM, len(vectors)))
+                found = graph.search(q, col["beam"][r].as_py())
                 out_ids, out_scores = [], []
                 for i, nodes in enumerate(found):
                     nodes = nodes[nodes >= 0]

@@ -195,3 +195,41 @@ def test_perfect_hash():
     assert sorted(found.index(keys)) == list(range(len(keys)))
     assert len(found.bits) * 8 < 6 * len(keys)
     assert len(align.PerfectHash.build(keys[:0]).index(keys)) == len(keys)
+
+
+# --- op7: norms, dimensions, shards --------------------------------------------------------------
+
+
+def recall(spark, vectors, shard_rows):
+    from quern.llm import ann
+
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(frame.repartition(4), shard_rows=shard_rows).collect():
+        got[r.query_id].add(r.vec_id)
+        assert r.score == pytest.approx(float((vectors[r.query_id] * vectors[r.vec_id]).sum()), rel=1e-9)
+    hits = []
+    for q in range(0, len(vectors), 20):
+        scores = vectors @ vectors[q]
+        scores[q] = -np.inf
+        want = set(np.argsort(-scores, kind="stable")[:20].tolist())
+        hits.append(len(want & got[q]) / len(want))
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("factor", [1.0, 1e6, 1e39, 1e-30])
+def test_recall_with_one_vector_of_another_length(spark, factor):
+    vectors = np.random.default_rng(5).normal(size=(2000, 64))
+    vectors[7] *= factor
+    assert recall(spark, vectors, 4096) >= 0.9
+
+
+def test_recall_in_many_dimensions_and_shards(spark):
+    vectors = np.random.default_rng(6).normal(size=(9000, 256)).astype(np.float32).astype(np.float64)
+    assert recall(spark, vectors, 3000) >= 0.9
+
+
+def test_recall_with_norms_of_many_sizes(spark):
+    rng = np.random.default_rng(7)
+    vectors = rng.normal(size=(4000, 32)) * np.exp(rng.normal(size=(4000, 1)) * 3)
+    assert recall(spark, vectors, 1000) >= 0.9
