@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def only_kept(spark: SparkSession):
+    """Deletes, at the end, all scratch tables and files made within but those of the frames that are appended to its list."""
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    _scopes.append(made)
+    try:
+        yield kept
+    finally:
+        _scopes.remove(made)
+        stay = {t.scratch_path for t in kept}
+        for path in made:
+            if path not in stay:
+                _delete(spark, path)
 
 
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
@@ -53,9 +76,13 @@ def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again."""
     for t in tables:
-        context = t.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(t.sparkSession, t.scratch_path)
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_chunks, materialize, mix64, segment_ids, small_batches, word_hashes
+from quern.llm.common import doc_chunks, materialize, mix64, only_kept, segment_ids, small_batches, word_hashes
 
 #: Bands and bins per band: two sets of similarity 0.75 miss all 60 buckets with probability 8e-6.
 BANDS, ROWS = 60, 6
@@ -304,9 +304,18 @@ def near_duplicates(
 
     component_id is the least doc_id that links reach; a document without words is linked with
     nothing. Rows that share a doc_id are one document and so in one component, also where their
-    texts differ. A row without doc_id takes no part: its component_id is null and it is kept. Extra
-    columns are ignored; an empty table gives no rows.
+    texts differ; but a row without words stays by itself (component_id is its doc_id), also where other
+    rows of its doc_id have words. A row without doc_id takes no part: its component_id is null and it is
+    kept. Extra columns are ignored; an empty table gives no rows. The result is a written table; all
+    other scratch tables are gone when it is returned.
     """
+    with only_kept(docs.sparkSession) as kept:
+        kept.append(materialize(_documents(docs, percent, bands, rows, words), "near-duplicates"))
+    return kept[0]
+
+
+def _documents(docs: DataFrame, percent: int, bands: int, rows: int, words: int) -> DataFrame:
+    """near_duplicates, over scratch tables."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     each = texts.where("doc_id is not null").groupBy("doc_id")
     several = each.agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("lo < hi")

@@ -278,6 +278,8 @@ def write_shards(
                 sink = system.open_output_stream(f"{path}/{shard:06d}-{name}.qwm")
                 writer = ShardWriter(sink, levels)
             flat, bounds = enc.encode(texts)
+            if max(int(flat.max(initial=0)), end_id) >> levels:
+                raise ValueError(f"ids of {levels} bits do not hold all of this vocabulary")
             for i, lo, hi in zip(ids, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 writer.add(i, np.concatenate([flat[lo:hi], end]))
         if writer is not None:

@@ -233,3 +233,41 @@ def test_recall_with_norms_of_many_sizes(spark):
     rng = np.random.default_rng(7)
     vectors = rng.normal(size=(4000, 32)) * np.exp(rng.normal(size=(4000, 1)) * 3)
     assert recall(spark, vectors, 1000) >= 0.9
+
+
+def test_too_few_levels_are_refused(spark):
+    from quern.llm import wavelet
+
+    docs = spark.createDataFrame([(1, "the zebra 日本")], "doc_id long, text string")
+    with pytest.raises(Exception, match="do not hold"):
+        wavelet.write_shards(docs, tokenizer_file("word_bpe_49k.json"), 1, levels=8).count()
+
+
+def test_near_duplicates_leave_one_table(spark, sf):
+    import os
+
+    from quern.llm import neardup
+    from quern.llm.common import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    found = neardup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert found.count() == 200 and len(set(os.listdir(folder)) - before) == 1
+
+
+def test_no_text_of_a_repeated_doc_id_is_lost(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(200)]
+    a, b = " ".join(words[:100]), " ".join(words[100:])
+    rows = [(7, None, "x"), (7, a, "x"), (8, b, "x"), (9, a, "y"), (10, a, "p"), (10, b, "q"), (10, b + " more", "r"), (10, b, "q"), (11, "", "e"), (11, None, "e"),
+            (12, "few words", "z"), (12, "other words", "z"), (None, a, "n"), (None, a, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, rid string")
+    got = sorted([(r.doc_id, r.text or "", r.rid) for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()], key=str)
+    kept = {(d, t) for d, t, _ in got}
+    assert (7, a) in kept and (7, "") not in kept and (12, "few words") in kept and (12, "other words") in kept
+    assert not any(d in (8, 9, 10) for d, _ in kept)  # 10 ties both texts to 7
+    assert sum(d == 11 for d, _, _ in got) == 1 and sum(d is None for d, _, _ in got) == 2
+    alone = docs.where("doc_id = 10")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.dedup_stage(spark, alone, "").collect()]
+    assert len(got) == 2 and (10, a) in got  # two unlike texts of one document stay, near ones once
