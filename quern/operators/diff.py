@@ -103,3 +103,79 @@ def diff_fields(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     rows = j.select(*keys, "path", F.explode(F.array_compact(F.array(presence, typed))).alias("kind"))
     hard = ["required_field_removed", "required_field_added", "field_became_required", "incompatible_type_change"]
     return rows.withColumn("breaking", F.col("kind").isin(hard))
+
+
+_TOKEN = r"(\.(?:[^.\[\\]|\\.)*|\[\])"
+
+
+def _side(nodes: DataFrame, keys: list[str], s: str) -> DataFrame:
+    """One row per (keys, path): the plain type (null for a union), the union's types, and whether it is required."""
+    kinds = nodes.groupBy(*keys, "path").agg(F.collect_set("type").alias("types"), F.max("is_union").alias("u"))  # seven types at most
+    name = F.regexp_replace("name", r"([.\[\\])", r"\\$1")
+    must = nodes.where("type = 'object' and not is_union")
+    must = must.select(*keys, "path", F.explode(F.from_json("node", "required array<string>")["required"]).alias("name"))
+    must = must.select(*keys, F.concat("path", F.lit("."), name).alias("path"), F.lit(True).alias("r"))
+    return kinds.join(must, [*keys, "path"], "left").select(
+        *keys,
+        "path",
+        F.when(~F.col("u"), F.get("types", F.lit(0))).alias(f"type_{s}"),
+        F.when(F.col("u"), F.col("types")).alias(f"union_{s}"),
+        F.coalesce("r", F.lit(False)).alias(f"must_{s}"),
+        F.lit(True).alias(f"in_{s}"),
+    )
+
+
+def nested_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Changes between nested schemas as rows: keys, path, kind, breaking and detail, as ``schema_changes`` finds them.
+
+    ``old`` and ``new`` are nodes of schemas (``models.schema_nodes``). Both are joined on the path. A path
+    is open where both sides have the same plain object or array; what is found at a path counts if all
+    paths above it are open, so nothing below an incompatible change, a union or a one-sided field is
+    reported. Schemas that one side lacks have no changes.
+    """
+    both = _side(old, keys, "a").join(_side(new, keys, "b"), [*keys, "path"], "full_outer")
+    tokens = F.regexp_extract_all("path", F.lit(_TOKEN))
+    a, b = F.col("type_a"), F.col("type_b")
+    here = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
+    both = both.withColumns({"depth": F.size(tokens), "open": F.coalesce(here & (a == b) & a.isin("object", "array"), F.lit(False))})
+    above = both.select(*keys, "path", tokens.alias("t"), "depth").where("depth > 0")
+    above = above.select(*keys, "path", "depth", F.explode(F.sequence(F.lit(0), F.col("depth") - 1)).alias("k"), "t")
+    above = above.select(*keys, "path", "depth", F.array_join(F.slice("t", 1, F.col("k")), "").alias("over"))
+    open_ = both.where("open").select(*keys, F.col("path").alias("over"))
+    reached = above.join(open_, [*keys, "over"]).groupBy(*keys, "path").agg(F.count("*").alias("n"), F.max("depth").alias("depth"))
+    reached = reached.where("n = depth").select(*keys, "path", F.lit(True).alias("reached"))
+    rows = both.join(reached, [*keys, "path"], "left").where("depth = 0 or reached")
+
+    was, now = F.col("union_a").isNotNull(), F.col("union_b").isNotNull()
+    gone, came = F.col("in_b").isNull(), F.col("in_a").isNull()
+    is_property = F.col("path").rlike(r"\.(?:[^.\[\\]|\\.)*\z")
+    fits = F.array_contains("union_b", a) | ((a == "integer") & F.array_contains("union_b", "number"))
+    widened = (a == "integer") & (b == "number")
+
+    def change(breaking: bool, kind: str, detail: Column) -> Column:
+        return F.struct(F.lit(breaking).alias("breaking"), F.lit(kind).alias("kind"), detail.alias("detail"))
+
+    to = F.concat(a, F.lit(" to "), b)
+    typed = (
+        F.when(~here | (was & now), F.lit(None))
+        .when(was, change(True, "incompatible_type_change", F.concat(F.lit("union narrowed to "), b)))
+        .when(now & fits, change(False, "type_expanded", F.concat(a, F.lit(" expanded to a union"))))
+        .when(now, change(True, "incompatible_type_change", F.concat(a, F.lit(" is not in the new union"))))
+        .when(a == b, F.lit(None))
+        .when(widened, change(False, "type_widened", to))
+        .when(a.isin("object", "array") & b.isin("object", "array"), change(True, "schema_type_changed", to))
+        .otherwise(change(True, "incompatible_type_change", to))
+    )
+    field = F.regexp_replace(F.regexp_extract("path", r"\.((?:[^.\[\\]|\\.)*)\z", 1), r"\\(.)", "$1")
+    must, must_now = F.col("must_a"), F.col("must_b")
+    presence = (
+        F.when(~is_property, F.lit(None))
+        .when(gone & must, change(True, "required_field_removed", field))
+        .when(gone, change(False, "optional_field_removed", field))
+        .when(came & must_now, change(True, "required_field_added", field))
+        .when(came, change(False, "optional_field_added", field))
+        .when(must_now & ~must, change(True, "field_became_required", field))
+        .when(must & ~must_now, change(False, "field_became_optional", field))
+    )
+    where = F.concat(F.lit("$"), F.regexp_replace("path", r"\\(.)", "$1"))
+    return rows.select(*keys, where.alias("path"), F.explode(F.array_compact(F.array(presence, typed))).alias("x")).select(*keys, "path", "x.*")

@@ -574,6 +574,36 @@ def capture_filter(spark, sf):
     )
 
 
+_SPEC = """
+WITH p AS (SELECT p_brand AS brand, p_partkey % 2 AS side, p_size, p_partkey, CAST(p_size % 10 AS INT) AS d, p_partkey % 100 = 0 AS odd FROM part),
+g AS (SELECT brand, side, count(*) AS n, count(*) FILTER (WHERE NOT odd) AS plain, count(*) FILTER (WHERE p_partkey % 30 = 0 AND NOT odd) AS t,
+  count(*) FILTER (WHERE d > 0 AND NOT odd) AS w FROM p GROUP BY 1, 2),
+x AS (SELECT a.brand, a.n > a.plain AS ua, b.n > b.plain AS ub, a.plain AS ap, b.plain AS bp, a.t AS ta, b.t AS tb, a.w AS aw, b.w AS bw FROM g a JOIN g b ON a.brand = b.brand AND a.side = 0 AND b.side = 1),
+y AS (SELECT * FROM x WHERE NOT ua AND NOT ub)"""
+
+
+@query(f"""{_SPEC}
+SELECT brand, '$.spec' AS path, 'incompatible_type_change' AS kind, true AS breaking FROM x WHERE ua AND NOT ub
+UNION ALL SELECT brand, '$.spec', 'type_expanded', false FROM x WHERE ub AND NOT ua
+UNION ALL SELECT brand, '$.spec.tag', CASE WHEN tb = 0 THEN CASE WHEN ta = ap THEN 'required_field_removed' ELSE 'optional_field_removed' END
+  ELSE CASE WHEN tb = bp THEN 'required_field_added' ELSE 'optional_field_added' END END, CASE WHEN tb = 0 THEN ta = ap ELSE tb = bp END FROM y WHERE (ta > 0) <> (tb > 0)
+UNION ALL SELECT brand, '$.spec.deep.w', CASE WHEN bw = bp THEN 'field_became_required' ELSE 'field_became_optional' END, bw = bp FROM y
+  WHERE aw > 0 AND bw > 0 AND (aw = ap) <> (bw = bp)
+UNION ALL SELECT brand, '$.spec.deep.w', CASE WHEN bw = 0 THEN CASE WHEN aw = ap THEN 'required_field_removed' ELSE 'optional_field_removed' END
+  ELSE CASE WHEN bw = bp THEN 'required_field_added' ELSE 'optional_field_added' END END, CASE WHEN bw = 0 THEN aw = ap ELSE bw = bp END FROM y WHERE (aw > 0) <> (bw > 0)""")
+def schema_diff_nested(spark, sf):
+    """Changes of nested schemas between the parts of even and odd keys, per brand; a rare text makes spec a union."""
+    p = ad.table(spark, sf, "part")
+    key, d = F.col("p_partkey"), F.col("p_size") % 10
+    deep = F.struct(F.when(d > 0, d).alias("w"), F.lit(1).alias("z"))
+    spec = F.to_json(F.struct(F.when(key % 30 == 0, F.lit("t")).alias("tag"), deep.alias("deep")))
+    body = F.concat(F.lit('{"id":'), key.cast("string"), F.lit(',"spec":'), F.when(key % 100 == 0, F.lit('"none"')).otherwise(spec), F.lit("}"))
+    rows = p.select(F.col("p_brand").alias("brand"), (key % 2).alias("side"), key.alias("id"), body.alias("body"))
+    nodes = written(models.schema_nodes(_merged_schemas(rows, ["brand", "side"]), ["brand", "side"]), "nodes")
+    sides = (nodes.where(F.col("side") == s).drop("side") for s in (0, 1))
+    return diff.nested_changes(*sides, ["brand"]).select("brand", "path", "kind", "breaking")
+
+
 _MODELS = """
 WITH b AS (SELECT '/' || lower(replace(p_brand, '#', '')) || '/' || 'k' || CAST(p_partkey % 40 AS VARCHAR) || '/items/{id}' AS path, *, p_size % 10 <> 0 AND p_brand <> 'Brand#11' AS priced FROM part),
 e AS (SELECT path, count(*) FILTER (WHERE priced) > 0 AS has_price, count(*) FILTER (WHERE priced AND p_retailprice <> floor(p_retailprice)) > 0 AS is_number,

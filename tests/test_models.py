@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.operators import documents, facts, models
+from quern.operators import diff, documents, facts, models
 from quern.operators.pipeline import aggregate_session
 from quern.sources.scratch import written
 
@@ -129,3 +129,28 @@ def test_raw_export_fields(spark, fmt):
     fixed = {"id", "sessionId", "httpMethod", "path", "version", "sampleCount", "confidenceScore", "responseSchemas", "firstObserved", "lastObserved"}
     assert fixed <= one.keys() <= fixed | {"requestSchema", "requestHeaders", "responseHeaders", "breakingChanges"}
     assert isinstance(one["responseSchemas"]["200"], dict)
+
+
+def inferred(body, optional):
+    """A schema like those inferred, with some fields optional."""
+    if isinstance(body, dict):
+        return {"type": "object", "properties": {k: inferred(v, optional) for k, v in body.items()}, "required": sorted(k for k in body if k not in optional)}
+    if isinstance(body, list):
+        kinds = {facts.kind_of(x): x for x in body}
+        if len(kinds) > 1:
+            some = [inferred(x, optional) for x in kinds.values()]
+            return {"type": "array", "items": {"type": some[0]["type"], "oneOf": some}}
+        return {"type": "array"} | ({"items": inferred(body[0], optional)} if body else {})
+    return {"type": facts.kind_of(body)}
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(BODY, BODY, st.sets(st.sampled_from(["a", "b.c"])), st.sets(st.sampled_from(["a", "d[]"]))), min_size=12, max_size=25))
+def test_nested_changes_equal_the_recursion(spark, pairs):
+    # bodies that differ in one place, beside wholly different ones
+    pairs = pairs + [({"a": x, "b.c": {"a": [x, 1]}}, {"a": y, "b.c": {"a": [y, 1], "d[]": x}}, s, t) for x, y, s, t in pairs]
+    both = [(inferred(x, s), inferred(y, t)) for x, y, s, t in pairs]
+    sides = [models.schema_nodes(spark.createDataFrame([(i, json.dumps(p[k])) for i, p in enumerate(both)], "i int, schema string"), ["i"]) for k in (0, 1)]
+    got = sorted((r.i, r.path, r.kind, r.breaking, r.detail) for r in diff.nested_changes(*sides, ["i"]).collect())
+    want = sorted((i, c["path"], c["kind"], c["breaking"], c["detail"]) for i, p in enumerate(both) for c in diff.schema_changes(*p))
+    assert got == want
