@@ -54,7 +54,7 @@ def only_kept(spark: SparkSession):
     try:
         yield kept
     finally:
-        _scopes.remove(made)
+        _scopes[:] = [x for x in _scopes if x is not made]  # by identity: nested scopes may hold equal lists
         stay = {t.scratch_path for t in kept}
         for path in made:
             if path not in stay:

@@ -5,10 +5,9 @@ of them. Counts of words and word pairs are added up in segments of the hash spa
 each block has summed before. A segment becomes a Bloom filter that holds, for an n-gram of quantised
 count q, the items (n-gram, 1) to (n-gram, q); probing 1, 2, ... until one is missing gives q back.
 
-While all segments together stay under ``broadcast_bytes`` every worker gets them whole, through the
-shared folder rather than the driver, and probes its blocks where they stand. Beyond that, blocks send
-their distinct n-grams to the segments and get the quantised counts back. Both ways probe the same
-bits, so scores do not depend on the way.
+Every filter then goes to the one task that probes its segment, and every block sends its distinct
+n-grams there and gets the quantised counts back. So there is one way for all sizes, and no worker
+holds more than one segment's filter, however large the corpus.
 """
 
 from __future__ import annotations
@@ -23,12 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import (
-    discard,
     doc_chunks,
-    filesystem,
     from_planes,
     materialize,
     mix64,
+    only_kept,
     planes,
     small_batches,
     word_hashes,
@@ -162,9 +160,9 @@ class Block:
             np.concatenate([counts[counts > 0], n, [starts] * bool(starts)]).astype(np.int64),
         )
 
-    def ngrams(self) -> np.ndarray:
-        """The distinct words, the distinct pairs and the start, of all documents."""
-        return np.concatenate([self.words, np.unique(self.pairs()), [START]])
+    def contexts(self) -> np.ndarray:
+        """The distinct pairs and the start, of all documents."""
+        return np.append(np.unique(self.pairs()), START)
 
 
 _BLOCK = "block long, doc_ids array<bigint>, n_words binary, codes binary, words binary"
@@ -216,27 +214,35 @@ def _cuts(seg: np.ndarray, segments: int) -> list[np.ndarray]:
     return [order[a:c] for a, c in zip(at[:-1], at[1:], strict=True)]
 
 
-def _rows(x: np.ndarray, counts: np.ndarray | None, segments: int, block: int, key=pack) -> pa.RecordBatch:
-    """(segment, block, n-grams, counts) of the segments that have members."""
+def _rows(x: np.ndarray, counts: np.ndarray, segments: int) -> pa.RecordBatch:
+    """(segment, n-grams, counts) of the segments that have members."""
     cuts = [(k, rows) for k, rows in enumerate(_cuts(_segments(x, segments), segments)) if len(rows)]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([k for k, _ in cuts], pa.int32()),
-            pa.array([block] * len(cuts), pa.int64()),
-            pa.array([key(x[rows]) for _, rows in cuts], pa.binary()),
-            pa.array([b"" if counts is None else counts[rows].astype("<i4").tobytes() for _, rows in cuts], pa.binary()),
+            pa.array([pack(x[rows]) for _, rows in cuts], pa.binary()),
+            pa.array([counts[rows].astype("<i4").tobytes() for _, rows in cuts], pa.binary()),
         ],
-        names=["segment", "block", "ngrams", "counts"],
+        names=["segment", "ngrams", "counts"],
     )
 
 
-def _spread(batches, segments: int, what: str):
-    """Rows of each block: its ``words`` alone with training counts, or ``all`` its n-grams without counts."""
+def _spread(batches, segments: int):
+    """For each block and segment: its distinct words there with training counts, and its distinct pairs there."""
     for b in _block_rows(batches):
-        if what == "words":
-            yield _rows(b.words, b.word_counts(), segments, b.id, np.ndarray.tobytes)
-        else:
-            yield _rows(b.ngrams(), None, segments, b.id)
+        pairs, counts = b.contexts(), b.word_counts()
+        of_words, of_pairs = _cuts(_segments(b.words, segments), segments), _cuts(_segments(pairs, segments), segments)
+        cuts = [(k, w, p) for k, (w, p) in enumerate(zip(of_words, of_pairs, strict=True)) if len(w) or len(p)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([k for k, _, _ in cuts], pa.int32()),
+                pa.array([b.id] * len(cuts), pa.int64()),
+                pa.array([b.words[w].tobytes() for _, w, _ in cuts], pa.binary()),
+                pa.array([counts[w].astype("<i4").tobytes() for _, w, _ in cuts], pa.binary()),
+                pa.array([pack(pairs[p]) for _, _, p in cuts], pa.binary()),
+            ],
+            names=["segment", "block", "words", "counts", "pairs"],
+        )
 
 
 def _sums(x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,12 +261,9 @@ def _training(batches, segments: int, most: int = 1 << 22):
         if sum(len(x) for x, _ in each) > most:
             each = [_sums(*map(np.concatenate, zip(*each, strict=True)))]
             if len(each[0][0]) > most // 2:
-                yield _rows(*each.pop(), segments, b.id)
+                yield _rows(*each.pop(), segments)
     if each:
-        yield _rows(*_sums(*map(np.concatenate, zip(*each, strict=True))), segments, 0)
-
-
-_SPREAD = "segment int, block long, ngrams binary, counts binary"
+        yield _rows(*_sums(*map(np.concatenate, zip(*each, strict=True))), segments)
 
 
 def _joined(table: pa.Table, name: str, read) -> tuple[np.ndarray, np.ndarray]:
@@ -277,29 +280,8 @@ def _i4(data) -> np.ndarray:
     return np.frombuffer(data, dtype="<i4")
 
 
-def word_totals(blocks_: DataFrame, segments: int) -> DataFrame:
-    """segment, block, totals (exact training counts of the block's words there), tokens and types of the segment."""
-
-    def total(key, table):
-        (each, cuts), (n_each, _) = _joined(table, "ngrams", _u8), _joined(table, "counts", _i4)
-        x, inverse = np.unique(each, return_inverse=True)
-        counts = np.bincount(inverse, weights=n_each, minlength=len(x)).astype(np.int64)
-        places = np.split(inverse, cuts)
-        n = len(places)
-        return pa.table(
-            {
-                "segment": pa.array([key[0].as_py()] * n, pa.int32()),
-                "block": table.column("block"),
-                "totals": pa.array([counts[p].astype("<i8").tobytes() for p in places], pa.binary()),
-                "tokens": pa.array([int(counts.sum())] * n, pa.int64()),
-                "types": pa.array([int((counts > 0).sum())] * n, pa.int64()),
-            }
-        )
-
-    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, "words"), _SPREAD)
-    return spread.groupBy("segment").applyInArrow(
-        total, "segment int, block long, totals binary, tokens long, types long"
-    )
+def _i8(data) -> np.ndarray:
+    return np.frombuffer(data, dtype="<i8")
 
 
 def filters(blocks_: DataFrame, segments: int) -> DataFrame:
@@ -315,117 +297,109 @@ def filters(blocks_: DataFrame, segments: int) -> DataFrame:
             }
         )
 
-    spread = blocks_.mapInArrow(lambda b: _training(b, segments), _SPREAD)
+    spread = blocks_.mapInArrow(lambda b: _training(b, segments), "segment int, ngrams binary, counts binary")
     return spread.groupBy("segment").applyInArrow(build, "segment int, size long, bits binary")
 
 
-def routed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> DataFrame:
-    """block, segment and levels: the quantised counts of each block's n-grams, probed at their segment."""
+_COUNTS = (
+    "block long, segment int, totals binary, word_levels binary, pair_levels binary, tokens long, types long, mass double"
+)
+
+
+def probed_counts(blocks_: DataFrame, filters_: DataFrame, segments: int) -> DataFrame:
+    """What each block gets back from each segment: exact training counts of its words there (``totals``)
+    and the quantised counts that the filter gives for its words and pairs. Besides, of the segment itself:
+    training tokens, distinct training words, and the sum of the latter's expected counts.
+    """
 
     def probe(left, right):
-        keys, cuts = _joined(left, "ngrams", unpack) if left.num_rows else (np.zeros(0, np.uint64), [])
-        if right.num_rows:
+        if not left.num_rows:
+            return pa.table({n: pa.array([], t) for n, t in zip(names, types, strict=True)})
+        (words, cuts), (n_each, _) = _joined(left, "words", _u8), _joined(left, "counts", _i4)
+        x, inverse = np.unique(words, return_inverse=True)
+        totals = np.bincount(inverse, weights=n_each, minlength=len(x)).astype(np.int64)
+        pairs, pair_cuts = _joined(left, "pairs", unpack)
+        levels, pair_levels = np.zeros(len(x), dtype=np.int32), np.zeros(len(pairs), dtype=np.int32)
+        if right.num_rows:  # else no training n-gram is there
             bits, size = right.column("bits")[0].as_buffer(), right.column("size")[0].as_py()
-            found = LogFrequencyFilter(np.frombuffer(bits, dtype=np.uint8), size).probe(keys)
-        else:  # no training n-gram there
-            found = np.zeros(len(keys), dtype=np.int32)
-        levels = np.split(found.astype(np.uint8), cuts) if left.num_rows else []
-        return pa.table(
-            {
-                "block": left.column("block"),
-                "segment": left.column("segment"),
-                "levels": pa.array([x.tobytes() for x in levels], pa.binary()),
-            }
-        )
-
-    spread = blocks_.mapInArrow(lambda b: _spread(b, segments, "all"), _SPREAD).drop("counts")
-    return (
-        spread.groupBy("segment")
-        .cogroup(filters_.groupBy("segment"))
-        .applyInArrow(probe, "block long, segment int, levels binary")
+            lf = LogFrequencyFilter(np.frombuffer(bits, dtype=np.uint8), size)
+            levels, pair_levels = lf.probe(x & KEY), lf.probe(pairs)
+        places, n = np.split(inverse, cuts), left.num_rows
+        columns = [
+            left.column("block").combine_chunks(),
+            left.column("segment").combine_chunks(),
+            [totals[p].astype("<i8").tobytes() for p in places],
+            [levels[p].astype(np.uint8).tobytes() for p in places],
+            [p.astype(np.uint8).tobytes() for p in np.split(pair_levels, pair_cuts)],
+            [int(totals.sum())] * n,
+            [int((totals > 0).sum())] * n,
+            [float(expected(levels)[totals > 0].sum())] * n,
+        ]
+        return pa.table({c: pa.array(v, t) for c, v, t in zip(names, columns, types, strict=True)})
+
+    names = [c.split()[0] for c in _COUNTS.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64()]
+    spread = blocks_.mapInArrow(
+        lambda b: _spread(b, segments), "segment int, block long, words binary, counts binary, pairs binary"
     )
+    return spread.groupBy("segment").cogroup(filters_.groupBy("segment")).applyInArrow(probe, _COUNTS)
 
 
-_loaded: dict[str, dict] = {}
-
-
-def _filters(path: str) -> dict[int, LogFrequencyFilter]:
-    """The worker's copy of all segments' filters, read once from the shared folder."""
-    if path not in _loaded:
-        import pyarrow.dataset as ds
+def probabilities(word, context, pair, mass: float, n_types: int) -> np.ndarray:
+    """p(w | u) of counts from the filter: of the words, of their contexts and of the pairs.
 
-        system, place = filesystem(path)
-        rows = ds.dataset(place, filesystem=system, format="parquet").to_table()
-        _loaded.clear()
-        _loaded[path] = {
-            s.as_py(): LogFrequencyFilter(np.frombuffer(b.as_buffer(), dtype=np.uint8), n.as_py())
-            for s, b, n in zip(rows.column("segment"), rows.column("bits"), rows.column("size"), strict=True)
-        }
-    return _loaded[path]
+    The unigram part sums to one over the training words and one unknown word, as ``mass`` is the sum of
+    the training words' counts. A pair counts no more than its parts, which cuts false positives.
+    """
+    pair = np.minimum(np.minimum(pair, context), word)
+    p = BACKOFF * (word + 1) / (mass + n_types + 1)
+    return p + (1 - BACKOFF) * np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
 
 
-def score(docs: DataFrame, block_bytes: int = 1 << 22, broadcast_bytes: int = 256 << 20, segment_tokens: int = 1 << 21):
+def score(docs: DataFrame, block_bytes: int = 1 << 22, segment_tokens: int = 1 << 21) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
-    p(w | u) = 0.8 p(w) + 0.2 c(uw) / c(u), with p(w) = (c(w) + 1) / (N + V + 1) and all counts but N
-    and V from the filter. A null or empty text is its end alone; repeated rows count each; extra
-    columns are ignored; an empty table gives no rows.
+    p(w | u) = 0.8 p(w) + 0.2 c(uw) / c(u), with p(w) = (c(w) + 1) / (M + V + 1): the counts c come from
+    the filter, M is the sum of the V training words' counts. A null or empty text is its end alone;
+    repeated rows count each; extra columns are ignored; an empty table gives no rows.
 
-    ``broadcast_bytes`` bounds what a worker holds. The filter grows with the corpus, so beyond that
-    bound each segment is probed where it is instead.
+    ``segment_tokens`` bounds the n-grams of a segment, thus a filter and what is probed at once.
     """
     spark = docs.sparkSession
-    held = materialize(blocks(docs, block_bytes), "lm-blocks", "zstd")
-    tokens = held.agg(F.sum(F.octet_length("codes") / 4 + F.size("doc_ids"))).first()[0] or 0
-    segments = max(4, -(-int(tokens) // segment_tokens))
-    totals = materialize(word_totals(held, segments), "lm-totals")
-    stats = totals.groupBy("segment").agg(F.first("tokens").alias("n"), F.first("types").alias("v"))
-    stats = stats.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
-    n_train, n_types = int(stats["n"] or 0), int(stats["v"] or 0)
-    made = materialize(filters(held, segments), "lm-filters")
-    size = made.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    exact = totals.groupBy("block").agg(F.collect_list(F.struct("segment", "totals")).alias("exact"))
-    joined = held.join(exact, "block")
-    shared = size <= broadcast_bytes
-    if not shared:
-        levels = materialize(routed_counts(held, made, segments), "lm-levels")
-        discard(made)
-        joined = joined.join(
-            levels.groupBy("block").agg(F.collect_list(F.struct("segment", "levels")).alias("levels")), "block"
-        )
-    path = made.scratch_path
+    with only_kept(spark) as kept:
+        held = materialize(blocks(docs, block_bytes), "lm-blocks", "zstd")
+        tokens = held.agg(F.sum(F.octet_length("codes") / 4 + F.size("doc_ids"))).first()[0] or 0
+        segments = max(4, -(-int(tokens) // segment_tokens))
+        made = materialize(filters(held, segments), "lm-filters")
+        found = materialize(probed_counts(held, made, segments), "lm-counts", "zstd")
+        kept += [held, found]
+    each = found.groupBy("segment").agg(*(F.first(c).alias(c) for c in ("tokens", "types", "mass")))
+    stats = each.agg(F.sum("tokens"), F.sum("types"), F.sum("mass")).first()
+    n_train, n_types, mass = int(stats[0] or 0), int(stats[1] or 0), float(stats[2] or 0)
+    parts = F.collect_list(F.struct("segment", "totals", "word_levels", "pair_levels"))
+    joined = held.join(found.groupBy("block").agg(parts.alias("parts")), "block")
 
     def run(batches):
-        own = _filters(path) if shared else None
         for batch in batches:
             names = batch.schema.names
             for row in range(batch.num_rows):
                 get = {n: batch.column(i)[row].as_py() for i, n in enumerate(names)}
                 b = Block(get)
-                n_words = len(b.words)
-                counts = np.zeros(n_words, dtype=np.int64)
-                places = _cuts(_segments(b.words, segments), segments)
-                for part in get["exact"]:
-                    counts[places[part["segment"]]] = np.frombuffer(part["totals"], dtype="<i8")
                 pairs, pair_of = np.unique(b.pairs(), return_inverse=True)
-                pair_of += n_words
-                x = np.concatenate([b.words, pairs, [START]])
-                places = _cuts(_segments(x, segments), segments)
-                q = np.zeros(len(x), dtype=np.int32)
-                if own is None:
-                    for part in get["levels"]:
-                        q[places[part["segment"]]] = np.frombuffer(part["levels"], dtype=np.uint8)
-                else:
-                    for s, lf in own.items():
-                        q[places[s]] = lf.probe(x[places[s]] & KEY)
-                c = expected(q)
-                word = c[b.codes]
+                pairs = np.append(pairs, START)
+                of_words, of_pairs = _cuts(_segments(b.words, segments), segments), _cuts(_segments(pairs, segments), segments)
+                counts = np.zeros(len(b.words), dtype=np.int64)
+                q_words, q_pairs = np.zeros(len(b.words), dtype=np.uint8), np.zeros(len(pairs), dtype=np.uint8)
+                for part in get["parts"]:
+                    k = part["segment"]
+                    counts[of_words[k]] = _i8(part["totals"])
+                    q_words[of_words[k]] = np.frombuffer(part["word_levels"], dtype=np.uint8)
+                    q_pairs[of_pairs[k]] = np.frombuffer(part["pair_levels"], dtype=np.uint8)
+                word, c_pairs = expected(q_words)[b.codes], expected(q_pairs)
                 context = np.empty_like(word)
                 context[1:] = word[:-1]
-                context[b.starts] = c[-1]
-                pair = np.minimum(np.minimum(c[pair_of], context), word)
-                p = BACKOFF * (word + 1) / (n_train + n_types + 1)
-                p += (1 - BACKOFF) * np.divide(pair, context, out=np.zeros_like(pair), where=context > 0)
+                context[b.starts] = c_pairs[-1]
+                p = probabilities(word, context, c_pairs[pair_of], mass, n_types)
                 base = np.log10((counts[b.codes] + 1.0) / (n_train + n_types + 1))
                 yield pa.RecordBatch.from_arrays(
                     [

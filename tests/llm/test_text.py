@@ -148,6 +148,16 @@ def test_filter_gives_quantised_counts():
     assert (np.abs(low - high) <= 0.5 * high + 1).all() and lm.quantise(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2, 3]
 
 
+def test_unigrams_sum_to_one():
+    rng = np.random.default_rng(3)
+    x, counts = rng.integers(0, 2**63, 3000).astype(np.uint64), rng.zipf(1.5, 3000).clip(1, 10**6)
+    word = lm.expected(lm.LogFrequencyFilter.build(x, counts).probe(x))
+    none = np.zeros_like(word)
+    p = lm.probabilities(word, none, none, word.sum(), len(x))
+    unknown = lm.probabilities(none[:1], none[:1], none[:1], word.sum(), len(x))
+    assert math.isclose(p.sum() + unknown[0], lm.BACKOFF)
+
+
 def test_lm_scores(spark, sf):
     docs = common.table(spark, sf, "documents").select("doc_id", "text")
     odd = spark.createDataFrame([(10**6, None), (10**6 + 1, ""), (None, "the of")], "doc_id long, text string")
@@ -166,8 +176,10 @@ def test_lm_scores(spark, sf):
         assert math.isclose(g.base_score, sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens), rel_tol=1e-9)
     held = [g for g in got.values() if g.held_out]
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
-    routed = {r.doc_id: r.score for r in lm.score(docs, broadcast_bytes=0).collect()}
-    assert all(math.isclose(routed[i], g.score, rel_tol=1e-12) for i, g in got.items())
+    many = {r.doc_id: r for r in lm.score(docs, segment_tokens=1 << 10).collect()}
+    near = [abs(many[i].score - g.score) / g.n_tokens for i, g in got.items()]
+    assert max(near) < 0.2 and np.mean(near) < 2e-3  # false positives differ between segmentations
+    assert all(many[i].base_score == g.base_score for i, g in got.items())
     assert lm.score(docs.where("false")).count() == 0
 
 
