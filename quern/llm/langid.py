@@ -32,17 +32,16 @@ def held_out(modulus: int, rest: int) -> Column:
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all character n-grams of the lower-cased texts, and the texts' bounds in them.
+    """Buckets of the n-grams that start at each character of the lower-cased texts, and the texts' bounds in them.
 
-    Texts are separated by as many blanks as the longest n-gram needs, so none spans two texts.
+    A text is followed by as many line ends as the longest n-gram needs, so none reaches into the next text.
     """
     gap = "\n" * max(ORDERS)
     texts = [t.lower() for t in texts]
     lengths = [len(t) for t in texts]
     chars = np.frombuffer((gap.join(texts) + gap).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    step = len(gap)
-    ends = np.cumsum(np.array(lengths, dtype=np.int64) + step)
-    bounds = np.concatenate([[0], ends])
+    bounds = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    own = np.arange(bounds[-1]) + len(gap) * segment_ids(bounds)
     h = np.zeros(len(chars), dtype=np.uint32)
     per = []
     for k, n in enumerate(ORDERS):
@@ -51,7 +50,7 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         x ^= x >> np.uint32(15)
         x *= np.uint32(0x2C1B3C6D)
         x ^= x >> np.uint32(12)
-        per.append((x % np.uint32(BUCKETS)).astype(np.int32))
+        per.append((x[own] % np.uint32(BUCKETS)).astype(np.int32))
     return np.stack(per, axis=1), bounds
 
 
@@ -155,7 +154,10 @@ def predict(docs: DataFrame, labels: list[str], matrix: np.ndarray) -> DataFrame
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, modulus: int = 4, rest: int = 2, train_rows: int = TRAIN_ROWS):
-    """The rows of ``docs`` in a learned language with at least this score, with all their columns."""
+    """The rows of ``docs`` in a learned language with at least this score, with all their columns.
+
+    A null text is an empty one and goes; repeated rows share their fate; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(_labelled(docs, "lang", modulus, rest, train_rows)))
 

@@ -142,7 +142,7 @@ def train(col, value, bounds, y, epochs: int = 30, batch: int = 64, rate: float
 
 
 def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, rows: int = TRAIN_ROWS):
-    """Fits on at most ``rows`` labelled texts, chosen by doc_id's hash; features come from Spark tasks."""
+    """Fits on at most about ``rows`` labelled texts, one a doc_id, chosen by doc_id's hash; features come from Spark tasks."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("quality"))
     known = known.where(~held_out(modulus, rest))
@@ -152,6 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, row
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
     # at most about `rows` small rows, by the bound above
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(known), "doc_id")
+    # a row a doc_id, however often it is repeated: of several texts, that of the least hash
+    text = F.coalesce("text", F.lit(""))
+    chosen = chosen.groupBy("doc_id", "quality").agg(F.min_by(text, F.xxhash64(text)).alias("text"))
     keyed = chosen.select(F.struct("doc_id", "quality").alias("k"), "text")
 
     def run(batches):
@@ -193,7 +196,10 @@ def predict(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, train_rows: int = TRAIN_ROWS):
-    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns."""
+    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns.
+
+    A null text is an empty one; repeated rows share their fate; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     model = fit(docs, labels, modulus, rest, train_rows)
     shared = docs.sparkSession.sparkContext.broadcast((model.w0, model.w, model.v))
@@ -203,8 +209,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int =
 def classify(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0, train_rows: int = TRAIN_ROWS):
     """doc_id, held_out, score and predicted of every row of ``docs``.
 
-    Learns from labels of rows that are not held out (two labels of one doc_id: the higher). Without
-    labelled rows every score is 0.5. Repeated rows each get a row; a null doc_id is not held out;
+    Learns from labels of rows that are not held out (two labels of one doc_id: the higher; of several
+    texts one is fitted). Without labelled rows every score is 0.5. Repeated rows each get a row; a null doc_id is not held out;
     extra columns are ignored; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
