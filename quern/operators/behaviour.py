@@ -14,6 +14,7 @@ from quern.functions.text import (
     same_resource_key,
     tool_resource,
 )
+from quern.operators.ordered import ranged, running_sum, with_previous
 
 #: Operations that a session needs once.
 ONCE = ["initialize", "tools/list", "notifications/initialized"]
@@ -73,6 +74,27 @@ def rest_sequences(samples: DataFrame, loop_ms: float = 2000) -> DataFrame:
         F.lead("normalized_path").over(_session()).alias("to_path"),
         (F.lead(ms).over(_session()) - ms).alias("delay"),
     ).where(F.col("to_method").isNotNull())
+    return _rest_patterns(pair, loop_ms)
+
+
+def rest_sequences_by_range(samples: DataFrame, loop_ms: float = 2000, partitions: int | None = None) -> DataFrame:
+    """The same where one session may hold much of all calls: by ranges instead of a window over a session."""
+    calls = samples.select(
+        "session_id", "captured_at", "id", "http_method", "normalized_path", F.unix_millis("captured_at").alias("ms")
+    )
+    seen = with_previous(ranged(calls, partitions), ["http_method", "normalized_path", "ms"])
+    pair = seen.where("before is not null and http_method is not null").select(
+        "session_id",
+        F.col("before.http_method").alias("from_method"),
+        F.col("before.normalized_path").alias("from_path"),
+        F.col("http_method").alias("to_method"),
+        F.col("normalized_path").alias("to_path"),
+        (F.col("ms") - F.col("before.ms")).alias("delay"),
+    )
+    return _rest_patterns(pair, loop_ms)
+
+
+def _rest_patterns(pair: DataFrame, loop_ms: float) -> DataFrame:
     keys = ["session_id", "from_method", "from_path", "to_method", "to_path"]
     grouped = pair.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("delay").alias("mean_delay"))
     scaled = F.col("mean_delay") * (2000.0 / loop_ms)
@@ -125,7 +147,16 @@ def phase_rows(samples: DataFrame, gap_ms: int = 2000) -> DataFrame:
     return ops.withColumn("new", F.coalesce(gap, F.lit(0))).withColumn("phase", F.sum("new").over(running)).drop("new")
 
 
-def _writes_reads(rows: DataFrame) -> tuple[Column, Column]:
+def phase_rows_by_range(samples: DataFrame, gap_ms: int = 2000, partitions: int | None = None) -> DataFrame:
+    """The same where one session may hold much of all calls: by ranges instead of windows over a session."""
+    seen = with_previous(ranged(with_operation(samples), partitions), ["ms"])
+    gap = (F.col("ms") - F.col("before.ms") > gap_ms).cast("int")
+    marked = seen.withColumn("new", F.coalesce(gap, F.lit(0)))
+    return running_sum(marked, "new", "phase").drop("new", "before", "part")
+
+
+def writes_reads(rows: DataFrame) -> tuple[Column, Column]:
+    """Whether a call with its op writes, and whether it reads."""
     rpc = F.col("jsonrpc_method").isNotNull()
     tool, method = F.col("jsonrpc_tool"), F.col("http_method")
     write_tool, read_tool = F.coalesce(is_write_tool(tool), F.lit(False)), F.coalesce(is_read_tool(tool), F.lit(False))
@@ -137,7 +168,7 @@ def _writes_reads(rows: DataFrame) -> tuple[Column, Column]:
 
 def phases(rows: DataFrame) -> DataFrame:
     """Named phases: any write makes creation; reads alone are verification after a creation, else discovery."""
-    write, read = _writes_reads(rows)
+    write, read = writes_reads(rows)
     each = rows.groupBy("session_id", "phase").agg(
         F.count("*").alias("n"),
         F.max(write.cast("int")).alias("w"),
@@ -146,6 +177,11 @@ def phases(rows: DataFrame) -> DataFrame:
         F.max("place").alias("end_index"),
         (F.max("ms") - F.min("ms")).alias("duration"),
     )
+    return named_phases(each)
+
+
+def named_phases(each: DataFrame) -> DataFrame:
+    """Names for rows of phases (session_id, phase, ...) with w and r: any write, any read."""
     before = Window.partitionBy("session_id").orderBy("phase").rowsBetween(Window.unboundedPreceding, -1)
     name = (
         F.when(F.col("w") == 1, "creation")

@@ -326,6 +326,11 @@ def rest_sequences(spark, sf):
     return behaviour.rest_sequences(ad.event_samples(spark, sf), LOOP_MS)
 
 
+@query(ORACLE["rest_sequences"])
+def rest_sequences_by_range(spark, sf):
+    return behaviour.rest_sequences_by_range(ad.event_samples(spark, sf), LOOP_MS)
+
+
 _RPC_PAIRS = """
 w AS (SELECT session_id, op, ms, row_number() OVER (PARTITION BY session_id ORDER BY ms, id) AS r FROM rpc),
 p AS (SELECT a.session_id, a.op AS from_op, b.op AS to_op, b.ms - a.ms AS d FROM w a JOIN w b ON a.session_id = b.session_id AND b.r BETWEEN a.r + 1 AND a.r + 4),
@@ -374,6 +379,11 @@ def phases(spark, sf):
     return behaviour.phases(behaviour.phase_rows(ad.event_samples(spark, sf), PHASE_MS))
 
 
+@query(ORACLE["phases"])
+def phases_by_range(spark, sf):
+    return behaviour.phases(behaviour.phase_rows_by_range(ad.event_samples(spark, sf), PHASE_MS))
+
+
 @query(
     f"WITH {ad.EVENT_SAMPLES}, {_PHASES}, t AS (SELECT r.session_id, op AS tool, name, min(place) AS seen FROM r JOIN named USING (session_id, phase) GROUP BY 1, 2, 3) "
     "SELECT session_id, tool, string_agg(name, ',' ORDER BY seen) AS phases FROM t GROUP BY 1, 2"
