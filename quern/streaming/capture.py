@@ -28,11 +28,13 @@ def start_capture(
     available_now: bool = True,
     max_samples: int | None = None,
 ) -> StreamingQuery:
-    """Adds samples of one session, without their bodies; whenever a multiple of ``every`` is passed, snapshot k covers k * every samples.
+    """Adds samples of one session, without their bodies, and a snapshot whenever a multiple of ``every`` is passed.
 
-    A batch that runs again (same batch id) replaces its samples and its counts in the ledger. With
-    ``max_samples`` the first so many are admitted, by batch, then time and id; further ones are read
-    and left out. A snapshot that fails is logged and tried again with the next batch; capture goes on.
+    Snapshot k covers the first k * every admitted samples; it reads the state of the last one and what
+    was admitted since, not the samples before. A batch that runs again (same batch id) replaces its
+    samples and its counts in the ledger. With ``max_samples`` the first so many are admitted, by batch,
+    then time and id; further ones are read and left out. A snapshot that fails is logged and tried again
+    with the next batch; capture goes on.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -43,11 +45,12 @@ def start_capture(
             left = max(0, max_samples - store.ledger(session_id, batch_id)[0])
             samples = samples.orderBy("captured_at", "id", "http_method", "path").limit(left)
         store.add_samples(samples, batch_id, session_id)
-        written = store.samples(session_id) if store.has_samples() else None
-        admitted = 0 if written is None else written.where(F.col("batch") == batch_id).count()
+        written = store.batch(session_id, batch_id)
+        admitted = 0 if written is None else written.count()
         store.note_batch(session_id, batch_id, admitted, skipped)
         LOG.info("batch %s of session %s: %s samples, %s skipped", batch_id, session_id, admitted, skipped)
         if every:
+            store.add_parts(session_id, batch_id, every)
             done = store.ledger(session_id)[0] // every
             stored = store.schemas()
             last = 0
