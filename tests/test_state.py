@@ -9,6 +9,7 @@ from quern.operators import state
 from quern.operators.facts import without_bodies
 from quern.operators.pipeline import aggregate_session
 from quern.sources.capture import RAW_PAIRS, to_samples
+from quern.sources.scratch import written
 from quern.sources.store import Store
 from tests.test_sessions import pair
 
@@ -42,10 +43,10 @@ def rows_of(frame):
 
 
 def test_states_of_parts_add_up(spark):
-    samples = without_bodies(to_samples(raw(spark, calls(120))))
-    whole = state.state_of(samples)
-    parts = [state.state_of(samples.where(F.col("id") % 5 == k)) for k in (3, 0, 4, 1, 2)]
-    nested = state.union_states(state.union_states(*parts[:2]), state.union_states(*parts[2:]))
+    samples = written(without_bodies(to_samples(raw(spark, calls(120)))), "samples")
+    whole = written(state.state_of(samples), "whole")
+    parts = [state.state_of(samples.where(F.col("id") % 3 == k)) for k in (2, 0, 1)]
+    nested = written(state.union_states(written(state.union_states(*parts[:2]), "two"), parts[2]), "three")
     order = [c for c in whole.columns if c not in ("first", "example")]
     key = lambda df: sorted((json.dumps(r.asDict(recursive=True), default=str) for r in df.select(*order, "first", "example").collect()))
     assert key(nested) == key(whole)
@@ -58,7 +59,8 @@ def test_states_of_parts_add_up(spark):
 
 def test_states_against_plain_counts(spark):
     pairs = calls(60, 7)
-    got = {(r.http_method, r.normalized_path): r for r in aggregate_session(to_samples(raw(spark, pairs))).collect()}
+    rows = state.endpoints_of(state.state_of(without_bodies(to_samples(raw(spark, pairs)))))
+    got = {(r.http_method, r.normalized_path): r for r in rows.collect()}
     plain = {}
     for p in pairs:
         path = p["url"].split("?")[0]
