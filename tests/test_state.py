@@ -59,7 +59,7 @@ def test_states_of_parts_add_up(spark):
 
 def test_states_against_plain_counts(spark):
     pairs = calls(60, 7)
-    rows = state.endpoints_of(state.state_of(without_bodies(to_samples(raw(spark, pairs)))))
+    rows = state.endpoints_of(written(state.state_of(without_bodies(to_samples(raw(spark, pairs)))), "state"))
     got = {(r.http_method, r.normalized_path): r for r in rows.collect()}
     plain = {}
     for p in pairs:
