@@ -73,7 +73,8 @@ def _several_texts(rows: DataFrame) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences of 2048 tokens."""
-    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), 2048, 0, with_ids=False)
+    # a smaller memory of chunks than by itself: executors that ran the other stages have large heaps
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"), 2048, 0, with_ids=False, keep=150_000)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_chunks, filesystem, from_planes, materialize, planes, small_batches
+from quern.llm.common import doc_chunks, filesystem, from_planes, kept_in_worker, materialize, planes, small_batches
 from quern.llm.tokens import _ODD_SPACE, Pool, runs
 
 #: More than any rank: no merge. No id: stands before and after a word.
@@ -235,26 +235,24 @@ def dictionary(docs: DataFrame, pattern: str, fold, sample_bytes: int = SAMPLE_B
     return materialize(words.select("word", "n", folded), "bpe-words")
 
 
-_dictionaries: dict[tuple, tuple] = {}
-
-
 def _dictionary(path: str, with_words: bool) -> tuple:
     """The worker's copy of a written dictionary: words to numbers, or how many runs and ids it has and the runs."""
-    if (path, with_words) not in _dictionaries:
+    dictionaries = kept_in_worker("bpe")
+    if (path, with_words) not in dictionaries:
         import pyarrow.dataset as ds
 
         system, place = filesystem(path)
         table = ds.dataset(place, filesystem=system, format="parquet").to_table()
         table = table.sort_by([("n", "descending"), ("word", "ascending")])  # frequent words have small codes
-        _dictionaries.clear()
+        dictionaries.clear()
         if with_words:
             words = table.column("word").cast(pa.string()).to_numpy().tolist()
-            _dictionaries[path, with_words] = dict(zip(words, range(len(words)), strict=True))
+            dictionaries[path, with_words] = dict(zip(words, range(len(words)), strict=True))
         else:
             pool, ids = Pool(), table.column("ids").combine_chunks()
             pool.add(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), _sizes(ids))
-            _dictionaries[path, with_words] = (pool.n, pool.n_ids), pool
-    return _dictionaries[path, with_words]
+            dictionaries[path, with_words] = (pool.n, pool.n_ids), pool
+    return dictionaries[path, with_words]
 
 
 def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) -> DataFrame:

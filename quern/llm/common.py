@@ -93,18 +93,36 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept_in_worker(operator: str) -> dict:
+    """What a worker remembers for later tasks of the same operator; what another operator left there goes.
+
+    Workers are used again, so the tables of all operators of a session would add up in each.
+    """
+    if operator not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+    return _kept.setdefault(operator, {})
+
+
 def keep_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows whose text ``decide`` (a list of texts to an array of booleans) accepts, as they are.
 
-    Rows pass whole, with all their columns, so nothing is joined back. Null texts are empty.
+    Rows pass whole, with all their columns, so nothing is joined back. Null texts are empty. ``decide``
+    gets few texts at a time, for it may need many times their size.
     """
     at = docs.columns.index("text")
 
     def run(batches):
+        kept_in_worker("filter")
         for batch in batches:
             if batch.num_rows:
-                texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
-                yield batch.filter(pa.array(np.asarray(decide(texts), dtype=bool)))
+                texts = batch.column(at).cast(pa.string())
+                numbered = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], names=["row", "text"])
+                kept = [np.asarray(decide(some), dtype=bool) for _, some in doc_chunks([numbered], 1 << 19)]
+                yield batch.filter(pa.array(np.concatenate(kept)))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -120,15 +138,17 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def doc_chunks(batches: Iterable[pa.RecordBatch], max_bytes: int) -> Iterator[tuple[list, list[str]]]:
-    """(ids, texts) of about ``max_bytes`` characters at most, or one text; null texts are empty."""
+def doc_chunks(
+    batches: Iterable[pa.RecordBatch], max_bytes: int, max_texts: int | None = None
+) -> Iterator[tuple[list, list[str]]]:
+    """(ids, texts) of about ``max_bytes`` characters and ``max_texts`` texts at most, or one text; null texts are empty."""
     ids: list = []
     texts: list[str] = []
     size = 0
     for batch in batches:
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             t = t or ""
-            if ids and size + len(t) > max_bytes:
+            if ids and (size + len(t) > max_bytes or len(ids) == max_texts):
                 yield ids, texts
                 ids, texts, size = [], [], 0
             ids.append(i)

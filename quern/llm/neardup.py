@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import doc_chunks, materialize, mix64, only_kept, segment_ids, small_batches, word_hashes
+from quern.llm.common import doc_chunks, kept_in_worker, materialize, mix64, only_kept, segment_ids, small_batches, word_hashes
 
 #: Bands and bins per band: two sets of similarity 0.75 miss all 60 buckets with probability 8e-6.
 BANDS, ROWS = 60, 6
 WORDS = 5
+#: Texts that are sketched at once: a sketch takes as much memory for a short text as for a long one.
+TEXTS = 1024
 _MULT = mix64(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -114,7 +116,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, words: int =
     small_batches(docs.sparkSession)
 
     def run(batches):
-        for ids, texts in doc_chunks(batches, 1 << 19):
+        kept_in_worker("near duplicates")
+        for ids, texts in doc_chunks(batches, 1 << 19, TEXTS):
             shingles, bounds = shingle_sets(texts, words)
             raw = [
                 hashlib.blake2b(shingles[a:b].tobytes(), digest_size=16).digest()

@@ -18,12 +18,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from quern.llm.common import kept_in_worker
+
 #: White space after a space, or a space at the end: only then could a match cross a chunk's start.
 _ODD_SPACE = re.compile(r" (?:\s|\Z)")
 #: Signs that are never part of a word's match when they follow a letter.
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Letters of one or two bytes that no normal form changes.
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Distinct chunks that a worker remembers before it begins anew; those of before are kept as long again.
+KEEP = 350_000
 #: How added tokens of the vocabularies begin.
 _ADDED = "<|"
 
@@ -102,7 +106,7 @@ class ChunkEncoder:
 
     MARK = "\0"
 
-    def __init__(self, path: str, spaces: bool, keep: int = 350_000):
+    def __init__(self, path: str, spaces: bool, keep: int = KEEP):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
@@ -228,17 +232,18 @@ class ChunkEncoder:
             each[offsets[:-1][np.array(whole)]] = self._encode([t for t, w in zip(texts, whole, strict=True) if w])
         flat, sizes = self.pool.get(each)
         self.pool.n, self.pool.n_ids = n, n_ids  # whole texts and first chunks are not kept
+        del parts, chunks
+        pa.default_memory_pool().release_unused()  # else Arrow holds on to as much as the largest batch took
         return flat, np.concatenate([[0], np.cumsum(sizes)])[offsets]
 
 
-_encoders: dict[tuple[str, bool], ChunkEncoder] = {}
-
-
-def encoder(path: str, spaces: bool) -> ChunkEncoder:
-    """The worker's encoder of a vocabulary file."""
+def encoder(path: str, spaces: bool, keep: int = KEEP) -> ChunkEncoder:
+    """The worker's encoder of a vocabulary file, the only one that it keeps."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (path, spaces) not in _encoders:
-        _encoders[path, spaces] = ChunkEncoder(path, spaces)
-    return _encoders[path, spaces]
+    encoders = kept_in_worker("encoder")
+    if (path, spaces, keep) not in encoders:
+        encoders.clear()
+        encoders[path, spaces, keep] = ChunkEncoder(path, spaces, keep)
+    return encoders[path, spaces, keep]
