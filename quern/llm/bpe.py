@@ -14,15 +14,18 @@ import hashlib
 import heapq
 import json
 import random
+import re
 from collections import Counter, defaultdict
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import doc_chunks, filesystem, from_planes, kept_in_worker, materialize, planes, small_batches
-from quern.llm.tokens import _ODD_SPACE, Pool, runs
+from quern.llm.tokens import _LATIN, _ODD_SPACE, Pool, runs
 
 #: More than any rank: no merge. No id: stands before and after a word.
 NONE, SENTINEL = 1 << 20, (1 << 16) - 1
@@ -58,10 +61,11 @@ class RankMap:
 
     A pair's hash is its product with a factor without the last 20 bits. Its place is the hash's remainder
     by PLACES plus the shift of its bucket (the remainder by BUCKETS); shifts are chosen so that no two
-    pairs meet. A place holds pair * 65536 + rank, or -2**50.
+    pairs meet. A place holds pair * 65536 + rank, or -2**50. Ranks of two bytes, which a word begins with,
+    stand in an array of their own: one read.
     """
 
-    def __init__(self, pairs: dict[int, int]):
+    def __init__(self, pairs: dict[int, int], byte_ids: list[int]):
         rng, clash = random.Random(1), True
         while clash:  # until no two pairs of a bucket have one remainder by PLACES
             self.factor = rng.randrange(1 << 29, 1 << 30)
@@ -78,8 +82,11 @@ class RankMap:
             for at, entry in entries:
                 places[at + shift] = entry
             shifts[bucket] = shift
+        two_bytes = [pairs.get(a << 16 | b, NONE) for a in byte_ids for b in byte_ids]
         self.literal = F.struct(
-            _literal(places, "array<bigint>").alias("places"), _literal(shifts, "array<int>").alias("shifts")
+            _literal(places, "array<bigint>").alias("places"),
+            _literal(shifts, "array<int>").alias("shifts"),
+            _literal(two_bytes, "array<bigint>").alias("bytes"),
         )
 
     def rank(self, table: Column, a: Column, b: Column) -> Column:
@@ -111,11 +118,9 @@ def fold_merges(word: Column, byte_ids: Column, ranks: RankMap, table: Column) -
     leftmost first.
 
     The state holds one number for each id and for a sentinel before them: the rank of the id and its
-    next, a tag, and the id. Tags ascend, so the least number is the leftmost of the least rank; the
-    tags in order, as a string, tell its place. The rank of a merged pair is the new id.
+    next, a tag, and the id. Tags ascend, so no two numbers are equal and the least is the leftmost of the
+    least rank. The rank of a merged pair is the new id.
     """
-    signs = [chr(1 + i) for i in range(LONG_WORD + 2)]
-    sign, all_signs = _literal(signs, "array<string>"), F.lit("".join(signs))
     per_rank = TAGS << 16  # ids take 16 bits
 
     def id_of(entry: Column) -> Column:
@@ -125,44 +130,36 @@ def fold_merges(word: Column, byte_ids: Column, ranks: RankMap, table: Column) -
         """The number of the neighbours a and b; ``low`` holds tag and id."""
         return ranks.rank(table, a, b).cast("long") * per_rank + low
 
-    def merge(s: Column, least: Column, at: Column) -> Column:
+    def merge(e: Column, least: Column, at: Column) -> Column:
         # the ids at and at + 1 (from 1) become one
-        e, new = s["e"], F.shiftright(least, 26)
+        new = F.shiftright(least, 26)
         before, after = F.get(e, at - 2), F.coalesce(F.get(e, at + 1), F.lit(SENTINEL).cast("long"))
         left = entry(id_of(before), new, before.bitwiseAND(F.lit(per_rank - 1)))
+        # the tag of the id at ``at``, whose number stands one before: the sentinel counts
         tag = F.get(e, at).bitwiseAND(F.lit(per_rank - 1 - SENTINEL))
         right = entry(new, id_of(after), tag + new)
-        return F.struct(
-            F.concat(F.slice(e, F.lit(1), at - 2), F.array(left, right), F.slice(e, at + 2, F.size(e))).alias("e"),
-            F.overlay(s["tags"], F.lit(""), at, F.lit(1)).alias("tags"),
-        )
+        return F.concat(F.slice(e, F.lit(1), at - 2), F.array(left, right), F.slice(e, at + 2, F.size(e)))
 
-    def step(s: Column, _: Column) -> Column:
+    def step(e: Column, _: Column) -> Column:
         return _let(
-            F.array_min(s["e"]),
-            lambda least: F.when(least >= NONE * per_rank, s).otherwise(
-                _let(
-                    F.instr(s["tags"], F.get(sign, F.shiftright(least, 16).bitwiseAND(F.lit(TAGS - 1)).cast("int"))),
-                    lambda at: merge(s, least, at),
-                )
+            F.array_min(e),
+            lambda least: F.when(least >= NONE * per_rank, e).otherwise(
+                _let(F.array_position(e, least).cast("int"), lambda at: merge(e, least, at))
             ),
         )
 
-    def start(ids: Column) -> Column:
-        entries = F.transform(
-            F.concat(F.array(F.lit(SENTINEL)), ids),
-            lambda a, i: entry(a, F.coalesce(F.get(ids, i), F.lit(SENTINEL)), i * (1 << 16) + a),
-        )
-        return F.struct(entries.alias("e"), F.substring(all_signs, F.lit(1), F.size(ids) + 1).alias("tags"))
-
-    return _let(
-        F.transform(word, lambda b: F.get(byte_ids, b)),
-        lambda ids: F.aggregate(
-            F.slice(ids, F.lit(2), F.size(ids)),
-            start(ids),
-            step,
-            lambda s: F.transform(F.slice(s["e"], F.lit(2), F.size(s["e"])), lambda x: id_of(x).cast("int")),
-        ),
+    first = F.lit(NONE * per_rank + SENTINEL)
+    entries = F.transform(
+        word,
+        lambda b, i: F.coalesce(F.get(table["bytes"], b * 256 + F.get(word, i + 1)), F.lit(NONE).cast("long")) * per_rank
+        + (i + 1) * (1 << 16)
+        + F.get(byte_ids, b),
+    )
+    return F.aggregate(
+        F.slice(word, F.lit(2), F.size(word)),
+        F.concat(F.array(first), entries),
+        step,
+        lambda e: F.transform(F.slice(e, F.lit(2), F.size(e)), lambda x: id_of(x).cast("int")),
     )
 
 
@@ -241,10 +238,10 @@ def _dictionary(path: str, with_words: bool) -> tuple:
     if (path, with_words) not in dictionaries:
         import pyarrow.dataset as ds
 
+        dictionaries.clear()
         system, place = filesystem(path)
-        table = ds.dataset(place, filesystem=system, format="parquet").to_table()
+        table = ds.dataset(place, filesystem=system, format="parquet").to_table(["word", "n"] + ["ids"] * (not with_words))
         table = table.sort_by([("n", "descending"), ("word", "ascending")])  # frequent words have small codes
-        dictionaries.clear()
         if with_words:
             words = table.column("word").cast(pa.string()).to_numpy().tolist()
             dictionaries[path, with_words] = dict(zip(words, range(len(words)), strict=True))
@@ -252,9 +249,24 @@ def _dictionary(path: str, with_words: bool) -> tuple:
             pool, ids = Pool(), table.column("ids").combine_chunks()
             pool.add(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), _sizes(ids))
             dictionaries[path, with_words] = (pool.n, pool.n_ids), pool
+            del ids
+        del table
+        pa.default_memory_pool().release_unused()  # else Arrow holds on to what the table took
     return dictionaries[path, with_words]
 
 
+def letters_are_words(pattern: str) -> bool:
+    """Letters with at most a space before them are one match: what the pattern tries before begins with an apostrophe."""
+    before, found, _ = pattern.partition(r"| ?\p{L}+|")
+    return bool(found) and re.fullmatch(r"'[a-z]+(\|'[a-z]+)*", before) is not None
+
+
+def one_word(chunks: list[str]) -> np.ndarray:
+    """Which chunks are Latin letters with at most a space before them."""
+    chunks = pa.array([c.encode("utf-8", "replace") for c in chunks], pa.binary()).cast(pa.string())
+    return pc.match_substring_regex(chunks, f"^ ?[{_LATIN}]+$").to_numpy(zero_copy_only=False)
+
+
 def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) -> DataFrame:
     """One row per block of documents: doc_ids, n_words of each, codes of words, and the words that the
     dictionary lacks."""
@@ -264,7 +276,7 @@ def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) ->
         import regex
 
         find = regex.compile(pattern).findall
-        known = _dictionary(path, True)
+        known, letters = _dictionary(path, True), letters_are_words(pattern)
         for ids, texts in doc_chunks(batches, max_bytes):
             chunk_of: defaultdict = defaultdict()
             chunk_of.default_factory = chunk_of.__len__
@@ -279,12 +291,18 @@ def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) ->
                 bounds.append(len(parts))
             new: defaultdict = defaultdict()
             new.default_factory = lambda: len(known) + len(new)  # noqa: B023
-            found = [[known[w] if w in known else new[w] for w in find(c)] for c in chunk_of]
-            sizes = np.array([len(x) for x in found], dtype=np.int64)
-            flat = np.array([w for x in found for w in x], dtype=np.int64)
+            names = list(chunk_of)
+            alone = one_word(names) if letters else np.zeros(len(names), dtype=bool)
+            single = [known[w] if w in known else new[w] for w in compress(names, alone)]
+            found = [[known[w] if w in known else new[w] for w in find(c)] for c in compress(names, ~alone)]
+            sizes = np.ones(len(names), dtype=np.int64)
+            sizes[~alone] = [len(x) for x in found]
+            flat, starts = np.empty(sizes.sum(), dtype=np.int64), np.cumsum(sizes) - sizes
+            flat[starts[alone]] = single
+            flat[runs(starts[~alone], sizes[~alone])] = [w for x in found for w in x]
             codes = np.concatenate(chunks)
             n_words = np.add.reduceat(sizes[codes], np.cumsum(bounds) - bounds)
-            codes = flat[runs((np.cumsum(sizes) - sizes)[codes], sizes[codes])]
+            codes = flat[runs(starts[codes], sizes[codes])]
             words = [w.encode("utf-8", "surrogatepass") for w in new]
             if len(words):  # short words are numbered before long ones
                 short = np.array([len(w) <= LONG_WORD for w in words], dtype=bool)
@@ -299,7 +317,11 @@ def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) ->
                 pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), folded),
                 pa.array([[w for w in words if len(w) > LONG_WORD]], pa.list_(pa.binary())),
             ]
-            yield pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in schema.split(", ")])
+            block = pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in schema.split(", ")])
+            # only the block stays while Spark takes it
+            del chunk_of, chunks, codes, flat, folded, found, names, new, row, single, sizes, starts, words
+            pa.default_memory_pool().release_unused()
+            yield block
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -313,7 +335,8 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, block_bytes: i
     """
     small_batches(docs.sparkSession)
     ranks = load_ranks(ranks_path)
-    merges, byte_ids = RankMap(pair_ranks(ranks)), _literal([ranks[bytes([i])] for i in range(256)], "array<int>")
+    ids_of_bytes = [ranks[bytes([i])] for i in range(256)]
+    merges, byte_ids = RankMap(pair_ranks(ranks), ids_of_bytes), _literal(ids_of_bytes, "array<int>")
 
     def fold(value: Column, body) -> Column:
         # the literal map stands in the plan once
