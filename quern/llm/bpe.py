@@ -233,7 +233,10 @@ def dictionary(docs: DataFrame, pattern: str, fold, sample_bytes: int = SAMPLE_B
 
 
 def _dictionary(path: str, with_words: bool) -> tuple:
-    """The worker's copy of a written dictionary: words to numbers, or how many runs and ids it has and the runs."""
+    """The worker's copy of a written dictionary: its words by number, or how many runs and ids it has and the runs.
+
+    Words are one Arrow array, a fifth of what a Python dictionary of them takes; each block looks its words up at once.
+    """
     dictionaries = kept_in_worker("bpe")
     if (path, with_words) not in dictionaries:
         import pyarrow.dataset as ds
@@ -243,8 +246,7 @@ def _dictionary(path: str, with_words: bool) -> tuple:
         table = ds.dataset(place, filesystem=system, format="parquet").to_table(["word", "n"] + ["ids"] * (not with_words))
         table = table.sort_by([("n", "descending"), ("word", "ascending")])  # frequent words have small codes
         if with_words:
-            words = table.column("word").cast(pa.string()).to_numpy().tolist()
-            dictionaries[path, with_words] = dict(zip(words, range(len(words)), strict=True))
+            dictionaries[path, with_words] = table.column("word").combine_chunks()
         else:
             pool, ids = Pool(), table.column("ids").combine_chunks()
             pool.add(ids.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), _sizes(ids))
@@ -267,6 +269,15 @@ def one_word(chunks: list[str]) -> np.ndarray:
     return pc.match_substring_regex(chunks, f"^ ?[{_LATIN}]+$").to_numpy(zero_copy_only=False)
 
 
+def numbered(words: list[bytes], known: pa.Array) -> tuple[np.ndarray, list[bytes]]:
+    """Numbers of distinct words, those of ``known`` first, and the words that it lacks in the order of their numbers."""
+    words = pa.array(words, pa.binary())
+    number = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy().astype(np.int64)
+    new = number < 0
+    number[new] = len(known) + np.arange(np.count_nonzero(new))
+    return number, words.filter(pa.array(new)).to_pylist()
+
+
 def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) -> DataFrame:
     """One row per block of documents: doc_ids, n_words of each, codes of words, and the words that the
     dictionary lacks."""
@@ -289,21 +300,27 @@ def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) ->
                     parts = [first, *map(" ".__add__, rest)]
                 chunks.append(np.fromiter(map(chunk_of.__getitem__, parts), dtype=np.int64, count=len(parts)))
                 bounds.append(len(parts))
-            new: defaultdict = defaultdict()
-            new.default_factory = lambda: len(known) + len(new)  # noqa: B023
             names = list(chunk_of)
+            chunk_of.clear()  # it refers to itself, so it would stay until Python looks for such circles
             alone = one_word(names) if letters else np.zeros(len(names), dtype=bool)
-            single = [known[w] if w in known else new[w] for w in compress(names, alone)]
-            found = [[known[w] if w in known else new[w] for w in find(c)] for c in compress(names, ~alone)]
-            sizes = np.ones(len(names), dtype=np.int64)
-            sizes[~alone] = [len(x) for x in found]
+            word_of: defaultdict = defaultdict()
+            word_of.default_factory = word_of.__len__
+            found = [word_of[w] for w in compress(names, alone)]
+            sizes, n_alone = np.ones(len(names), dtype=np.int64), len(found)
+            for i in np.flatnonzero(~alone).tolist():
+                before = len(found)
+                found += map(word_of.__getitem__, find(names[i]))
+                sizes[i] = len(found) - before
+            distinct = [w.encode("utf-8", "surrogatepass") for w in word_of]
+            names = None
+            word_of.clear()
+            numbers, words = numbered(distinct, known)
             flat, starts = np.empty(sizes.sum(), dtype=np.int64), np.cumsum(sizes) - sizes
-            flat[starts[alone]] = single
-            flat[runs(starts[~alone], sizes[~alone])] = [w for x in found for w in x]
+            flat[starts[alone]] = numbers[found[:n_alone]]
+            flat[runs(starts[~alone], sizes[~alone])] = numbers[found[n_alone:]]
             codes = np.concatenate(chunks)
             n_words = np.add.reduceat(sizes[codes], np.cumsum(bounds) - bounds)
             codes = flat[runs(starts[codes], sizes[codes])]
-            words = [w.encode("utf-8", "surrogatepass") for w in new]
             if len(words):  # short words are numbered before long ones
                 short = np.array([len(w) <= LONG_WORD for w in words], dtype=bool)
                 number = np.where(short, np.cumsum(short) - 1, short.sum() + np.cumsum(~short) - 1) + len(known)
@@ -319,7 +336,7 @@ def blocks_of_words(docs: DataFrame, pattern: str, path: str, max_bytes: int) ->
             ]
             block = pa.RecordBatch.from_arrays(row, names=[x.split()[0] for x in schema.split(", ")])
             # only the block stays while Spark takes it
-            del chunk_of, chunks, codes, flat, folded, found, names, new, row, single, sizes, starts, words
+            del chunks, codes, distinct, flat, folded, found, numbers, row, sizes, starts, words
             pa.default_memory_pool().release_unused()
             yield block
 

@@ -1,9 +1,14 @@
 """Workers of one session do not add up the memory of its operators."""
 
+import gc
+import tracemalloc
+
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 
-from quern.llm import common, neardup, packing, tokens
+from quern.llm import bpe, common, neardup, packing, tokens
 from quern.llm.queries import tokenizer_file
 
 
@@ -43,3 +48,68 @@ def test_packing_is_the_same_with_little_memory(spark):
         return sorted((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows)
 
     assert found(keep=20) == found()
+
+
+def _block_run(path: str, max_bytes: int):
+    """What a worker runs over batches of documents."""
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    return bpe.blocks_of_words(Docs(), public_tokenizers.PATTERN, f"file://{path}", max_bytes)
+
+
+def _words_file(folder, words) -> str:
+    folder.mkdir(exist_ok=True)
+    table = pa.table({"word": pa.array([w.encode() for w in words], pa.binary()), "n": pa.array([1] * len(words), pa.int64())})
+    pq.write_table(table, folder / "part-0.parquet")
+    return str(folder)
+
+
+def _taken() -> int:
+    return tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+
+
+def test_a_worker_keeps_the_words_in_little_memory(spark, tmp_path):
+    words = [f" word{i:06}" for i in range(60_000)]
+    path = f"file://{_words_file(tmp_path / 'all', words)}"
+    bpe._dictionary(f"file://{_words_file(tmp_path / 'one', words[:1])}", True)  # imports are done
+    tracemalloc.start()
+    try:
+        before = _taken()
+        bpe._dictionary(path, True)
+        assert _taken() - before < 40 * len(words)  # a Python dictionary took over 100 bytes a word
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_block_leaves_nothing_behind_in_its_worker(spark, tmp_path):
+    run = _block_run(_words_file(tmp_path, [" of", " the"]), 50_000)
+    texts = [" ".join(f"w{i}x{j} ({j}-{i})" for j in range(600)) for i in range(80)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    left = []
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        for block in run([batch]):
+            del block
+            left.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert len(left) > 8 and left[-2] - left[2] < 1 << 20
+
+
+def test_numbers_of_known_and_new_words():
+    known = pa.array([b" of", b" the"], pa.binary())
+    number, new = bpe.numbered([b"x", b" the", "é".encode(), b"\xed\xa0\x80", b" of"], known)
+    assert number.tolist() == [2, 1, 3, 4, 0] and new == [b"x", "é".encode(), b"\xed\xa0\x80"]
+    number, new = bpe.numbered([], known)
+    assert number.tolist() == [] and new == []
+    number, new = bpe.numbered([b"x"], known[:0])
+    assert number.tolist() == [0] and new == [b"x"]
